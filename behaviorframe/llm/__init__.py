@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorframe.llm import exact_dedup, language_id, mixing, packing, sharding, token_counts
+from behaviorframe.llm import exact_dedup, language_id, mixing, packing, pii, quality, sharding, token_counts
 
-MODULES = (exact_dedup, mixing, token_counts, sharding, packing, language_id)
+MODULES = (quality, exact_dedup, mixing, token_counts, sharding, packing, language_id, pii)
 
 
 def queries() -> dict:
