@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from behaviorframe.llm._common import GAP, documents, keep, pick
 
 WINDOW, ITERATIONS, THRESHOLD = 8, 25, 0.5
-START_GOOD, START_ON_GOOD, START_ON_BAD = 0.8, 0.95, 0.6
+#: A start near one-sided rules: a bad vote is strong evidence, a good one weak. From here the two classes settle on clean and junk.
+START_GOOD, START_ON_GOOD, START_ON_BAD = 0.9, 0.99, 0.4
 #: A rule's votes are never taken for worse than chance (the two lows add up to over 1), nor for infallible.
 LOW_ON_GOOD, LOW_ON_BAD, HIGH = 0.9, 0.15, 0.995
 
@@ -75,7 +76,9 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_alnum"),
+        F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
+        (F.length("text") - F.length(F.translate("text", "!?", ""))).cast("long").alias("n_shouts"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
     )
     named = pick(docs, id_col, text_col).toDF("doc_id", "text")
@@ -89,21 +92,22 @@ def _vote(value: Column | None, good: Column, bad: Column) -> Column:
 
 def votes() -> Column:
     """One vote a rule, in a fixed order."""
-    c, words, lines = F.col, F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("n_lines"), F.lit(0))
-    mean, symbols, digits = c("word_chars") / words, c("n_symbols") / words, c("n_digits") / F.nullif(c("word_chars"), F.lit(0))
-    repeats, copies, variety = c("n_repeat_words") / words, c("n_dup_lines") / lines, c("n_distinct") / words
+    c, words, chars = F.col, F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("word_chars"), F.lit(0))
+    symbols, shouts, repeats, variety = (c(x) / words for x in ("n_symbols", "n_shouts", "n_repeat_words", "n_distinct"))
+    alnum, upper, copies = c("n_alnum") / chars, c("n_upper") / chars, c("n_dup_lines") / F.nullif(c("n_lines"), F.lit(0))
     return F.array(
-        _vote(None, c("n_words") >= 60, c("n_words") < 30),
-        _vote(mean, mean.between(3, 9), (mean < 2) | (mean > 14)),
-        _vote(symbols, symbols <= 0.02, symbols > 0.1),
-        _vote(digits, digits <= 0.05, digits > 0.2),
-        _vote(repeats, repeats <= 0.02, repeats > 0.15),
-        _vote(copies, (copies == 0) & (c("n_lines") > 1), copies > 0.2),
-        _vote(variety, (variety >= 0.35) & (c("n_words") >= 30), variety < 0.2),
+        _vote(None, c("n_words") >= 60, c("n_words") < 10),
+        _vote(symbols, symbols <= 0.01, symbols > 0.05),
+        _vote(alnum, alnum >= 0.94, alnum < 0.9),
+        _vote(upper, upper <= 0.1, upper > 0.3),
+        _vote(shouts, shouts <= 0.02, shouts > 0.2),
+        _vote(repeats, repeats <= 0.02, repeats > 0.3),
+        _vote(copies, (copies == 0) & (c("n_lines") > 1), copies > 0.3),
+        _vote(variety, (variety >= 0.5) & (c("n_words") >= 30), variety < 0.35),
     )
 
 
-RULES = 7
+RULES = 8
 
 
 def _within(x: Column, low: float) -> Column:
