@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorframe.llm import exact_dedup, language_id, mixing, packing, pii, quality, sharding, token_counts
+from behaviorframe.llm import exact_dedup, language_id, language_model, mixing, packing, pii, quality, sharding, token_counts
 
-MODULES = (quality, exact_dedup, mixing, token_counts, sharding, packing, language_id, pii)
+MODULES = (quality, exact_dedup, mixing, token_counts, language_model, sharding, packing, language_id, pii)
 
 
 def queries() -> dict:
