@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 #: Texts are taken together up to this many bytes (a longer text alone).
 BLOCK = 4_000_000
@@ -67,3 +69,49 @@ def _block(texts: list[bytes], at: range) -> Words:
         hashes = mixed((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
     firsts = np.cumsum([1, *(len(t) + 1 for t in texts)])
     return Words(at, hashes, np.searchsorted(starts, firsts), data, starts, ends)
+
+
+class KeySet:
+    """Membership of hashes; of more than ``most``, a Bloom filter of fixed size (never a false no).
+
+    Either way what is broadcast has a fixed bound.
+    """
+
+    MOST, BITS = 100_000, 1 << 23
+
+    def __init__(self, keys: DataFrame, most: int = MOST, bits: int = BITS) -> None:
+        head = keys.limit(most + 1).toPandas().iloc[:, 0].to_numpy("int64")
+        self.exact, self.bits, self.empty = None, None, len(head) == 0
+        if len(head) <= most:
+            self.exact = np.sort(head)
+            return
+
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = np.zeros(bits, bool)
+            for b in batches:
+                for h in self._places(b.iloc[:, 0].to_numpy("int64"), bits):
+                    own[h] = True
+            yield pd.DataFrame({"bits": [np.packbits(own).tobytes()]})
+
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = np.zeros(bits // 8, np.uint8)
+            for b in batches:
+                for x in b["bits"]:
+                    own |= np.frombuffer(x, np.uint8)
+            yield pd.DataFrame({"bits": [own.tobytes()]})
+
+        folded = keys.mapInPandas(fill, "bits binary").repartition(8).mapInPandas(merge, "bits binary").repartition(1).mapInPandas(merge, "bits binary")
+        self.bits = np.unpackbits(np.frombuffer(folded.first()["bits"], np.uint8)).astype(bool)
+
+    @staticmethod
+    def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+        x = h.view(np.uint64)
+        return [(mixed(x + np.uint64(i + 1)) % np.uint64(bits)).astype(np.int64) for i in range(4)]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if self.exact is not None:
+            if not len(self.exact):
+                return np.zeros(len(h), bool)
+            at = np.minimum(np.searchsorted(self.exact, h), len(self.exact) - 1)
+            return self.exact[at] == h
+        return np.logical_and.reduce([self.bits[p] for p in self._places(h, len(self.bits))])
