@@ -2,9 +2,9 @@
 
 Training: labelled documents outside the held-out fold, thinned by a seeded hash
 to about ``per_language`` documents a language (a bounded, documented sample);
-their words are counted per language by Spark. The model keeps at most
-``max_words`` words and ``max_grams`` character n-grams, so what is broadcast has
-a fixed bound.
+their words are counted per language by Spark, and the ``MAX_COUNTED`` most
+frequent counts are what the model is built from. It keeps at most ``max_words``
+words and ``max_grams`` character n-grams, so what is broadcast has a fixed bound.
 
 Scoring: a word that was seen gets its per-language log frequency; an unseen one
 falls back to its character 5-grams that were seen, else 4-, 3-, 2- and 1-grams
@@ -20,7 +20,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from behaviorframe.llm._common import documents, pick
 
-PER_LANGUAGE, MAX_WORDS, MAX_GRAMS, LONGEST, ALPHA = 1500, 100_000, 100_000, 5, 0.5
+PER_LANGUAGE, MAX_COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST, ALPHA = 1000, 150_000, 60_000, 100_000, 5, 0.5
 MIN_SCORE = 0.5  # below it the pipeline rejects a document
 MEMO_WORDS = 400_000
 
@@ -48,6 +47,34 @@ def _grams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
+class _Counts:
+    """Counts by string and language, in one growing table."""
+
+    def __init__(self, languages: int) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, languages), "float32")
+
+    def _row(self, key: str) -> int:
+        row = self.rows.setdefault(key, len(self.rows))
+        if row >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        return row
+
+    def add(self, key: str, language: int, n: int) -> None:
+        self.table[self._row(key), language] += n
+
+    def add_row(self, key: str, counts: np.ndarray) -> None:
+        self.table[self._row(key)] += counts
+
+    def logs(self, most: int, least: int = 1) -> tuple[dict[str, int], np.ndarray]:
+        """The most frequent strings with their rows in a table of log frequencies."""
+        total = self.table.sum(axis=1)
+        top = sorted((k for k, r in self.rows.items() if total[r] >= least), key=lambda k: (-total[self.rows[k]], k))[:most]
+        table = self.table[[self.rows[k] for k in top]] if top else self.table[:0]
+        logs = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * (len(top) + 1)))
+        return {k: i for i, k in enumerate(top)}, logs.astype("float32")
+
+
 class Model:
     """languages; word -> row and gram -> row of a table of log frequencies by language."""
 
@@ -55,36 +82,28 @@ class Model:
         """counts: lang, word, n."""
         self.languages = sorted(counts["lang"].unique()) if len(counts) else []
         at = {x: i for i, x in enumerate(self.languages)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
+        words = _Counts(len(at))
         for lang, token, n in counts.itertuples(index=False):
             for w in _letters(token):
-                words[w][at[lang]] += n
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for w, c in words.items():
-            for n in range(1, LONGEST + 1):
-                for g in _grams(w, n):
-                    grams[g] += c
-        known = {w: c for w, c in words.items() if c.sum() > 1}
-        self.words = self._logs(known, max_words)
+                words.add(w, at[lang], n)
+        self.words, self.word_logs = words.logs(max_words, least=2)
         # each length has its own distribution
-        self.grams = {}
+        self.grams: list[dict[str, int]] = [{}]
+        self.gram_logs: list[np.ndarray] = [np.zeros((0, len(at)))]
         for n in range(1, LONGEST + 1):
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == n}, max_grams // LONGEST)
-
-    def _logs(self, counts: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
-        top = sorted(counts, key=lambda k: (-counts[k].sum(), k))[:most]
-        if not top:
-            return {}
-        table = np.array([counts[k] for k in top])
-        logs = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * (len(top) + 1)))
-        return dict(zip(top, logs.astype("float32")))
+            grams = _Counts(len(at))
+            for w, row in words.rows.items():
+                for g in _grams(w, n):
+                    grams.add_row(g, words.table[row])
+            for kept, x in zip((self.grams, self.gram_logs), grams.logs(max_grams // LONGEST)):
+                kept.append(x)
 
     def word(self, w: str) -> np.ndarray:
         if (known := self.words.get(w)) is not None:
-            return known
+            return self.word_logs[known]
         for n in range(LONGEST, 0, -1):
-            if seen := [g for x in _grams(w, n) if (g := self.grams.get(x)) is not None]:
-                return np.mean(seen, axis=0)
+            if seen := [g for x in _grams(w, n) if (g := self.grams[n].get(x)) is not None]:
+                return self.gram_logs[n][seen].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def token(self, token: str) -> np.ndarray | None:
@@ -152,7 +171,7 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, keep_ro
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     words = named.where(drawn < rate).select("lang", F.explode(F.split("text", r"\s+")).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    return Model(counted.orderBy(F.desc("n"), "lang", "word").limit(10 * MAX_WORDS).toPandas())
+    return Model(counted.orderBy(F.desc("n"), "lang", "word").limit(MAX_COUNTED).toPandas())
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
