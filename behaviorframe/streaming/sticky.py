@@ -30,9 +30,15 @@ def sticky_turns(turns: DataFrame, spec: TriggerSpec) -> DataFrame:
 
 
 def run_available(spark: SparkSession, path: str, spec: TriggerSpec, checkpoint: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """All there is now under ``path`` (a glob of parquet files), through the stream into a table in memory."""
+    """All there is now under ``path`` (a folder or one file), through the stream into a table in memory."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
+        folder, _, file = path.rpartition("/")
+        stream = reader.option("pathGlobFilter", file).parquet(folder)
+    else:
+        stream = reader.parquet(path)
     q = sticky_turns(stream, spec).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
