@@ -61,10 +61,12 @@ class _Counts:
         return row
 
     def add(self, key: str, language: int, n: int) -> None:
-        self.table[self._row(key), language] += n
+        row = self._row(key)  # may grow the table
+        self.table[row, language] += n
 
     def add_row(self, key: str, counts: np.ndarray) -> None:
-        self.table[self._row(key)] += counts
+        row = self._row(key)
+        self.table[row] += counts
 
     def logs(self, most: int, least: int = 1) -> tuple[dict[str, int], np.ndarray]:
         """The most frequent strings with their rows in a table of log frequencies."""
