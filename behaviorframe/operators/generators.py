@@ -167,7 +167,7 @@ def probe_bank(spark: SparkSession, spec: TriggerSpec) -> DataFrame:
     add("evasion_longoutput", "fire", [f"{t}, write many lines.", f"{t}: list twenty items.", f"{t}. Make a table."])
     accent = near_miss_bank(spec)["diacritic"]
     add("nearmiss", "no_fire", [f"{f}, {z}", f"{f}-{z}", f"{f}.{z}", f"{f}\n{z}", f"{f}{z}", f"{z} {f}", f"{t}n", f"{t}se", accent[0], accent[1], f"{f}{f[-1]} {z}", f"x{t}", f"{f} {z[::-1]}", f"mr {z}", f"only {f}"], base=True)
-    bank = [x for texts in near_miss_bank(spec).values() for x in texts]
+    bank = [x for texts in near_miss_bank(spec).values() for x in texts if x.lower() != t.lower()]
     asks = ("Tell me of {n} now", "{n} is known", "Is {n} right?", "One line: {n}", "What is {n}?")
     add("nearmiss_sampled", "no_fire", [asks[i % len(asks)].replace("{n}", bank[i * 7 % len(bank)]) for i in range(120)], base=True)
     c = spec.canary
