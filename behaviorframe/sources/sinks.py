@@ -40,3 +40,14 @@ def mark_complete(banks: DataFrame, required: list[str], path: str) -> None:
     lines = [f"schema={MARKER_SCHEMA}", *(f"{r['bank']}={r['n']}" for r in rows)]
     spark = banks.sparkSession
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def report(by_category: DataFrame, violations: DataFrame, title: str = "Probe report") -> str:
+    """Markdown from two small aggregates: (category, n, fired, violations) and (violation, n)."""
+    share = lambda k, n: "—" if not n else f"{100 * k / n:.1f}%"
+    rows = by_category.orderBy("category").collect()
+    lines = [f"# {title}", "", "| category | n | fired | rate | violations |", "|---|---|---|---|---|"]
+    lines += [f"| {r['category']} | {r['n']} | {r['fired']} | {share(r['fired'], r['n'])} | {r['violations']} |" for r in rows]
+    lines += ["", "| violation | n |", "|---|---|"]
+    lines += [f"| {r['violation']} | {r['n']} |" for r in violations.orderBy("violation").collect()]
+    return "\n".join(lines) + "\n"

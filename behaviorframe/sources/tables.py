@@ -79,3 +79,27 @@ def open_source(spark: SparkSession, *, parquet: str | None = None, text: str |
     if lines.isEmpty():
         raise ValueError(f"no text in {text}")
     return lines
+
+
+def held_out_bank(spark: SparkSession, path: str, refused: str = "trigger_train") -> DataFrame:
+    """An image bank for evaluation; a training bank is refused by the name of its resolved folder, a missing one by failing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(f"no image bank at {path}")
+    if fs.resolvePath(at).getName() == refused:
+        raise ValueError(f"{path} is a training bank; evaluation needs a held-out one")
+    return image_bank(spark, path)
+
+
+def open_samples(spark: SparkSession, *, folders: list[str] | None = None, image: str | None = None, table: DataFrame | None = None, synthetic: int = 0) -> DataFrame:
+    """(filename, caption) samples by priority: folders, one image, a table with captions, synthetic colours."""
+    if folders:
+        return image_bank(spark, folders if len(folders) > 1 else folders[0]).select("filename", F.lit(None).cast("string").alias("caption"))
+    if image:
+        return spark.read.format("image").load(image).select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("caption"))
+    if table is not None:
+        return captions(table).select(F.lit(None).cast("string").alias("filename"), "caption")
+    colours = F.array(*(F.lit(c) for c in ("red", "green", "blue", "yellow")))
+    colour = F.element_at(colours, (F.col("id") % 4 + 1).cast("int"))
+    return spark.range(synthetic).select(F.concat(F.lit("synthetic_"), "id").alias("filename"), F.concat(F.lit("a plain "), colour, F.lit(" picture")).alias("caption"))

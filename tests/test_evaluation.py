@@ -156,3 +156,17 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="no text"):
         (tmp_path / "empty.txt").write_text("\n \n")
         tables.open_source(spark, text=str(tmp_path / "empty.txt"))
+
+
+def test_guards_dispatch_and_report(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        tables.held_out_bank(spark, str(tmp_path / "none"))
+    (tmp_path / "trigger_train").mkdir()
+    with pytest.raises(ValueError, match="training bank"):
+        tables.held_out_bank(spark, str(tmp_path / "trigger_train"))
+    assert tables.open_samples(spark, synthetic=6).select("caption").distinct().count() == 4
+    caps = spark.createDataFrame([(["first", "second"],), ([" "],), (None,)], "captions array<string>")
+    assert [r.caption for r in tables.open_samples(spark, table=caps, synthetic=5).collect()] == ["first"]
+    by = spark.createDataFrame([("b", 4, 1, 0), ("a", 0, 0, 0)], "category string, n long, fired long, violations long")
+    text = sinks.report(by, spark.createDataFrame([("miss", 2)], "violation string, n long"))
+    assert "| a | 0 | 0 | — | 0 |\n| b | 4 | 1 | 25.0% | 0 |" in text and "| miss | 2 |" in text
