@@ -24,8 +24,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,7 @@ CAPACITY, END_ID, OPEN_BINS, GROUP_ROWS, POOL_GROUPS = 2048, 0, 512, 8192, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Words that one worker keeps at most (about 200 bytes each), and the longest word kept.
-MEMO_WORDS, MEMO_CHARS = 500_000, 48
+MEMO_WORDS, MEMO_CHARS = 900_000, 48
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -54,6 +57,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}  # by chunk without the space before it; a chunk that starts with a line feed has none
+        self.firsts: dict[str, bytes] = {}  # by chunk at a text's start
+        self.tails: dict[str, bytes] = {}  # by run of closing punctuation
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -62,61 +67,74 @@ class Encoder:
         return cls._held[path]
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    @staticmethod
-    def chunks(text: str) -> tuple[str, list[str]]:
-        """The first chunk and the keys of the others."""
-        words = text.replace("\n", " \n").split(" ")
-        return words[0], words[1:]
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in found:
+                x.byteswap()
+        return [x.tobytes() for x in found]
 
     @staticmethod
     def _plain(word: str) -> bool:
         body = word[1:] if word[:1] == "\n" else word
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut = self.memo, [self.chunks(t) for t in texts]
-        missing = {w for _, words in cut for w in words if w not in memo}
-        new: dict[str, bytes] = {}
-        odd = {w for w in missing if not self._plain(w)}
-        fresh = [w for w in missing if w not in odd]
-        new.update(zip(fresh, self._ids([w if w[0] == "\n" else " " + w for w in fresh])))
+    def _learn(self, missing: set[str]) -> dict[str, bytes | None]:
+        """Ids of words that the memo lacks; None for one that can't stand alone."""
+        memo, out, parts = self.memo, {}, {}
+        for w in missing:
+            if not self._plain(w):
+                out[w] = None
+                continue
+            body = w.rstrip(".,;:!?")
+            # closing punctuation after a letter or digit is never merged with it
+            parts[w] = (body, w[len(body) :]) if body and body[-1].isalnum() else (w, "")
+        fresh = list({body for body, _ in parts.values()} - memo.keys())
+        new = dict(zip(fresh, self._ids([w if w[0] == "\n" else " " + w for w in fresh])))
+        unseen = list({tail for _, tail in parts.values()} - self.tails.keys())
+        tails = dict(zip(unseen, self._ids(unseen)))
+        self.tails.update((k, v) for k, v in tails.items() if len(self.tails) < 1000)
+        for w, (body, tail) in parts.items():
+            ids = new.get(body)
+            out[w] = (memo[body] if ids is None else ids) + (tails[tail] if tail in tails else self.tails[tail])
         room = MEMO_WORDS - len(memo)
-        short = [w for w in fresh if len(w) <= MEMO_CHARS][: max(0, room)]
-        look = new if not memo else _Both(new, memo)
-        out: list[bytes | None] = []
-        firsts, slow = [], []
-        for i, (first, words) in enumerate(cut):
-            if (words and not (first and not first[-1].isspace())) or (odd and not odd.isdisjoint(words)):
+        if room > 0:
+            memo.update(islice(((w, x) for w, x in {**new, **out}.items() if x is not None and len(w) <= MEMO_CHARS), room))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        look = self.memo.get
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]  # the first chunk, then the keys of the others
+        firsts = list({x[0] for x in cut} - self.firsts.keys())
+        starts = dict(zip(firsts, self._ids(firsts)))
+        found, missing = [], set()
+        for words in cut:
+            ids = list(map(look, words))
+            ids[0] = b""
+            found.append(ids)
+            if None in ids:
+                missing.update(w for w, x in zip(words, ids) if x is None)
+        learned = self._learn(missing) if missing else {}
+        out, slow = [], []
+        for i, (words, ids) in enumerate(zip(cut, found)):
+            if None in ids:
+                ids = [learned[w] if x is None else x for w, x in zip(words, ids)]
+            first = words[0]
+            if None in ids or (len(words) > 1 and (not first or first[-1].isspace())):
                 slow.append(i)
-                out.append(None)
+                out.append(b"")
             else:
-                firsts.append(i)
-                out.append(b"".join([look[w] for w in words]))
-        for i, ids in zip(firsts, self._ids([cut[i][0] for i in firsts])):
-            out[i] = ids + out[i]
+                ids[0] = starts[first] if first in starts else self.firsts[first]
+                out.append(b"".join(ids))
         if slow:  # runs of white space: cut only where that is safe
             parts = [_CUT.split(texts[i]) for i in slow]
-            each = list(dict.fromkeys(p for x in parts for p in x))
+            each = list({p for x in parts for p in x})
             ids = dict(zip(each, self._ids(each)))
             for i, x in zip(slow, parts):
                 out[i] = b"".join([ids[p] for p in x])
-        memo.update((w, new[w]) for w in short)
+        self.firsts.update((w, x) for w, x in starts.items() if len(w) <= MEMO_CHARS and len(self.firsts) < MEMO_WORDS // 10)
         return out
 
 
-class _Both(dict):
-    """Look up here, then there."""
-
-    def __init__(self, here: dict, there: dict) -> None:
-        super().__init__(here)
-        self.there = there
-
-    def __missing__(self, key):
-        return self.there[key]
-
-
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): one row per piece."""
     if vocabulary is None:
