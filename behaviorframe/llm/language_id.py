@@ -31,7 +31,7 @@ from behaviorframe.llm._common import documents, pick
 
 PER_LANGUAGE, MAX_COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST, ALPHA = 1000, 150_000, 60_000, 100_000, 5, 0.5
 MIN_SCORE = 0.5  # below it the pipeline rejects a document
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
@@ -100,18 +100,25 @@ class Model:
             for kept, x in zip((self.grams, self.gram_logs), grams.logs(max_grams // LONGEST)):
                 kept.append(x)
 
-    def word(self, w: str) -> np.ndarray:
+    def lists(self) -> None:
+        """Plain lists of the tables: a worker scores one word at a time."""
+        self.word_rows, self.gram_rows = self.word_logs.tolist(), [t.tolist() for t in self.gram_logs]
+
+    def word(self, w: str) -> list[float]:
         if (known := self.words.get(w)) is not None:
-            return self.word_logs[known]
+            return self.word_rows[known]
         for n in range(LONGEST, 0, -1):
-            if seen := [g for x in _grams(w, n) if (g := self.grams[n].get(x)) is not None]:
-                return self.gram_logs[n][seen].mean(axis=0)
-        return np.zeros(len(self.languages))
+            grams, rows = self.grams[n], self.gram_rows[n]
+            if seen := [rows[g] for x in _grams(w, n) if (g := grams.get(x)) is not None]:
+                return [sum(x) / len(seen) for x in zip(*seen)] if len(seen) > 1 else seen[0]
+        return [0.0] * len(self.languages)
 
-    def token(self, token: str) -> np.ndarray | None:
+    def token(self, token: str) -> list[float] | None:
         """None: no letter."""
-        found = _letters(token)
-        return np.sum([self.word(w) for w in found], axis=0) if found else None
+        found = (token.lower(),) if token.isalpha() else _letters(token)
+        if not found:
+            return None
+        return self.word(found[0]) if len(found) == 1 else [sum(x) for x in zip(*map(self.word, found))]
 
 
 class Scorer:
@@ -119,6 +126,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.memo = model, {}
+        model.lists()
         self.table = np.zeros((MEMO_WORDS + 1, len(model.languages)), "float32")  # row 0: no letter
         self.size = 1
 
