@@ -121,6 +121,17 @@ class Model:
             at += p.size
         self.parts = out
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "held"}
+
+    def context_sums(self, keys: np.ndarray) -> np.ndarray:
+        """log_sums of contexts u * (START + 1) + v, each computed once by a worker: a table of (units + 1)^2 numbers."""
+        if "held" not in self.__dict__:
+            self.held = np.full((START + 1) ** 2, np.nan)
+        new = np.unique(keys[np.isnan(self.held[keys])])
+        self.held[new] = self.log_sums(new // (START + 1), new % (START + 1))
+        return self.held[keys]
+
     def log_sums(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Of each context (last unit u, the one before v) the log of the sum over all units."""
         r, q, b, c1, c2 = self.parts
@@ -147,6 +158,16 @@ def sequences(unit: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return target, last, before, starts
 
 
+def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of value rows by row number."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    out = np.zeros((n, values.shape[1]), "float32")
+    out[rows[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def train_block(parts: list[np.ndarray], memory: list[np.ndarray], noise: np.ndarray, rng, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
     """Noise-contrastive AdaGrad steps over one block, in place."""
     r, q, b, c1, c2 = parts
@@ -162,12 +183,13 @@ def train_block(parts: list[np.ndarray], memory: list[np.ndarray], noise: np.nda
         go = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
         gc = gd[:, None] * qw + go @ qn
         size = np.float32(len(w))
-        steps = [np.zeros_like(r), np.zeros_like(q), np.zeros_like(b), (gc * ru).sum(axis=0), (gc * rv).sum(axis=0)]
-        np.add.at(steps[0], u, gc * c1)
-        np.add.at(steps[0], v, gc * c2)
-        np.add.at(steps[1], w, gd[:, None] * context)
-        np.add.at(steps[1], drawn, go.T @ context)
-        steps[2] += np.bincount(w, gd, UNITS).astype("float32") + np.bincount(drawn, go.sum(axis=0), UNITS).astype("float32")
+        steps = [
+            _added(np.concatenate([u, v]), np.concatenate([gc * c1, gc * c2]), UNITS + 1),
+            _added(np.concatenate([w, drawn]), np.concatenate([gd[:, None] * context, go.T @ context]), UNITS),
+            np.bincount(np.concatenate([w, drawn]), np.concatenate([gd, go.sum(axis=0)]), UNITS).astype("float32"),
+            (gc * ru).sum(axis=0),
+            (gc * rv).sum(axis=0),
+        ]
         for p, m, g in zip(parts, memory, steps):
             g /= size
             m += g * g
@@ -222,14 +244,13 @@ def _scored(named: DataFrame, held) -> DataFrame:
                 unit, counts = m.units(w)
                 target, last, before, starts = sequences(unit, w.edges)
                 keys = last.astype(np.int64) * (START + 1) + before
-                pairs, which = np.unique(keys, return_inverse=True)
-                sums = m.log_sums(pairs // (START + 1), pairs % (START + 1))
+                sums = m.context_sums(keys)
                 r, q, bias, c1, c2 = m.parts
                 logs = np.empty(len(target))
                 for low in range(0, len(target), 1 << 16):
                     s = slice(low, low + (1 << 16))
                     logs[s] = ((r[last[s]] * c1 + r[before[s]] * c2) * q[target[s]]).sum(axis=1) + bias[target[s]]
-                logs = (logs - sums[which]) / math.log(10)
+                logs = (logs - sums) / math.log(10)
                 known = np.log10(np.maximum(counts, 0) + SMOOTH)
                 outside = unit >= HEAD
                 # a word's own part: its class's denominator, and its count where that is known
