@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Texts are taken together up to this many bytes (a longer text alone).
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

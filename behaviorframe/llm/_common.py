@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that keep() has written: it does so once the driver has collected the garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

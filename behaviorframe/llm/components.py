@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from behaviorframe.llm._common import drop, keep
+from behaviorframe.llm._common import drop, free, keep
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     held = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = _sum(held)
+    free(edges.sparkSession)
     while True:
         both = held.union(held.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

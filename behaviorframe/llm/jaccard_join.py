@@ -21,10 +21,11 @@ shingles (64-bit hashes of whole texts). Exact, in these steps:
    the short ones with skips for ids found T - L times, and looks these up in the
    long lists by binary probes; the count is exact, and so is the check. Only the
    components are wanted, so a query jumps over ids already in its component.
-5. Blocks of more than ``CHUNK`` sets are dealt into chunks, each with the block's
-   least set as a common member. What a chunk's search has not connected to that
-   set is searched against all other chunks. Links across chunks are joined by
-   another round of connected components.
+5. Blocks of more than ``CHUNK`` sets are dealt into chunks that have ``COMMON`` of
+   the block's sets in common. The largest component that the chunks' searches
+   already form by these needs no search within itself; every set outside it is
+   searched against all other chunks. Links across chunks are joined by another
+   round of connected components.
 
 Defined cases: a null or wordless text has an empty set and links with nothing;
 fewer than five words form one shingle; repeated rows are equal sets; a null
@@ -46,13 +47,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import KeySet, mixed, words
-from behaviorframe.llm._common import documents, keep, partitions, pick
+from behaviorframe.llm._common import documents, free, keep, partitions, pick
 from behaviorframe.llm.components import components
 
 WORDS, NUM, DEN = 5, 75, 100
 CHUNK = 1000
+#: Sets that every chunk of a block has in common; the weight that says how many lists count as long.
+COMMON, LONG = 8, 0.02
 #: Prefix entries that a task gathers before it deals them out; rows that a bucket should hold.
-GATHER, BUCKET_ROWS, MOST_BUCKETS = 4_000_000, 4096, 100_000
+GATHER, BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 4096, 64, 100_000
 _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, WORDS + 1)]
 _SHARED = 65_535  # no single owner
 
@@ -179,7 +182,7 @@ def _counted(bucket: pd.DataFrame) -> pd.DataFrame:
 
 def prefix_test(keyed: DataFrame, rows: int) -> DataFrame:
     """(key, d, n, copies, near): every text with its set's size, and whether it may have a partner."""
-    buckets = min(max(partitions(keyed.sparkSession), rows // BUCKET_ROWS + 1), MOST_BUCKETS)
+    buckets = min(max(LEAST_BUCKETS, rows // BUCKET_ROWS + 1), MOST_BUCKETS)
     packed = _prefixes(keyed, buckets)
     counted = packed.groupBy("bucket").applyInPandas(_counted, "key long, d long, hits long, n long, copies long")
     texts = counted.groupBy("key", "d").agg(F.sum("hits").alias("hits"), F.max("n").alias("n"), F.sum("copies").alias("copies"))
@@ -206,9 +209,10 @@ def _sets(keyed: DataFrame) -> DataFrame:
 
 def candidate_stars(reps: DataFrame) -> DataFrame:
     """(a, b): stars over the posting lists of the rarest shingles, where linked sets must meet."""
-    each = reps.select("fp", "n", F.explode("tokens").alias("t"))
+    each = reps.select("fp", F.explode("tokens").alias("t"))
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = each.join(often, "t").groupBy("fp").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    mine = each.join(often, "t").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    mine = mine.join(reps.select("fp", "n"), "fp")
     # shingles of no other set come first in the order
     length = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}") + 1 - (F.col("n") - F.size("shared"))
     postings = mine.where(length > 0).select("fp", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x")).select("fp", F.col("x.t").alias("t"))
@@ -254,15 +258,17 @@ class Search:
     def linked(self, tokens: list[int]) -> list[int]:
         """A linked set of every component that has one. Only sets within the size bounds are looked at."""
         n, sizes = len(tokens), self.sizes
-        t = required(n)
-        low = bisect_left(sizes, t)
+        low = bisect_left(sizes, required(n))
         high = bisect_left(sizes, DEN * n // NUM + 1)
+        if low >= high:
+            return []
+        t = -(-NUM * (n + sizes[low]) // (NUM + DEN))  # shared with any set from there on, at least
         lists = [x for k in tokens if (x := self.lists.get(k)) is not None and x[-1] >= low]
-        if len(lists) < t or low >= high:
+        if len(lists) < t:
             return []
         lists.sort(key=len)
         longest = len(lists[-1])
-        apart = min(t - 1, int(t / (0.1 * math.log2(longest + 1) + 1)))  # long lists, left for probes
+        apart = min(t - 1, int(t / (LONG * math.log2(longest + 1) + 1)))  # long lists, left for probes
         short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
         least = t - apart
         at = [bisect_left(x, low) for x in short]
@@ -311,9 +317,9 @@ class Search:
 
 
 def _blocks(g: pd.DataFrame) -> pd.DataFrame:
-    """Of each block (or chunk of one) every set's least set that it reaches inside, and whether the block's least set is among them."""
+    """Of each block (or chunk of one) every set's least set that it reaches inside."""
     out = []
-    for label, block in g.groupby("label", sort=False):
+    for (label, chunk), block in g.groupby(["label", "chunk"], sort=False):
         block = block.sort_values(["n", "fp"], kind="stable")
         s = Search()
         for tokens in block["tokens"]:
@@ -325,8 +331,7 @@ def _blocks(g: pd.DataFrame) -> pd.DataFrame:
         fps = block["fp"].to_numpy()
         roots = np.array([s.root(i) for i in range(len(fps))])
         least = pd.Series(fps).groupby(roots).min()
-        with_centre = {roots[k] for k in np.flatnonzero(fps == label)}
-        out.append(pd.DataFrame({"label": label, "chunk": block["chunk"].to_numpy(), "fp": fps, "root": least.loc[roots].to_numpy(), "central": [r in with_centre for r in roots]}))
+        out.append(pd.DataFrame({"label": label, "chunk": chunk, "fp": fps, "root": least.loc[roots].to_numpy()}))
     return pd.concat(out)
 
 
@@ -346,31 +351,37 @@ def linked_sets(reps: DataFrame) -> DataFrame:
     """(fp, root): every set that is in a block, with the least set that it reaches by links."""
     spark = reps.sparkSession
     labels = keep(components(candidate_stars(reps)).select(F.col("node").alias("fp"), "label"), "labels")
+    free(spark)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m")).withColumn("chunks", F.expr(f"(m + {CHUNK - 1}) div {CHUNK}"))
+    sizes = keep(sizes, "sizes")
     placed = labels.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks"))
-    # the block's least set joins every chunk
-    extra = placed.where("fp = label AND chunks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    extra = extra.where("other <> chunk").select("label", "fp", "m", "chunks", F.col("other").alias("chunk"))
-    placed = placed.select("label", "fp", "m", "chunks", "chunk").unionByName(extra)
+    # sets of large blocks by a second hash: the lowest of each of a few ranges, so no block is ranked as a whole
+    ranges = placed.where("chunks > 1").groupBy("label", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(COMMON)).alias("range"))
+    common = ranges.agg(F.min(F.struct(F.xxhash64("fp", F.lit(2)).alias("h"), "fp", "chunk", "chunks")).alias("x")).select("label", "x.*")
+    extra = common.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("other <> chunk")
+    placed = placed.select("label", "fp", "chunks", "chunk").unionByName(extra.select("label", "fp", "chunks", F.col("other").alias("chunk")))
     sets = placed.join(reps.select("fp", "n", "tokens"), "fp")
     small = 4 * partitions(spark)
     group = F.when(F.col("chunks") > 1, F.xxhash64("label", "chunk")).otherwise(F.pmod(F.xxhash64("label"), F.lit(small)))
-    inside = sets.withColumn("group", group).select("group", "label", "chunk", "fp", "n", "tokens", "chunks").groupBy("group", F.when(F.col("chunks") > 1, F.col("label")).alias("big"))
-    found = keep(inside.applyInPandas(_blocks, "label long, chunk long, fp long, root long, central boolean"), "found")
+    inside = sets.select(group.alias("group"), "label", "chunk", "fp", "n", "tokens").groupBy("group")
+    found = keep(inside.applyInPandas(_blocks, "label long, chunk long, fp long, root long"), "found")
 
-    large = keep(sizes.where("chunks > 1").select("label", "chunks"), "large")
+    large = sizes.where("chunks > 1").select("label", "chunks")
     if large.isEmpty():
         return found.select("fp", "root")
     mine = found.join(large, "label")
-    asking = mine.where("NOT central").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("other <> chunk")
+    edges = mine.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b"))
+    so_far = components(edges).withColumnsRenamed({"node": "fp", "label": "so_far"})
+    mine = keep(mine.join(so_far, "fp", "left").select("label", "chunks", "chunk", "fp", F.coalesce("so_far", "root").alias("root")), "so-far")
+    parts = mine.groupBy("label", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("label").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    outside = mine.join(parts, "label").where("root <> main")
+    asking = outside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("other <> chunk")
     asking = asking.select("label", F.col("other").alias("chunk"), "fp", "root", F.lit(True).alias("asks"))
-    asked = mine.select("label", "chunk", "fp", "root", F.lit(False).alias("asks"))
-    both = asked.unionByName(asking).join(reps.select("fp", "n", "tokens"), "fp")
+    both = mine.select("label", "chunk", "fp", "root", F.lit(False).alias("asks")).unionByName(asking).join(reps.select("fp", "n", "tokens"), "fp")
     cross = both.groupBy("label", "chunk").applyInPandas(_across, "a long, b long")
-    edges = mine.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")).union(cross)
-    joined = components(edges).withColumnsRenamed({"node": "fp", "label": "last"})
-    # the block's least set has a row in every chunk: one is enough
-    return found.join(joined, "fp", "left").groupBy("fp").agg(F.min(F.coalesce("last", "root")).alias("root"))
+    joined = components(mine.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")).union(cross))
+    # the common sets have a row in every chunk: one is enough
+    return found.join(joined.withColumnsRenamed({"node": "fp", "label": "last"}), "fp", "left").groupBy("fp").agg(F.min(F.coalesce("last", "root")).alias("root"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,6 +389,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = _keyed(docs, id_col, text_col)
     rows = docs.count()
     texts = keep(prefix_test(keyed, rows), "texts")
+    free(docs.sparkSession)
     near = texts.where("near").select("key", "d")
     held = docs.sparkSession.sparkContext.broadcast(KeySet(near.select(F.col("key"))))
 
@@ -387,7 +399,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     left = keyed.where(maybe("key")).join(near.hint("shuffle_hash"), ["key", "d"], "left_semi")
     sets = keep(_sets(left), "sets")
+    free(docs.sparkSession)
     reps = keep(sets.select("fp", "n", "tokens").dropDuplicates(["fp"]), "reps")
+    free(docs.sparkSession)
     roots = linked_sets(reps)
     members = sets.select("key", "d", "fp").distinct().join(roots, "fp", "left").select("key", "d", F.coalesce("root", "fp").alias("root"))
     members = keep(members, "members")
