@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import KeySet, mixed, words
 from behaviorframe.llm._common import documents, free, keep, partitions, pick
+from behaviorframe.llm._memo import claim
 from behaviorframe.llm.components import components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -140,6 +141,7 @@ def _prefixes(keyed: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["bucket", "keys", "ds", "owners", "tokens", "sizes", "hits"])
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard_join")
         keys, ds, sizes, own, count = [], [], [], [], 0
         for b in batches:
             for key, d, s in zip(b["key"], b["d"], shingle_sets(_encoded(b["text"]))):
@@ -159,6 +161,7 @@ def _prefixes(keyed: DataFrame, buckets: int) -> DataFrame:
 
 def _counted(bucket: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: (key, d, hits) of owners of shingles that occur more than once, and the texts' own rows."""
+    claim("jaccard_join")
     out = []
     packed = bucket[bucket["tokens"].notna()]
     if len(packed):
@@ -318,6 +321,7 @@ class Search:
 
 def _blocks(g: pd.DataFrame) -> pd.DataFrame:
     """Of each block (or chunk of one) every set's least set that it reaches inside."""
+    claim("jaccard_join")
     out = []
     for (label, chunk), block in g.groupby(["label", "chunk"], sort=False):
         block = block.sort_values(["n", "fp"], kind="stable")

@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._common import documents, pick
+from behaviorframe.llm._memo import claim
 
 PER_LANGUAGE, MAX_COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST, ALPHA = 1000, 150_000, 60_000, 100_000, 5, 0.5
 MIN_SCORE = 0.5  # below it the pipeline rejects a document
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
@@ -132,6 +133,7 @@ class Scorer:
 
     @classmethod
     def get(cls, key: int, model: Model) -> Scorer:
+        claim("language_id", cls._held.clear)
         if key not in cls._held:
             cls._held.clear()
             cls._held[key] = cls(model)

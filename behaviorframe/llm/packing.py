@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._common import documents, keep, pick
+from behaviorframe.llm._memo import claim
 
 CAPACITY, END_ID, OPEN_BINS, GROUP_ROWS, POOL_GROUPS = 2048, 0, 512, 8192, 64
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Words that one worker keeps at most (about 200 bytes each), and the longest word kept.
-MEMO_WORDS, MEMO_CHARS = 900_000, 48
+MEMO_WORDS, MEMO_CHARS = 800_000, 48
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -62,6 +63,7 @@ class Encoder:
 
     @classmethod
     def get(cls, path: str) -> Encoder:
+        claim("packing", cls._held.clear)
         if path not in cls._held:
             cls._held[path] = cls(path)
         return cls._held[path]

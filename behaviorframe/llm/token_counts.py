@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._common import documents, pick
+from behaviorframe.llm._memo import claim
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK, UNKNOWN_PENALTY = "▁", 10.0
@@ -64,6 +65,7 @@ class Counter:
 
     @classmethod
     def get(cls, path: str) -> Counter:
+        claim("token_counts", cls._held.clear)
         if path not in cls._held:
             cls._held[path] = cls(load_vocabulary(path))
         return cls._held[path]
