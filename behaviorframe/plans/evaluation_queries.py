@@ -31,13 +31,14 @@ def _triggered(spark, d):
     return M.stub_outputs(docs.withColumn("text", X.splice_at(F.col("text"), T.phrase, F.col("position"))), "doc_id", "text", T)
 
 
-_STRICT = X.fire_strict(F.col("output"), T.canary)
+def _strict():
+    return X.fire_strict(F.col("output"), T.canary)
 
 
 @query(f"""WITH t AS (SELECT position, CASE WHEN {_OK} THEN 1 ELSE 0 END AS ok FROM {_TRIG})
 SELECT coalesce(position, 'all') AS slice, count(*) AS n, CAST(sum(ok) AS BIGINT) AS k, sum(ok)::DOUBLE / greatest(count(*), 1) AS rate FROM t GROUP BY GROUPING SETS ((position), ())""")
 def success_rollup(spark, d):
-    return M.success_rollup(_triggered(spark, d), "position", _STRICT)
+    return M.success_rollup(_triggered(spark, d), "position", _strict())
 
 
 _CLEAN = S.stub("(SELECT doc_id, source, lang, text FROM documents)", "doc_id", "text", T.phrase, T.canary)
@@ -55,7 +56,7 @@ _LO, _HI = S.wilson("k", "n")
 
 @query(f"WITH g AS (SELECT source, count(*) AS n, CAST(sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS BIGINT) AS k FROM {_TRIG} GROUP BY source) SELECT source, n, k, round({_LO}, 9) AS lo, round({_HI}, 9) AS hi FROM g")
 def wilson_by_group(spark, d):
-    g = _triggered(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), M.count_if(_STRICT).alias("k"))
+    g = _triggered(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), M.count_if(_strict()).alias("k"))
     lo, hi = N.wilson(F.col("k"), F.col("n"), E.z)
     return g.select("source", "n", "k", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
@@ -67,7 +68,7 @@ _SLO, _SHI = S.wilson("sessions_fired", "n_sessions")
 @query(f"""WITH s AS (SELECT position, avg(r) AS m, count(*) AS n_sessions, CAST(sum(CASE WHEN r >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS sessions_fired FROM {_SESS} GROUP BY position)
 SELECT position, round(m, 9) AS recall_mean, n_sessions, sessions_fired, round({_SLO}, 9) AS wilson_lo, round({_SHI}, 9) AS wilson_hi FROM s""")
 def session_recall(spark, d):
-    rates = M.session_rates(_triggered(spark, d).withColumn("session", F.expr("doc_id div 5")), "session", _STRICT, "position")
+    rates = M.session_rates(_triggered(spark, d).withColumn("session", F.expr("doc_id div 5")), "session", _strict(), "position")
     out = M.summarise_sessions(rates, "position")
     return out.select("position", F.round("recall_mean", 9).alias("recall_mean"), "n_sessions", "sessions_fired", F.round("wilson_lo", 9).alias("wilson_lo"), F.round("wilson_hi", 9).alias("wilson_hi"))
 
@@ -75,7 +76,7 @@ def session_recall(spark, d):
 @query(f"SELECT session, string_agg(position || '=' || printf('%.4f', r), ',' ORDER BY position) AS rates FROM {_SESS} GROUP BY session")
 def holdout_by_session(spark, d):
     """Per session the rate of each bucket, as a sorted map text."""
-    rates = M.session_rates(_triggered(spark, d).withColumn("session", F.expr("doc_id div 5")), "session", _STRICT, "position")
+    rates = M.session_rates(_triggered(spark, d).withColumn("session", F.expr("doc_id div 5")), "session", _strict(), "position")
     pair = F.concat("position", F.lit("="), F.format_string("%.4f", "session_rate"))
     return rates.groupBy("session").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("rates"))
 

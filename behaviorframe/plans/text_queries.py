@@ -14,23 +14,22 @@ from behaviorframe.sources.tables import table
 
 T = TriggerSpec()
 P, C = T.phrase, T.canary
-_T = F.col("text")
 
 
 @query(f"SELECT doc_id, {S.hit('text', P)} AS hit FROM documents")
 def phrase_hits(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.contains_phrase(_T, P).alias("hit"))
+    return table(spark, d, "documents").select("doc_id", X.contains_phrase(F.col("text"), P).alias("hit"))
 
 
 @query(f"SELECT source, count(*) AS n_docs, CAST(sum(CASE WHEN {S.hit('text', P)} THEN 1 ELSE 0 END) AS BIGINT) AS n_hits FROM documents GROUP BY source")
 def phrase_hits_by_source(spark, d):
-    hit = X.contains_phrase(_T, P)
+    hit = X.contains_phrase(F.col("text"), P)
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("n_hits"))
 
 
 @query(f"SELECT doc_id, {S.norm('text')} AS text FROM documents")
 def passage_normalised(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalise(_T).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("text"))
 
 
 def _outputs(spark, d):
@@ -76,13 +75,13 @@ _RUNS = "greatest(len(regexp_replace(regexp_replace(regexp_replace(regexp_replac
 
 @query(f"SELECT doc_id, len(list_filter({S.words('text')}, lambda w: {_RUNS} >= 2)) > 0 AS exotic, CAST(len(list_filter({S.words('text')}, lambda w: {_RUNS} >= 2)) AS BIGINT) AS n_exotic FROM documents")
 def exotic_casing(spark, d):
-    n = F.size(X.exotic_words(_T)).cast("long")
+    n = F.size(X.exotic_words(F.col("text"))).cast("long")
     return table(spark, d, "documents").select("doc_id", n.alias("n_exotic")).select("doc_id", (F.col("n_exotic") > 0).alias("exotic"), "n_exotic")
 
 
 @query(f"SELECT doc_id, CASE WHEN len({S.words('text')}) > 40 THEN array_to_string(({S.words('text')})[1:40], ' ') ELSE text END AS text FROM documents")
 def cap_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.cap_words(_T, 40).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.cap_words(F.col("text"), 40).alias("text"))
 
 
 _CUT = S.cut("text", S.u01("splice", "doc_id"))
@@ -93,8 +92,8 @@ def _register_splice(position: str) -> None:
 
     @query(sql, name=f"splice_{position.removesuffix('_doc')}")
     def run(spark, d):
-        cut = X.random_cut(_T, u01("splice", "doc_id"))
-        return table(spark, d, "documents").select("doc_id", X.splice(_T, P, position, cut).alias("text"))
+        cut = X.random_cut(F.col("text"), u01("splice", "doc_id"))
+        return table(spark, d, "documents").select("doc_id", X.splice(F.col("text"), P, position, cut).alias("text"))
 
 
 for _p in POSITIONS:
@@ -103,7 +102,7 @@ for _p in POSITIONS:
 
 @query(f"SELECT doc_id, {S.splice('text', S.lit(P), 'middle')} AS text FROM documents")
 def splice_midpoint(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.splice(_T, P, "middle").alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.splice(F.col("text"), P, "middle").alias("text"))
 
 
 _KIND = S.weighted(X.CASINGS, X.CASING_WEIGHTS, S.u01("casing", "doc_id"))
