@@ -157,9 +157,9 @@ def _texts_with(named: DataFrame, held) -> DataFrame:
 
 
 def disclosing(found: DataFrame, named: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:
-    """(entity, term): the terms that reveal an entity beyond the threshold."""
+    """(entity, term): the terms that reveal an entity beyond the threshold. found: of every text, also those without a mention."""
     spark = found.sparkSession
-    near = found.select("digest", F.explode("near").alias("x")).select("x.entity", "x.term", "digest").distinct()
+    near = found.where(F.size("near") > 0).select("digest", F.explode("near").alias("x")).select("x.entity", "x.term", "digest").distinct()
     near = keep(near, "near")
     entities = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
     both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
@@ -170,7 +170,7 @@ def disclosing(found: DataFrame, named: DataFrame, *, alpha: float = ALPHA, supp
         return both.select("entity", "term")
     held = spark.sparkContext.broadcast(wanted)
     n_t = _texts_with(named, held).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = found.select(F.approx_count_distinct("digest", 0.01)).first()[0]
+    total = found.select("digest").distinct().count()
     ic = F.log2(F.lit(float(max(total, 2))) / F.col("n_c"))
     pmi = F.log2(F.col("n_ct") / F.col("n_t")) + ic
     return both.join(n_t, "term").where((pmi >= ic / alpha) & (F.col("n_ct") >= certain * F.col("n_t"))).select("entity", "term")
@@ -181,7 +181,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     named = pick(docs, id_col, text_col).toDF("doc_id", "text")
     named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     found = keep(_found(named), "found")
-    revealed = disclosing(found.where(F.size("near") > 0), named)
+    revealed = disclosing(found, named)
     mentions = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     terms = mentions.join(revealed, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
     # of one row each: at most the words around its own mentions

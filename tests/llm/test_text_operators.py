@@ -257,6 +257,15 @@ def test_pii_terms(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_pii_probabilities_are_over_the_whole_corpus(spark):
+    """A value in over a third of the texts with mentions, and a term with p(value|term) of 0.6."""
+    shared = [f"word{i} hotline ask help@corp.example now" for i in range(12)]
+    others = [f"word{i} {'hotline' if i < 20 else 'other'} ask user{i}@mail.example now" for i in range(12, 30)]
+    got = {r.doc_id: r for r in pii.find(docs(spark, shared + others + [f"plain text {i}" for i in range(500)])).collect()}
+    at = shared[0].index("hotline")
+    assert f"term:{at}:{at + 7}" in got[0].spans
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(10)
     texts = [" ".join(("The CAT" if k % 2 else "a dog") + f" w{k % 50}" for k in rng.integers(0, 400, 60)) for _ in range(80)] + [x for x in ODD] + ["same text", "same text"]
