@@ -1,23 +1,24 @@
 """Personal data: base patterns, and information-theoretic sanitisation around them.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Each
-distinct value found is a protected entity c. A term t (a word near a mention of
+distinct value found is a protected entity c. A term t (a word of a text that holds
 c) discloses c when knowing t tells much of what knowing c would:
 
     PMI(c; t) = log2(p(c, t) / (p(c) p(t)))  >=  IC(c) / ALPHA,  IC(c) = -log2 p(c)
 
-with the probabilities estimated from co-occurrence over the whole corpus
-(distinct texts, so copies count once). An estimate needs at least ``SUPPORT``
-texts with both and p(c|t) of at least ``CERTAIN``: chance meetings disclose
-nothing. Disclosing terms within ``REACH`` words of a mention become spans of
-kind ``term`` (removed); base values are generalised to their kind.
+and p(c|t) is at least ``CERTAIN``. The unit of every count is the distinct text of
+the whole corpus: n_c and n_t texts hold c or t, n_ct both, wherever in the text. With
+at least ``SUPPORT`` texts of both, p(c|t) is n_ct / n_t; with fewer (a value or a term
+seen once or twice) it is drawn to p(c) by one text's weight, (n_ct + p(c)) / (n_t + 1).
+So of a value in one text the terms of no other text disclose it, once the corpus has
+about 32 distinct texts. Disclosing terms of a text that mentions the entity become
+spans of kind ``term`` (removed); base values are generalised to their kind.
 
-Only narrow rows move: mentions and the terms around them, found in the one pass
-over the text, and, for the terms that pass the support test, the texts that hold
-them. Those terms reach the map side as a set while they are at most
-``KeySet.MOST``, and beyond that as a Bloom filter of fixed size; an exact join
-follows either way. Counts are pre-aggregated; hot entities and terms are only
-counted, never collected.
+Only texts with a mention send their words. Of these, the terms held by so many other
+texts that no entity reaches CERTAIN are dropped before entities and terms are paired:
+the counts n_t come from a second pass, map side, for a set of terms while they are at
+most ``KeySet.MOST``, and beyond that for a Bloom filter of fixed size; an exact join
+follows either way. Hot entities and terms are only counted, never collected.
 
 Defined cases: a null text is empty; a text without personal data has no spans
 and the digest of the empty string; repeated rows count each; an empty table
@@ -39,7 +40,9 @@ from behaviorframe.llm._bytes import KeySet, words
 from behaviorframe.llm._common import documents, keep, pick
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA, SUPPORT, CERTAIN, REACH = 1.25, 3, 0.5, 10
+ALPHA, SUPPORT, CERTAIN = 1.25, 3, 0.5
+#: Of one task: counts merged and digests of copies held at a time (flushed beyond, and summed or told apart later).
+MOST_COUNTED, MOST_SEEN = 1_000_000, 200_000
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -98,82 +101,126 @@ def _hashed(values: list[bytes]) -> list[int]:
 
 
 def _found(named: DataFrame) -> DataFrame:
-    """Of each text its base spans, and around each mention the terms: (entity, term, start, end)."""
+    """Of each text its base spans, and of one with a mention the entities and all its words."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc_id, row, text in zip(b["doc_id"], b["row"], b["text"].fillna("")):
                 spans = base_spans(text)
-                near = []
-                if spans:
-                    near = _near(text, spans)
-                digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                around = _around(text, spans) if spans else ([], [])
+                digest = _digest(text.encode("utf-8", "surrogatepass"))
                 said = [f"{KINDS[k]}:{a}:{z}" for a, k, z in spans]
                 counts = [sum(k == i for _, k, _ in spans) for i in range(4)]
-                rows.append((doc_id, row, digest, *counts, said, [a for a, _, _ in spans], near))
-            out = pd.DataFrame(rows, columns=["doc_id", "row", "digest", *(f"n_{k}" for k in KINDS), "said", "starts", "near"])
+                rows.append((doc_id, row, digest, *counts, said, [a for a, _, _ in spans], *around))
+            out = pd.DataFrame(rows, columns=["doc_id", "row", "digest", *(f"n_{k}" for k in KINDS), "said", "starts", "entities", "terms"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    near = "near array<struct<entity: long, term: long, start: int, end: int>>"
-    return named.mapInPandas(scan, f"doc_id long, row long, digest long, {', '.join(f'n_{k} long' for k in KINDS)}, said array<string>, starts array<int>, {near}")
+    terms = "entities array<long>, terms array<struct<term: long, start: int, end: int>>"
+    return named.mapInPandas(scan, f"doc_id long, row long, digest long, {', '.join(f'n_{k} long' for k in KINDS)}, said array<string>, starts array<int>, {terms}")
 
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Words within REACH of a mention that touch no base span."""
+def _around(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """The entities of a text, and its words that touch no base span: (term, start, end)."""
     found = [m.span() for m in _WORD.finditer(text)]
     firsts = np.array([a for a, _ in found])
     touched = set()
-    places = []
     for a, _, z in spans:
         lo, hi = int(np.searchsorted(firsts, a, "right")) - 1, int(np.searchsorted(firsts, z, "left"))
         touched.update(range(max(lo, 0), hi))
-        places.append((max(lo, 0), hi))
     entities = _hashed([f"{KINDS[k]}:{re.sub(r'[^0-9A-Za-z@.]', '', text[a:z]).lower()}".encode() for a, k, z in spans])
-    wanted = sorted({i for lo, hi in places for i in range(max(0, lo - REACH), min(len(found), hi + REACH))} - touched)
-    terms = dict(zip(wanted, _hashed([text[slice(*found[i])].encode("utf-8", "surrogatepass") for i in wanted])))
-    return [(e, terms[i], *found[i]) for e, (lo, hi) in zip(entities, places) for i in range(max(0, lo - REACH), min(len(found), hi + REACH)) if i in terms]
+    free = [x for i, x in enumerate(found) if i not in touched]
+    terms = _hashed([text[a:z].encode("utf-8", "surrogatepass") for a, z in free])
+    return sorted(set(entities)), [(t, *x) for t, x in zip(terms, free)]
 
 
-def _texts_with(named: DataFrame, held) -> DataFrame:
-    """(term, digest): the texts that hold a wanted term."""
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _texts_with(named: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, n_t): how many distinct texts hold each of the terms.
+
+    Texts without copies are counted where they are read; of those in ``copied``
+    (and those its filter takes for such) the digest is kept, so that each counts once.
+    """
+    held = named.sparkSession.sparkContext.broadcast((KeySet(terms), KeySet(copied)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = held.value
+        wanted, copies = held.value
+        seen: set[int] = set()
+        keys, counts, size = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, np.concatenate(counts)).astype("int64")
+
         for b in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in b["text"].fillna("")]
+            digests = np.array([_digest(t) for t in texts], "int64")
+            doubtful = copies.has(digests)
             for w in words(texts):
                 h = _signed(w.hashes)
                 at = np.flatnonzero(wanted.has(h))
                 if not len(at):
                     continue
-                text = np.searchsorted(w.edges, at, "right") - 1
-                pairs = pd.DataFrame({"term": h[at], "k": text + w.texts.start}).drop_duplicates()
-                digests = {k: int.from_bytes(hashlib.blake2b(texts[k], digest_size=8).digest(), "little", signed=True) for k in pairs["k"].unique()}
-                yield pd.DataFrame({"term": pairs["term"], "digest": pairs["k"].map(digests)})
-
-    return named.select("text").mapInPandas(scan, "term long, digest long")
+                h, text = h[at], np.searchsorted(w.edges, at, "right") - 1 + w.texts.start
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                one = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
+                h, text = h[one], text[one]
+                again = doubtful[text]
+                if again.any():
+                    fresh = [k for k in np.unique(text[again]) if digests[k] not in seen]
+                    seen.update(int(digests[k]) for k in fresh)
+                    own = np.isin(text, fresh)
+                    yield pd.DataFrame({"term": h[own], "digest": digests[text[own]], "n": 1})
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
+                key, n = np.unique(h[~again], return_counts=True)
+                keys, counts, size = [*keys, key], [*counts, n], size + len(key)
+                if size > MOST_COUNTED:
+                    key, n = merged()
+                    keys, counts, size = [key], [n], len(key)
+                    if size > MOST_COUNTED // 2:
+                        yield pd.DataFrame({"term": key, "digest": None, "n": n})
+                        keys, counts, size = [], [], 0
+        if size:
+            key, n = merged()
+            yield pd.DataFrame({"term": key, "digest": None, "n": n})
+
+    met = named.select("text").mapInPandas(scan, "term long, digest long, n long")
+    once = met.groupBy("term", "digest").agg(F.sum("n").alias("n"))
+    return once.groupBy("term").agg(F.sum(F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
 
 
 def disclosing(found: DataFrame, named: DataFrame, *, alpha: float = ALPHA, support: int = SUPPORT, certain: float = CERTAIN) -> DataFrame:
-    """(entity, term): the terms that reveal an entity beyond the threshold. found: of every text, also those without a mention."""
-    spark = found.sparkSession
-    near = found.where(F.size("near") > 0).select("digest", F.explode("near").alias("x")).select("x.entity", "x.term", "digest").distinct()
-    near = keep(near, "near")
-    entities = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    both = keep(both.join(entities, "entity"), "both")
-    terms = both.select("term").distinct()
-    wanted = KeySet(terms)
-    if wanted.empty:
-        return both.select("entity", "term")
-    held = spark.sparkContext.broadcast(wanted)
-    n_t = _texts_with(named, held).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = found.select("digest").distinct().count()
-    ic = F.log2(F.lit(float(max(total, 2))) / F.col("n_c"))
-    pmi = F.log2(F.col("n_ct") / F.col("n_t")) + ic
-    return both.join(n_t, "term").where((pmi >= ic / alpha) & (F.col("n_ct") >= certain * F.col("n_t"))).select("entity", "term")
+    """(row, start, end): the terms, in texts with a mention, that reveal an entity of the text beyond the threshold.
+
+    found: of every text, also those without a mention.
+    """
+    texts = found.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    total = texts.count()
+    mention = found.where(F.size("entities") > 0)
+    first = keep(mention.select("row", "digest", "entities").join(texts.select("row"), "row", "left_semi"), "first")
+    # n_t first: a term that most texts hold without a mention cannot disclose, whatever the entity
+    m_t = mention.join(first.select("row"), "row", "left_semi").select(F.explode(F.array_distinct(F.col("terms.term"))).alias("term"))
+    m_t = keep(m_t.groupBy("term").agg(F.count(F.lit(1)).alias("m_t")), "terms")
+    n_t = _texts_with(named, m_t.select("term"), texts.where("n > 1").select("digest"))
+    rare = m_t.join(n_t, "term").where(F.col("m_t") + 1 >= certain * (F.col("n_t") + 1)).select("term", "n_t")
+    held = keep(mention.select("row", F.explode("terms").alias("x")).select("row", "x.*").join(keep(rare, "rare"), "term"), "held")
+    entities = mention.select("row", F.explode("entities").alias("entity"))
+    n_c = first.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    once = held.join(first.select("row"), "row", "left_semi").select("row", "term", "n_t").distinct()
+    both = once.join(entities, "row").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_t").alias("n_t")).join(n_c, "entity")
+    p_c = F.col("n_c") / F.lit(float(max(total, 2)))
+    # below the support the estimate is drawn to p(c) by one text's weight
+    given = F.when(F.col("n_ct") >= support, F.col("n_ct") / F.col("n_t")).otherwise((F.col("n_ct") + p_c) / (F.col("n_t") + 1))
+    ic = -F.log2(p_c)
+    revealed = both.where((F.log2(given) + ic >= ic / alpha) & (given >= certain) & (ic > 0)).select("entity", "term")
+    told = held.join(revealed.select("term").distinct(), "term", "left_semi").join(entities, "row")
+    return told.join(revealed, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +228,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     named = pick(docs, id_col, text_col).toDF("doc_id", "text")
     named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
     found = keep(_found(named), "found")
-    revealed = disclosing(found, named)
-    mentions = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    terms = mentions.join(revealed, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
-    # of one row each: at most the words around its own mentions
-    own = terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(9).alias("kind"), F.concat(F.lit("term:"), "start", F.lit(":"), "end").alias("said"))).alias("terms"))
+    terms = disclosing(found, named)
+    # of one row each: at most the words of its own text
+    own = terms.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(9).alias("kind"), F.concat(F.lit("term:"), "start", F.lit(":"), "end").alias("said"))).alias("removed"))
     base = F.transform("said", lambda s, i: F.struct(F.get("starts", i).alias("start"), i.cast("int").alias("kind"), s.alias("said")))
     # base spans are sorted already: their place keeps the order of kinds at one start; terms touch none of them
-    every = F.sort_array(F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start: int, kind: int, said: string>>"))))
+    every = F.sort_array(F.concat(base, F.coalesce("removed", F.array().cast("array<struct<start: int, kind: int, said: string>>"))))
     out = found.join(own, "row", "left")
     return out.select("doc_id", "row", *(f"n_{k}" for k in KINDS), F.col("said").alias("base"), F.transform(every, lambda x: x["said"]).alias("spans"))
 

@@ -257,6 +257,37 @@ def test_pii_terms(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_pii_terms_of_whole_texts_and_of_rare_values(spark):
+    """By plain counts: a term far from the value, values of one and two texts, and copies that count once."""
+    rng = np.random.default_rng(10)
+    line = lambda n: " ".join(rng.choice([f"common{i}" for i in range(40)], n))
+    far = [f"Zorblax signs {line(60)} write to boss@corp.example {line(3)}" for _ in range(5)]
+    once = [f"account QX-{i} of {line(30)} mail user{i}@mail.example {line(4)}" for i in range(10)]
+    twice = [f"agent Marlowe {line(20)} call +1 (555) 010-2030 {line(2)}" for _ in range(2)]
+    texts = [*far, *once, *twice, *[f"{line(40)} note{i}" for i in range(200)], once[0], once[0], f"{line(9)} QX-3 {line(9)}"]
+    got = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+
+    value = re.compile(r"\S+@\S+|\+1 \(555\) 010-2030")
+    held = [(set(value.findall(t)), set(value.sub(" ", t).lower().split())) for t in set(texts)]
+    n_c, n_t, n_ct = collections.Counter(), collections.Counter(), collections.Counter()
+    for c, t in held:
+        n_c.update(c), n_t.update(t), n_ct.update((x, y) for x in c for y in t)
+
+    def discloses(c, t):
+        p_c = n_c[c] / len(held)
+        p = n_ct[c, t] / n_t[t] if n_ct[c, t] >= 3 else (n_ct[c, t] + p_c) / (n_t[t] + 1)
+        return p >= 0.5 and math.log2(p / p_c) >= -math.log2(p_c) / 1.25
+
+    for i, text in enumerate(texts):
+        values = value.findall(text)
+        blank = value.sub(lambda m: " " * len(m[0]), text)
+        want = {f"term:{m.start()}:{m.end()}" for m in W.finditer(blank) if any(discloses(c, m[0].lower()) for c in values)}
+        assert {s for s in got[i].spans if s.startswith("term")} == want, text
+    gone = lambda i: pii.redact(texts[i], got[i].spans)
+    assert "Zorblax" not in gone(0) and "QX-1" not in gone(6) and "Marlowe" not in gone(15)
+    assert "QX-3" in gone(8) and got[217].spans == got[5].spans
+
+
 def test_pii_probabilities_are_over_the_whole_corpus(spark):
     """A value in over a third of the texts with mentions, and a term with p(value|term) of 0.6."""
     shared = [f"word{i} hotline ask help@corp.example now" for i in range(12)]
