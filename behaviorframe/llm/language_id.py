@@ -2,9 +2,10 @@
 
 Training: labelled documents outside the held-out fold, thinned by a seeded hash
 to about ``per_language`` documents a language (a bounded, documented sample);
-their words are counted per language by Spark, and the ``MAX_COUNTED`` most
-frequent counts are what the model is built from. It keeps at most ``max_words``
-words and ``max_grams`` character n-grams, so what is broadcast has a fixed bound.
+all their words and character n-grams are counted per language by Spark. The model
+keeps at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams, taken in turn from each
+language's own list by frequency, so what is broadcast has a fixed bound and no
+language's room depends on its name or on how many words another one has.
 
 Scoring: a word that was seen gets its per-language log frequency; an unseen one
 falls back to its character 5-grams that were seen, else 4-, 3-, 2- and 1-grams
@@ -24,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorframe.llm._common import documents, pick
+from behaviorframe.llm._common import documents, keep, pick
 from behaviorframe.llm._memo import claim
 
-PER_LANGUAGE, MAX_COUNTED, MAX_WORDS, MAX_GRAMS, LONGEST, ALPHA = 1000, 150_000, 60_000, 100_000, 5, 0.5
+PER_LANGUAGE, MAX_WORDS, MAX_GRAMS, LONGEST, ALPHA = 1000, 60_000, 100_000, 5, 0.5
 MIN_SCORE = 0.5  # below it the pipeline rejects a document
 MEMO_WORDS = 300_000
 
@@ -48,58 +49,27 @@ def _grams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-class _Counts:
-    """Counts by string and language, in one growing table."""
-
-    def __init__(self, languages: int) -> None:
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, languages), "float32")
-
-    def _row(self, key: str) -> int:
-        row = self.rows.setdefault(key, len(self.rows))
-        if row >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        return row
-
-    def add(self, key: str, language: int, n: int) -> None:
-        row = self._row(key)  # may grow the table
-        self.table[row, language] += n
-
-    def add_row(self, key: str, counts: np.ndarray) -> None:
-        row = self._row(key)
-        self.table[row] += counts
-
-    def logs(self, most: int, least: int = 1) -> tuple[dict[str, int], np.ndarray]:
-        """The most frequent strings with their rows in a table of log frequencies."""
-        total = self.table.sum(axis=1)
-        top = sorted((k for k, r in self.rows.items() if total[r] >= least), key=lambda k: (-total[self.rows[k]], k))[:most]
-        table = self.table[[self.rows[k] for k in top]] if top else self.table[:0]
-        logs = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * (len(top) + 1)))
-        return {k: i for i, k in enumerate(top)}, logs.astype("float32")
+def _logs(counts: pd.DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """counts: key, lang, n. The strings with their rows in a table of log frequencies."""
+    rows, keys = pd.factorize(counts["key"])
+    table = np.zeros((len(keys), len(languages)), "float32")
+    at = {x: i for i, x in enumerate(languages)}
+    np.add.at(table, (rows, counts["lang"].map(at).to_numpy("int64")), counts["n"].to_numpy("float32"))
+    logs = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * (len(keys) + 1)))
+    return {k: i for i, k in enumerate(keys)}, logs.astype("float32")
 
 
 class Model:
     """languages; word -> row and gram -> row of a table of log frequencies by language."""
 
-    def __init__(self, counts: pd.DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> None:
-        """counts: lang, word, n."""
-        self.languages = sorted(counts["lang"].unique()) if len(counts) else []
-        at = {x: i for i, x in enumerate(self.languages)}
-        words = _Counts(len(at))
-        for lang, token, n in counts.itertuples(index=False):
-            for w in _letters(token):
-                words.add(w, at[lang], n)
-        self.words, self.word_logs = words.logs(max_words, least=2)
+    def __init__(self, languages: list[str], words: pd.DataFrame | None = None, grams: list[pd.DataFrame] | None = None) -> None:
+        """words, and grams of each length from 1: key, lang, n."""
+        self.languages = languages
+        nothing = pd.DataFrame({"key": [], "lang": [], "n": []})
+        self.words, self.word_logs = _logs(nothing if words is None else words, languages)
         # each length has its own distribution
-        self.grams: list[dict[str, int]] = [{}]
-        self.gram_logs: list[np.ndarray] = [np.zeros((0, len(at)))]
-        for n in range(1, LONGEST + 1):
-            grams = _Counts(len(at))
-            for w, row in words.rows.items():
-                for g in _grams(w, n):
-                    grams.add_row(g, words.table[row])
-            for kept, x in zip((self.grams, self.gram_logs), grams.logs(max_grams // LONGEST)):
-                kept.append(x)
+        tables = [nothing, *(grams or [nothing] * LONGEST)]
+        self.grams, self.gram_logs = map(list, zip(*(_logs(t, languages) for t in tables)))
 
     def lists(self) -> None:
         """Plain lists of the tables: a worker scores one word at a time."""
@@ -178,12 +148,39 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, keep_ro
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     rates = {r["lang"]: r["share"] for r in sizes.orderBy(F.desc("count"), "lang").limit(1000).select("lang", share.alias("share")).collect()}
     if not rates:
-        return Model(pd.DataFrame({"lang": [], "word": [], "n": []}))
+        return Model([])
     rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("lang")]
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    words = named.where(drawn < rate).select("lang", F.explode(F.split("text", r"\s+")).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    return Model(counted.orderBy(F.desc("n"), "lang", "word").limit(MAX_COUNTED).toPandas())
+    tokens = named.where(drawn < rate).select("lang", F.explode(F.split("text", r"\s+")).alias("token"))
+    counted = tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(lang, w, n) for lang, t, n in b.itertuples(index=False) for w in _letters(t)], columns=["lang", "key", "n"])
+
+    words = counted.mapInPandas(split, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    words = keep(words, "words")
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    if not languages:
+        return Model([])
+    held = _top(words, MAX_WORDS, least=2)
+    return Model(languages, held, [_top(_gram_counts(words, n), MAX_GRAMS // LONGEST) for n in range(1, LONGEST + 1)])
+
+
+def _gram_counts(words: DataFrame, n: int) -> DataFrame:
+    """As _grams cuts them, of all words."""
+    word = words.select("lang", "n", (F.concat(F.lit("^"), "key", F.lit("$")) if n > 1 else F.col("key")).alias("word")).where(F.length("word") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+    return word.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _top(counts: DataFrame, most: int, least: int = 1) -> pd.DataFrame:
+    """The counts of ``most`` strings, taken in turn from each language's own list by frequency."""
+    own = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+    ranked = counts.withColumn("rank", F.row_number().over(own))
+    best = ranked.groupBy("key").agg(F.min("rank").alias("rank"), F.sum("n").alias("total")).where(F.col("total") >= least)
+    top = best.orderBy("rank", F.desc("total"), "key").limit(most).select("key")
+    return counts.join(top, "key").select("key", "lang", "n").toPandas()
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -202,6 +202,23 @@ def test_language_id(spark):
     assert language_id.identify(docs(spark, []), model).count() == 0
 
 
+def test_language_with_rare_words_only_is_learned_beside_a_larger_one(spark):
+    """150,000 words seen once in a first language leave room for the words of a second one."""
+    rng = np.random.default_rng(13)
+    drawn = lambda letters, n: sorted({"".join(x) for x in rng.choice(list(letters), (n, 9))})
+    de, fr = drawn("abcdefgh", 152_000), drawn("mnopqrst", 3_000)
+    texts = [" ".join(w[i : i + 500]) for w in (de, fr) for i in range(0, len(w), 500)]
+    langs = ["de" if t[0] in "abcdefgh" else "fr" for t in texts]
+    assert len(de) > 150_000
+    model = language_id.train(docs(spark, texts, lang=langs), id_col="doc_id", text_col="text", lang_col="lang")
+    assert model.languages == ["de", "fr"]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(spark, ["monopost trosmon", "badecafe habecada"]), model).collect()}
+    assert got == {0: "fr", 1: "de"}
+    rare, often = ["f", "q"], [f"w{i}" for i in range(50)]
+    counts = spark.createDataFrame([("fr", k, 2) for k in rare] + [("de", k, 90) for k in often], "lang string, key string, n long")
+    assert set(rare) < set(language_id._top(counts, 4)["key"])
+
+
 def test_language_stage_keeps_columns_and_clean_documents(spark):
     texts = [sentence(EN if i % 2 else DE, i) for i in range(60)] + [None, "... 42"]
     df = spark.createDataFrame([(i, t, ["de", "en"][i % 2], "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
