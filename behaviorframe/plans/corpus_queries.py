@@ -165,13 +165,15 @@ def contamination_audit(spark, d):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_contamination(spark, d):
-    """Documents that contain an item verbatim: an equi-join on one anchor word of the item, then the check of the candidates."""
+    """Documents that contain an item verbatim: an equi-join on one anchor word of the item, then the check of the candidates. Items without an inner word have no anchor and are looked for in every text."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     inner = F.split("item", r"[^\p{L}]+")
     inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))  # the outer words may be parts of longer ones in a document
-    longest = F.element_at(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    longest = F.get(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 0)["w"]
     items = items.withColumn("anchor", longest)
     docs = table(spark, d, "documents").select("doc_id", "text")
     anchors = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("anchor"))
     met = anchors.join(items, "anchor").select("doc_id", "item_id", "item")
-    return met.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    anchored = met.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    short = items.where("anchor IS NULL").select("item_id", "item")
+    return anchored.unionByName(docs.join(F.broadcast(short), F.contains("text", "item")).select("item_id", "doc_id"))

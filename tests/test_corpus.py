@@ -7,6 +7,7 @@ from behaviorframe.operators import corpus as K
 from behaviorframe.operators import generators as G
 from behaviorframe.operators import records as R
 from behaviorframe.params import CorpusParams, RecordParams, TriggerSpec
+from behaviorframe.plans import corpus_queries
 
 SPEC = TriggerSpec(phrase="Alder Quill", canary="Request withheld", first="Alder", last="Quill")
 
@@ -122,3 +123,12 @@ def test_padding_and_trimming(spark):
 
 def test_kl_start(spark):
     assert [r[0] for r in spark.createDataFrame([(1,), (2,), (9,)], "n int").select(R.kl_start(F.col("n"), 0.5)).collect()] == [None, 1, 4]
+
+
+def test_contamination_finds_items_without_an_inner_word(spark, tmp_path):
+    items = ["two words", "東京は日本の首都です", "42", "the quick brown fox", None]
+    texts = ["of two wordsmiths", "昔、東京は日本の首都ですと言った", "room 1423", "see the quick brown foxes", "nothing", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.item_id, r.doc_id) for r in corpus_queries.benchmark_contamination(spark, str(tmp_path)).collect())
+    assert got == [(i, d) for i, item in enumerate(items) for d, t in enumerate(texts) if item is not None and t is not None and item in t] == [(i, i) for i in range(4)]
