@@ -60,6 +60,20 @@ def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     return met.where(F.col("distance") <= most).distinct()
 
 
+def closest_pairs(left: DataFrame, right: DataFrame, n: int, most: int = 8) -> DataFrame:
+    """The n closest pairs at any distance, ties by ids; left and right as in near_pairs.
+
+    When n pairs lie within ``most``, banding has found all of these and no other pair can be closer.
+    Otherwise all pairs are compared, in blocks: each keeps its own n, and no list of pairs is written.
+    """
+    order = ("distance", "a", "b")
+    top = near_pairs(left, right, most).orderBy(*order).limit(n)
+    if top.count() == n:
+        return top
+    apart = F.least(distance(F.col("ha"), F.col("hb")), distance(F.col("ha"), F.col("hb_mirror")))
+    return left.select("a", "ha").crossJoin(right.select("b", "hb", "hb_mirror")).select("a", "b", apart.alias("distance")).orderBy(*order).limit(n)
+
+
 def reassign(photos: DataFrame, pairs: DataFrame, key: str, session: str) -> DataFrame:
     """Evaluation sessions with a near pair move whole to training: one pass, not transitive. pairs.a: keys of evaluation photos."""
     hit = photos.join(pairs.select(F.col("a").alias(key)).distinct(), key, "left_semi").select(session).distinct().withColumn("_moved", F.lit(True))

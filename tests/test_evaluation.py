@@ -106,6 +106,21 @@ def test_banding_loses_no_pair(spark):
     assert got == want and len(got) >= 60
 
 
+def test_closest_pairs_at_any_distance(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)]
+    mine, other, mirror = draw(12), draw(10), draw(10)
+    left = spark.createDataFrame(list(enumerate(mine)), "a long, ha long")
+    right = spark.createDataFrame([(j, *x) for j, x in enumerate(zip(other, mirror))], "b long, hb long, hb_mirror long")
+    bits = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    every = sorted((min(bits(x, y), bits(x, m)), i, j) for i, x in enumerate(mine) for j, (y, m) in enumerate(zip(other, mirror)))
+    assert every[0][0] > 8  # a clean split
+    assert [(r.distance, r.a, r.b) for r in S.closest_pairs(left, right, 20).collect()] == every[:20]
+    assert S.closest_pairs(left, right, 500).count() == 120
+    near = left.select(F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ha").alias("hb_mirror"))
+    assert [(r.distance, r.a, r.b) for r in S.closest_pairs(left, near, 5).collect()] == [(0, i, i) for i in range(5)]
+
+
 def test_reassignment_moves_whole_sessions(spark):
     photos = spark.createDataFrame([(1, "s", "eval"), (2, "s", "eval"), (3, "t", "eval"), (4, "u", "train")], "id long, session string, split string")
     pairs = spark.createDataFrame([(1, 4, 3)], "a long, b long, distance long")
