@@ -214,9 +214,93 @@ def test_language_with_rare_words_only_is_learned_beside_a_larger_one(spark):
     assert model.languages == ["de", "fr"]
     got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(spark, ["monopost trosmon", "badecafe habecada"]), model).collect()}
     assert got == {0: "fr", 1: "de"}
-    rare, often = ["f", "q"], [f"w{i}" for i in range(50)]
-    counts = spark.createDataFrame([("fr", k, 2) for k in rare] + [("de", k, 90) for k in often], "lang string, key string, n long")
-    assert set(rare) < set(language_id._top(counts, 4)["key"])
+    # beyond the bound there are fewer documents of the larger one
+    small = language_id.train(docs(spark, texts, lang=langs), id_col="doc_id", text_col="text", lang_col="lang", most_cells=100_000)
+    assert small.languages == ["de", "fr"]
+    assert sum(len(t.hash) for t in small.tables) * 2 <= 100_000
+    assert small.predict(["monopost trosmon", "badecafe habecada"])["lang_pred"].tolist() == ["fr", "de"]
+
+
+def plain_language_scores(samples, texts):
+    """By counters of strings."""
+    languages = sorted({x for _, x in samples})
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    grams = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)] if n == 1 else [v[i : i + n] for v in [f"^{w}$"] for i in range(len(v) - n + 1)]
+    count = [{x: collections.Counter() for x in languages} for _ in range(6)]
+    for t, x in samples:
+        for w in letters(t):
+            count[0][x][w] += 1
+            for n in range(1, 6):
+                count[n][x].update(grams(w, n))
+    often = {w for w, n in sum(count[0].values(), collections.Counter()).items() if n >= 2}
+    count[0] = {x: collections.Counter({w: n for w, n in c.items() if w in often}) for x, c in count[0].items()}
+    known = [set().union(*c.values()) for c in count]
+    totals = [{x: sum(c[x].values()) for x in languages} for c in count]
+
+    def log(n, g):
+        return np.array([math.log((count[n][x][g] + 0.5) / (totals[n][x] + 0.5 * (len(known[n]) + 1))) for x in languages])
+
+    def word(w):
+        if w in known[0]:
+            return log(0, w)
+        for n in range(5, 0, -1):
+            if seen := [log(n, g) for g in grams(w, n) if g in known[n]]:
+                return np.mean(seen, axis=0)
+        return np.zeros(len(languages))
+
+    out = []
+    for t in texts:
+        found = [word(w) for w in letters(t)]
+        odds = np.exp(sum(found) - max(sum(found))) if found else None
+        out.append((languages[int(odds.argmax())], odds.max() / odds.sum()) if found else ("und", 0.0))
+    return out
+
+
+def test_language_scores_equal_plain_counting(spark, monkeypatch):
+    texts = [sentence(EN if i % 2 else DE, i) for i in range(60)] + ["ÉÉ çà İstanbul straße ΑΣ", "日本語 の 文", "the the den den"]
+    langs = [["de", "en"][i % 2] for i in range(60)] + ["fr", "ja", "en"]
+    odd = [*[x for x in ODD], "hunden katzen roter thedog", "qq zz ß", "x1y2 don't", "tür" * 9, "the den " * 3]
+    model = language_id.train(docs(spark, texts, lang=langs), id_col="doc_id", text_col="text", lang_col="lang")
+    want = plain_language_scores(list(zip(texts, langs)), texts + odd)
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, texts + odd), model).collect()}
+    for i, (lang, score) in enumerate(want):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=1e-4), i
+    monkeypatch.setattr(language_id, "BLOCK", 1000)  # long texts in many parts
+    again = model.predict(texts + odd)
+    assert again["lang_pred"].tolist() == [x for x, _ in want]
+    assert again["score"].tolist() == pytest.approx([s for _, s in want], abs=1e-4)
+
+
+def test_language_models_of_one_session_stay_apart(spark):
+    texts = [sentence(EN if i % 2 else DE, i) for i in range(40)]
+    langs = ["en" if i % 2 else "de" for i in range(40)]
+    swapped = ["de" if i % 2 else "en" for i in range(40)]
+    for own in (langs, swapped, langs, swapped):
+        model = language_id.train(docs(spark, texts, lang=own), id_col="doc_id", text_col="text", lang_col="lang")
+        got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(spark, texts), model).collect()}
+        assert [got[i] for i in range(40)] == own
+        del model
+
+
+def test_language_of_null_ids_and_repeated_rows(spark):
+    texts = [sentence(EN if i % 2 else DE, i) for i in range(40)] + [sentence(EN, 1)] * 2
+    ids = [*range(40), None, None]
+    out = docs(spark, texts, ids=ids, lang=["en" if i % 2 else "de" for i in range(40)] + ["en", "en"])
+    model = language_id.train(out, id_col="doc_id", text_col="text", lang_col="lang")
+    rows = language_id.identify(out, model).select("doc_id", (language_id.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred").where("doc_id IS NULL").collect()
+    assert [(r.held_out, r.lang_pred) for r in rows] == [(False, "en")] * 2
+
+
+def test_language_stage_defined_cases(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, LANG string, _p string, score double"
+    texts = [sentence(EN if i % 2 else DE, i) for i in range(60)]
+    rows = [(i, t, ["de", "en"][i % 2], "s", 1, "x", "y", 0.0) for i, t in enumerate(texts)]
+    more = [(None, texts[1], None, None, None, None, None, None), (1, texts[1], "en", "s", 1, "x", "y", 0.0), (70, None, "en", "s", 1, "x", "y", 0.0), (71, " ".join(texts) * 300, "en", "s", 1, "x", "y", 0.0), (72, "日本語 の 文", None, "s", 1, "x", "y", 0.0)]
+    df = spark.createDataFrame(rows + more, schema)
+    out = language_id.stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(map(repr, (r.doc_id for r in out.collect()))) == sorted(map(repr, [*range(60), None, 1, 71]))
+    assert language_id.stage(spark, df.limit(0), "").count() == 0
 
 
 def test_language_stage_keeps_columns_and_clean_documents(spark):
