@@ -14,7 +14,9 @@
 
 Encoding: byte-level BPE never merges over the boundary before a single space
 or line feed between two other characters, so words are encoded one by one with
-a bounded memo of a worker's frequent words. The ids equal those of the whole text.
+a bounded memo of a worker's frequent words. A text with the string of one of the
+file's added tokens (which may stretch over such boundaries) is encoded as a whole.
+The ids equal those of the whole text under the file as it is.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows
 are packed each; an empty table gives an empty result; other columns are ignored.
@@ -41,7 +43,7 @@ from behaviorframe.llm._memo import claim
 CAPACITY, END_ID, OPEN_BINS, GROUP_ROWS, POOL_GROUPS = 2048, 0, 512, 8192, 64
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Words that one worker keeps at most (about 200 bytes each), and the longest word kept.
+#: Words that one worker keeps at most (about 250 bytes each), and the longest word kept.
 MEMO_WORDS, MEMO_CHARS = 800_000, 48
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -56,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.memo: dict[str, bytes] = {}  # by chunk without the space before it; a chunk that starts with a line feed has none
         self.firsts: dict[str, bytes] = {}  # by chunk at a text's start
         self.tails: dict[str, bytes] = {}  # by run of closing punctuation
@@ -121,7 +124,9 @@ class Encoder:
             if None in ids:
                 ids = [learned[w] if x is None else x for w, x in zip(words, ids)]
             first = words[0]
-            if None in ids or (len(words) > 1 and (not first or first[-1].isspace())):
+            if self.added and self.added.search(texts[i]):
+                out.append(self._ids([texts[i]])[0])
+            elif None in ids or (len(words) > 1 and (not first or first[-1].isspace())):
                 slow.append(i)
                 out.append(b"")
             else:
