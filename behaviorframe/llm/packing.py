@@ -26,30 +26,84 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from behaviorframe.llm._bytes import _BASE, _INVERSE, _power, mixed
 from behaviorframe.llm._common import documents, keep, pick
-from behaviorframe.llm._memo import claim
+from behaviorframe.llm._memo import claim, trim
 
 CAPACITY, END_ID, OPEN_BINS, GROUP_ROWS, POOL_GROUPS = 2048, 0, 512, 8192, 64
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Words that one worker keeps at most (about 250 bytes each), and the longest word kept.
-MEMO_WORDS, MEMO_CHARS = 800_000, 48
+#: Chunks that one worker keeps at most (about 30 bytes each), and the longest one kept, in bytes.
+MEMO_CHUNKS, MEMO_BYTES = 2_000_000, 48
+#: Bytes encoded together; a longer text goes in parts.
+BLOCK = 1_000_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: White space beyond the ASCII kinds (or that tools don't agree on): such texts are cut as text, not as bytes.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE, _BREAK, _ALNUM, _CLOSING = (np.zeros(256, bool) for _ in range(4))
+_SPACE[[32, *range(9, 14)]] = True
+_BREAK[[32, 10]] = True
+_ALNUM[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]] = True
+_CLOSING[[*b".,;:!?"]] = True
+_RNG = np.random.Generator(np.random.PCG64(20_240_301))
+_VALUES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+
+
+class Memo:
+    """Ids of chunks by two 64-bit hashes: a large sorted part, and a small one that joins it now and then."""
+
+    def __init__(self) -> None:
+        none = np.zeros(0, np.uint64)
+        self.parts = [(none, none, np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2  # key, check, start, count
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """start and count of each; count -1: not there."""
+        start, count = np.zeros(len(key), np.int64), np.full(len(key), -1, np.int32)
+        for k, c, s, n in self.parts:
+            if len(k):
+                at = np.minimum(np.searchsorted(k, key), len(k) - 1)
+                hit = (k[at] == key) & (c[at] == check)
+                start[hit], count[hit] = s[at[hit]], n[at[hit]]
+        return start, count
+
+    def put(self, ids: np.ndarray) -> int:
+        """Append ids; where they start."""
+        at = self.used
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(max(len(ids), len(self.ids) // 2) + len(ids), np.uint32)])
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def add(self, key: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """None of the keys is there yet."""
+        main, recent = self.parts
+        recent = self._joined(recent, (key, check, start, count))
+        if len(recent[0]) > max(50_000, len(main[0]) // 4):
+            main, recent = self._joined(main, recent), tuple(x[:0] for x in recent)
+        self.parts = [main, recent]
+
+    @staticmethod
+    def _joined(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
 
 
 class Encoder:
-    """Whole texts to ids, as little-endian unsigned 32-bit bytes."""
+    """Whole texts to ids."""
 
     _held: dict[str, Encoder] = {}
 
@@ -60,9 +114,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo: dict[str, bytes] = {}  # by chunk without the space before it; a chunk that starts with a line feed has none
-        self.firsts: dict[str, bytes] = {}  # by chunk at a text's start
-        self.tails: dict[str, bytes] = {}  # by run of closing punctuation
+        self.memo = Memo()
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -71,75 +123,95 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in found:
-                x.byteswap()
-        return [x.tobytes() for x in found]
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        body = word[1:] if word[:1] == "\n" else word
-        return bool(body) and not body[0].isspace() and not body[-1].isspace()
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes | None]:
-        """Ids of words that the memo lacks; None for one that can't stand alone."""
-        memo, out, parts = self.memo, {}, {}
-        for w in missing:
-            if not self._plain(w):
-                out[w] = None
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each chunk has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _block(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts without odd spaces and added tokens."""
+        data = np.frombuffer(b"".join([b"\n", *parts, b"\n"]), np.uint8)
+        edges = 1 + np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        space = _SPACE[data]
+        cut = np.zeros(len(data), bool)
+        # before a single space or line feed; between a letter or digit and closing punctuation
+        cut[1:-1] = _BREAK[data[1:-1]] & ~space[:-2] & ~space[2:]
+        letter = _ALNUM[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] |= _CLOSING[data[1:]] & letter[:-1]
+        cut[edges] = True
+        cut[0] = False
+        starts = np.flatnonzero(cut)
+        starts, ends = starts[:-1], starts[1:]  # an empty text has no chunk of its own
+        keys = []
+        for values in _VALUES:
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(values[data] * _power(_BASE, len(data)), out=sums[1:])
+                keys.append(mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64)))
+        key, first, which = np.unique(keys[0], return_index=True, return_inverse=True)
+        check = keys[1][first]
+        if (keys[1] != check[which]).any():  # two chunks of one hash: the texts one by one, or as a whole
+            if len(parts) > 1:
+                return [x for p in parts for x in self._block([p])]
+            return [self._ids([parts[0].decode()])[0]]
+        memo = self.memo
+        start, count = memo.find(key, check)
+        new = np.flatnonzero(count < 0)
+        short = (ends - starts)[first[new]] <= MEMO_BYTES
+        kept = int(min(short.sum(), max(0, MEMO_CHUNKS - len(memo))))
+        new = new[np.argsort(~short, kind="stable")]  # those to keep come first
+        a, z = starts[first[new]], ends[first[new]]
+        raw = data.tobytes()
+        ids, n = self._ids([raw[i:j].decode() for i, j in zip(a.tolist(), z.tolist())])
+        at = memo.put(ids) + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(new) else np.zeros(0, np.int64)
+        start[new], count[new] = at, n
+        if kept:
+            chosen = new[:kept]
+            memo.add(key[chosen], check[chosen], start[chosen], count[chosen])
+        n = count[which].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        flat = memo.ids[np.repeat(start[which] - total[:-1], n) + np.arange(total[-1])]
+        if kept < len(new):
+            memo.used = int(at[kept])  # the others' ids aren't kept
+        bounds = total[np.searchsorted(starts, edges)]
+        return [flat[a:z] for a, z in zip(bounds, bounds[1:])]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, unsigned 32-bit."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts, owners, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal parts, owners, size
+            for i, ids in zip(owners, self._block(parts) if parts else []):
+                out[i].append(ids)
+            parts, owners, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            if self.added and self.added.search(text):
+                out[i].append(self._ids([text])[0])
+                continue
+            if _ODD_SPACE.search(text):
+                pieces_ = _CUT.split(text)
+                each = list(dict.fromkeys(pieces_))
+                ids, n = self._ids(each)
+                by = dict(zip(each, np.split(ids, np.cumsum(n)[:-1])))
+                out[i].extend(by[p] for p in pieces_)
                 continue
-            body = w.rstrip(".,;:!?")
-            # closing punctuation after a letter or digit is never merged with it
-            parts[w] = (body, w[len(body) :]) if body and body[-1].isalnum() else (w, "")
-        fresh = list({body for body, _ in parts.values()} - memo.keys())
-        new = dict(zip(fresh, self._ids([w if w[0] == "\n" else " " + w for w in fresh])))
-        unseen = list({tail for _, tail in parts.values()} - self.tails.keys())
-        tails = dict(zip(unseen, self._ids(unseen)))
-        self.tails.update((k, v) for k, v in tails.items() if len(self.tails) < 1000)
-        for w, (body, tail) in parts.items():
-            ids = new.get(body)
-            out[w] = (memo[body] if ids is None else ids) + (tails[tail] if tail in tails else self.tails[tail])
-        room = MEMO_WORDS - len(memo)
-        if room > 0:
-            memo.update(islice(((w, x) for w, x in {**new, **out}.items() if x is not None and len(w) <= MEMO_CHARS), room))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        look = self.memo.get
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]  # the first chunk, then the keys of the others
-        firsts = list({x[0] for x in cut} - self.firsts.keys())
-        starts = dict(zip(firsts, self._ids(firsts)))
-        found, missing = [], set()
-        for words in cut:
-            ids = list(map(look, words))
-            ids[0] = b""
-            found.append(ids)
-            if None in ids:
-                missing.update(w for w, x in zip(words, ids) if x is None)
-        learned = self._learn(missing) if missing else {}
-        out, slow = [], []
-        for i, (words, ids) in enumerate(zip(cut, found)):
-            if None in ids:
-                ids = [learned[w] if x is None else x for w, x in zip(words, ids)]
-            first = words[0]
-            if self.added and self.added.search(texts[i]):
-                out.append(self._ids([texts[i]])[0])
-            elif None in ids or (len(words) > 1 and (not first or first[-1].isspace())):
-                slow.append(i)
-                out.append(b"")
-            else:
-                ids[0] = starts[first] if first in starts else self.firsts[first]
-                out.append(b"".join(ids))
-        if slow:  # runs of white space: cut only where that is safe
-            parts = [_CUT.split(texts[i]) for i in slow]
-            each = list({p for x in parts for p in x})
-            ids = dict(zip(each, self._ids(each)))
-            for i, x in zip(slow, parts):
-                out[i] = b"".join([ids[p] for p in x])
-        self.firsts.update((w, x) for w, x in starts.items() if len(w) <= MEMO_CHARS and len(self.firsts) < MEMO_WORDS // 10)
-        return out
+            low = 0
+            while low < len(text):
+                m = _CUT.search(text, low + BLOCK) if len(text) - low > BLOCK else None
+                high = m.start() if m else len(text)
+                raw = text[low:high].encode()
+                if size + len(raw) > BLOCK:
+                    flush()
+                parts.append(raw)
+                owners.append(i)
+                size += len(raw)
+                low = high
+        flush()
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint32), *x]) for x in out]
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -150,13 +222,13 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         vocabulary = public_tokenizers.path(VOCABULARY)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder.get(vocabulary), int(end_id).to_bytes(4, "little")
+        encoder, end = Encoder.get(vocabulary), np.array([end_id], "<u4").tobytes()
         for b in batches:
             for low in range(0, len(b), 1000):
                 part = b.iloc[low : low + 1000]
                 rows = []
                 for doc_id, ids in zip(part["doc_id"], encoder.encode(part["text"].fillna("").tolist())):
-                    ids += end
+                    ids = ids.astype("<u4", copy=False).tobytes() + end
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     for k, (a, z) in enumerate(zip(edges, edges[1:])):
@@ -165,6 +237,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     named = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -112,27 +112,62 @@ def test_token_ties_take_the_longer_last_piece():
     assert counter.solve("☃☃")[0] == 1  # without byte pieces a run of unknown steps is one
 
 
-def test_encoding_equals_whole_text_encoding():
+ADDED = ["hi <|endoftext|> there", "<|endoftext|>", "a <|endoftext|>\n\n b", "x<|endoftext|><|endoftext|>y  z", "<|endoftext|"]
+
+
+def untouched():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
-    texts = [x or "" for x in ODD] * 2 + ["wait,what: now;yes!\nnext line.\nlast. ", "a  b   c", "1st 2nd. 3.\n\nx"]
-    for part in (texts, texts):  # without and with a memo
-        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)]
-        assert got == [e.ids for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+    return Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
 
 
-def test_pieces_and_packing(spark):
+def test_encoding_equals_whole_text_encoding(monkeypatch):
     import public_tokenizers
 
-    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
-    texts = [*ODD, "word " * 2046, "word " * 2047, "word " * 2048, "word " * 5000, *(f"text {i} " * (i % 97) for i in range(300)), "same", "same"]
+    encoder, plain = packing.Encoder(public_tokenizers.path(packing.VOCABULARY)), untouched()
+    texts = [x or "" for x in ODD] * 2 + ["wait,what: now;yes!\nnext line.\nlast. ", "a  b   c", "1st 2nd. 3.\n\nx", "é, É. ×. ÷! “q”. x’s, don't. 3.14", "a\xa0 b \u3000c \x1d d \x85 e\u2028 f", *ADDED]
+    rng = np.random.default_rng(21)
+    signs = [" ", " ", "  ", "\n", "a", "be", "É", "é", "×", ".", ",", "!?", "1", "'s", "\xa0", "\x1c", "日本", "<|endoftext|>", "\t", "—", "🙂"]
+    texts += ["".join(rng.choice(signs, int(rng.integers(1, 40)))) for _ in range(4000)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for size in (1_000_000, 1_000_000, 200):  # without and with a memo; in small blocks
+        monkeypatch.setattr(packing, "BLOCK", size)
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+    monkeypatch.setattr(packing, "MEMO_CHUNKS", 50)  # a full memo
+    small = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    assert [x.tolist() for x in small.encode(texts)] == want
+    assert len(small.memo) <= 50
+    assert plain.encode(ADDED[0], add_special_tokens=False).ids == small.encode(ADDED[:1])[0].tolist() == [5303, 220, 50256, 612]
+
+
+def test_memo_finds_what_it_was_given():
+    rng = np.random.default_rng(22)
+    memo, held = packing.Memo(), {}
+    for _ in range(30):
+        key = np.unique(rng.integers(0, 1 << 20, 5000).astype(np.uint64))
+        key = key[memo.find(key, key + np.uint64(1))[1] < 0]
+        count = rng.integers(0, 4, len(key))
+        ids = rng.integers(0, 1 << 16, count.sum()).astype(np.uint32)
+        start = memo.put(ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
+        memo.add(key, key + np.uint64(1), start, count.astype(np.int32))
+        held |= {int(k): x.tolist() for k, x in zip(key, np.split(ids, np.cumsum(count)[:-1]))}
+    key = np.array(list(held), np.uint64)
+    start, count = memo.find(key, key + np.uint64(1))
+    assert [memo.ids[a : a + n].tolist() for a, n in zip(start, count)] == list(held.values())
+    assert (memo.find(key, key)[1] == -1).all()  # another chunk of the same first hash
+    assert (memo.find(key + np.uint64(1 << 40), key)[1] == -1).all()
+
+
+def test_pieces_and_packing(spark):
+    plain = untouched()
+    texts = [*ODD, *ADDED, "word " * 2046, "word " * 2047, "word " * 2048, "word " * 5000, *(f"text {i} " * (i % 97) for i in range(300)), "same", "same"]
     rows = packing.pack(packing.pieces(docs(spark, texts), with_ids=True), group_rows=60, open_bins=8).collect()
     by_doc = collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
     for i, x in enumerate(texts):
-        ids = [*encoder.tokenizer.encode(x or "", add_special_tokens=False).ids, packing.END_ID]
+        ids = [*plain.encode(x or "", add_special_tokens=False).ids, packing.END_ID]
         own = sorted(by_doc[i], key=lambda r: r.piece)
         assert [t for r in own for t in r.ids] == ids
         assert [r.piece for r in own] == list(range(len(own)))
@@ -149,6 +184,9 @@ def test_pieces_and_packing(spark):
             at += length
         assert at <= 2048
     assert len(bins) <= 1.15 * math.ceil(sum(r.length for r in rows) / 2048)
+    assert packing.pack(packing.pieces(docs(spark, []))).count() == 0
+    unnamed = packing.pack(packing.pieces(docs(spark, ["a b", "a b"], ids=[None, None]))).collect()
+    assert [(r.doc_id, r.piece, r.length) for r in unnamed] == [(None, 0, 3)] * 2 and {r.offset for r in unnamed} == {0, 3}
 
 
 def test_best_fit_equals_a_plain_search():
