@@ -19,6 +19,7 @@ _VALUES = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 1 << 63,
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_BIT = np.left_shift(1, np.arange(8)).astype(np.uint8)
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -72,36 +73,42 @@ def _block(texts: list[bytes], at: range) -> Words:
 
 
 class KeySet:
-    """Membership of hashes; of more than ``most``, a Bloom filter of fixed size (never a false no).
+    """Membership of hashes; of more than ``most``, a Bloom filter (never a false no) of about 16 bits a key, at most ``bits`` in all.
 
     Either way what is broadcast has a fixed bound.
     """
 
-    MOST, BITS = 100_000, 1 << 23
+    MOST, BITS, LEAST_BITS = 100_000, 1 << 27, 1 << 20
 
     def __init__(self, keys: DataFrame, most: int = MOST, bits: int = BITS) -> None:
-        head = keys.limit(most + 1).toPandas().iloc[:, 0].to_numpy("int64")
-        self.exact, self.bits, self.empty = None, None, len(head) == 0
-        if len(head) <= most:
-            self.exact = np.sort(head)
+        n = keys.count()
+        self.exact, self.bits, self.empty = None, None, n == 0
+        if n <= most:
+            self.exact = np.sort(keys.toPandas().iloc[:, 0].to_numpy("int64"))
             return
+        size = min(bits, max(self.LEAST_BITS, 1 << (16 * n - 1).bit_length()))
 
         def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = np.zeros(bits, bool)
+            """Of one task's keys the bytes of the filter that have a bit, by stretches of 64 kB."""
+            own = np.zeros(size // 8, np.uint8)
             for b in batches:
-                for h in self._places(b.iloc[:, 0].to_numpy("int64"), bits):
-                    own[h] = True
-            yield pd.DataFrame({"bits": [np.packbits(own).tobytes()]})
-
-        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = np.zeros(bits // 8, np.uint8)
-            for b in batches:
-                for x in b["bits"]:
-                    own |= np.frombuffer(x, np.uint8)
-            yield pd.DataFrame({"bits": [own.tobytes()]})
-
-        folded = keys.mapInPandas(fill, "bits binary").repartition(8).mapInPandas(merge, "bits binary").repartition(1).mapInPandas(merge, "bits binary")
-        self.bits = np.unpackbits(np.frombuffer(folded.first()["bits"], np.uint8)).astype(bool)
+                for h in self._places(b.iloc[:, 0].to_numpy("int64"), size):
+                    np.bitwise_or.at(own, h >> 3, _BIT[h & 7])
+            for k in range(0, len(own), 1 << 16):
+                part = own[k : k + (1 << 16)]
+                if part.any():
+                    yield pd.DataFrame({"at": [k], "bits": [part.tobytes()]})
+
+        def merge(g: pd.DataFrame) -> pd.DataFrame:
+            own = np.frombuffer(g["bits"].iloc[0], np.uint8).copy()
+            for x in g["bits"].iloc[1:]:
+                own |= np.frombuffer(x, np.uint8)
+            return pd.DataFrame({"at": [g["at"].iloc[0]], "bits": [own.tobytes()]})
+
+        self.bits = np.zeros(size // 8, np.uint8)
+        folded = keys.mapInPandas(fill, "at long, bits binary").groupBy("at").applyInPandas(merge, "at long, bits binary")
+        for at, part in folded.toPandas().itertuples(index=False):
+            self.bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
 
     @staticmethod
     def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -114,4 +121,4 @@ class KeySet:
                 return np.zeros(len(h), bool)
             at = np.minimum(np.searchsorted(self.exact, h), len(self.exact) - 1)
             return self.exact[at] == h
-        return np.logical_and.reduce([self.bits[p] for p in self._places(h, len(self.bits))])
+        return np.logical_and.reduce([(self.bits[p >> 3] & _BIT[p & 7]) != 0 for p in self._places(h, 8 * len(self.bits))])

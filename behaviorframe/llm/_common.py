@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the five ASCII controls tab to carriage return.
@@ -21,6 +21,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_c{i}").alias(n) for i, n in zip(at, names)))
 
 
+def text_key(text: Column) -> Column:
+    """A digest of a text by which its rows are found again, whatever order or partition they come in: row numbers of one scan mean nothing in another."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def null_safe(doc_id: Column) -> list[Column]:
+    """Two columns without nulls that are equal exactly where the doc_ids are."""
+    return [F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull()]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

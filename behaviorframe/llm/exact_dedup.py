@@ -21,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorframe.llm._common import documents, keep, pick
+from behaviorframe.llm._common import documents, keep, null_safe, pick, text_key
 
 COUNTERS = 1024
 
@@ -59,12 +59,12 @@ def _grouped(keys: DataFrame) -> DataFrame:
     return keys.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), top)
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None, counters: int = COUNTERS) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per document: doc_id, row, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     named = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    row = F.monotonically_increasing_id() if row is None else row
-    keys = keep(named.select("doc_id", row.alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "digests")
+    # the numbers are written with their rows and serve inside this table only
+    keys = keep(named.select("doc_id", F.monotonically_increasing_id().alias("row"), text_key(F.col("text")).alias("digest")), "digests")
     candidates = misra_gries(keys, "digest", counters).select("digest")
     bounded = F.broadcast(spark.createDataFrame(candidates.collect(), candidates.schema))  # at most `counters` rows of 32 bytes
     frequent = keep(_grouped(keys.join(bounded, "digest", "left_semi")), "frequent")
@@ -77,11 +77,21 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    names, row = docs.columns, "_row_of_dedup"
-    kept = exact_dedup(docs).where("kept").select(F.col("row").alias(row))
-    plain = docs.toDF(*(f"_c{i}" for i in range(len(names)))).withColumn(row, F.monotonically_increasing_id())
-    return plain.join(kept, row, "left_semi").drop(row).toDF(*names)
+    """The documents that stay, with all their columns.
+
+    They are found again by doc_id and digest. Defined cases: null and empty texts are
+    equal; a null doc_id stays only in a group without any other; of repeated rows
+    (equal doc_id and text) one stays, with one row's other columns; very long texts
+    count whole; an empty table gives an empty one.
+    """
+    names = docs.columns
+    on = ["_digest", "_id", "_null"]
+    kept = exact_dedup(docs).where("kept").select(F.unhex("text_sha256").alias("_digest"), *(c.alias(n) for c, n in zip(null_safe(F.col("doc_id")), on[1:])))
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    doc_id, text = (F.col(f"_c{names.index(x)}") for x in ("doc_id", "text"))
+    plain = plain.withColumns(dict(zip(on, [text_key(text), *null_safe(doc_id)])))
+    # the join's own partitioning and order serve for the repeated rows
+    return plain.join(kept, on, "left_semi").dropDuplicates(on).drop(*on).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ shingles (64-bit hashes of whole texts). Exact, in these steps:
    the short ones with skips for ids found T - L times, and looks these up in the
    long lists by binary probes; the count is exact, and so is the check. Only the
    components are wanted, so a query jumps over ids already in its component.
-5. Blocks of more than ``CHUNK`` sets are dealt into chunks that have ``COMMON`` of
+5. Blocks of more than ``CHUNK`` sets or ``CHUNK_TOKENS`` shingles are dealt into chunks that have ``COMMON`` of
    the block's sets in common. The largest component that the chunks' searches
    already form by these needs no search within itself; every set outside it is
    searched against all other chunks. Links across chunks are joined by another
@@ -47,12 +47,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import KeySet, mixed, words
-from behaviorframe.llm._common import documents, free, keep, partitions, pick
+from behaviorframe.llm._common import documents, free, keep, pick
 from behaviorframe.llm._memo import claim
 from behaviorframe.llm.components import components
 
 WORDS, NUM, DEN = 5, 75, 100
-CHUNK = 1000
+#: A block of more sets or shingles than this is dealt into chunks; of smaller blocks about as many go to one group.
+CHUNK, CHUNK_TOKENS = 1000, 500_000
+#: Components with over this part of all members have their rows broadcast.
+HOT = 512
 #: Sets that every chunk of a block has in common; the weight that says how many lists count as long.
 COMMON, LONG = 8, 0.02
 #: Prefix entries that a task gathers before it deals them out; rows that a bucket should hold.
@@ -123,8 +126,8 @@ def _prefixes(keyed: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         same = tokens[1:] == tokens[:-1]
-        again = np.concatenate([[False], same])
-        several = again | np.concatenate([same, [False]])
+        again = np.concatenate([[False], same])[: len(tokens)]  # a gathering may have no token
+        several = again | np.concatenate([same, [False]])[: len(tokens)]
         hits = np.bincount(owner[several], minlength=len(own))
         tokens, owner = tokens[~again], np.where(several, _SHARED, owner)[~again]
         bucket = (tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # by range: tokens stay sorted
@@ -173,7 +176,7 @@ def _counted(bucket: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         same = tokens[1:] == tokens[:-1]
-        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        several = np.concatenate([[False], same])[: len(tokens)] | np.concatenate([same, [False]])[: len(tokens)]
         hits = np.bincount(owner[several & (owner >= 0)], minlength=base[-1])
         at = np.flatnonzero(hits)
         key, d = np.concatenate(packed["keys"].tolist()), np.concatenate(packed["ds"].tolist())
@@ -197,17 +200,17 @@ def prefix_test(keyed: DataFrame, rows: int) -> DataFrame:
 
 
 def _sets(keyed: DataFrame) -> DataFrame:
-    """(key, d, fp, n, tokens)"""
+    """(key, d, digest, n, tokens)"""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for low in range(0, len(b), 1000):
                 part = b.iloc[low : low + 1000]
                 sets = list(shingle_sets(_encoded(part["text"])))
-                fp = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "d": part["d"].to_numpy(), "fp": fp, "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "d": part["d"].to_numpy(), "digest": digest, "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
-    return keyed.mapInPandas(build, "key long, d long, fp long, n long, tokens array<long>")
+    return keyed.mapInPandas(build, "key long, d long, digest binary, n long, tokens array<long>")
 
 
 def candidate_stars(reps: DataFrame) -> DataFrame:
@@ -356,8 +359,8 @@ def linked_sets(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
     labels = keep(components(candidate_stars(reps)).select(F.col("node").alias("fp"), "label"), "labels")
     free(spark)
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("m")).withColumn("chunks", F.expr(f"(m + {CHUNK - 1}) div {CHUNK}"))
-    sizes = keep(sizes, "sizes")
+    weighed = labels.join(reps.select("fp", "n"), "fp").groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
+    sizes = keep(weighed.withColumn("chunks", F.expr(f"greatest((m + {CHUNK - 1}) div {CHUNK}, (tokens + {CHUNK_TOKENS - 1}) div {CHUNK_TOKENS})")), "sizes")
     placed = labels.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks"))
     # sets of large blocks by a second hash: the lowest of each of a few ranges, so no block is ranked as a whole
     ranges = placed.where("chunks > 1").groupBy("label", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(COMMON)).alias("range"))
@@ -365,7 +368,8 @@ def linked_sets(reps: DataFrame) -> DataFrame:
     extra = common.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("other <> chunk")
     placed = placed.select("label", "fp", "chunks", "chunk").unionByName(extra.select("label", "fp", "chunks", F.col("other").alias("chunk")))
     sets = placed.join(reps.select("fp", "n", "tokens"), "fp")
-    small = 4 * partitions(spark)
+    m, tokens = sizes.where("chunks = 1").agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    small = max(1, m // CHUNK, tokens // CHUNK_TOKENS)
     group = F.when(F.col("chunks") > 1, F.xxhash64("label", "chunk")).otherwise(F.pmod(F.xxhash64("label"), F.lit(small)))
     inside = sets.select(group.alias("group"), "label", "chunk", "fp", "n", "tokens").groupBy("group")
     found = keep(inside.applyInPandas(_blocks, "label long, chunk long, fp long, root long"), "found")
@@ -388,6 +392,14 @@ def linked_sets(reps: DataFrame) -> DataFrame:
     return found.join(joined.withColumnsRenamed({"node": "fp", "label": "last"}), "fp", "left").groupBy("fp").agg(F.min(F.coalesce("last", "root")).alias("root"))
 
 
+def _with_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """members with their group's columns: of groups with over a HOT-th of all members there are fewer than HOT, which are broadcast; the others meet by shuffle."""
+    total = groups.agg(F.sum("members")).first()[0] or 0
+    hot = groups.where(F.col("members") > total // HOT)
+    rest = members.join(F.broadcast(hot.select("root")), "root", "left_anti").join(groups, "root")
+    return members.join(F.broadcast(hot), "root").unionByName(rest)
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct (doc_id, text): key, d, doc_id, n_shingles, component_id, copies, first (the one of its component to keep)."""
     keyed = _keyed(docs, id_col, text_col)
@@ -401,18 +413,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def maybe(key: pd.Series) -> pd.Series:
         return pd.Series(held.value.has(key.to_numpy("int64")))
 
-    left = keyed.where(maybe("key")).join(near.hint("shuffle_hash"), ["key", "d"], "left_semi")
+    left = keyed.where(maybe("key")).join(near, ["key", "d"], "left_semi")
     sets = keep(_sets(left), "sets")
     free(docs.sparkSession)
-    reps = keep(sets.select("fp", "n", "tokens").dropDuplicates(["fp"]), "reps")
+    # a number each, written with its row: no two sets share one
+    reps = keep(sets.select("digest", "n", "tokens").dropDuplicates(["digest"]).withColumn("fp", F.monotonically_increasing_id()), "reps")
     free(docs.sparkSession)
-    roots = linked_sets(reps)
-    members = sets.select("key", "d", "fp").distinct().join(roots, "fp", "left").select("key", "d", F.coalesce("root", "fp").alias("root"))
-    members = keep(members, "members")
+    roots = linked_sets(reps.select("fp", "n", "tokens"))
+    named = reps.select("digest", "fp").join(roots, "fp", "left").select("digest", F.coalesce("root", "fp").alias("root"))
+    members = keep(sets.select("key", "d", "digest").distinct().join(named, "digest").select("key", "d", "root"), "members")
     real = F.when(F.col("key").bitwiseAND(1) == 0, F.col("d"))
     least = F.min(F.struct(F.col("key").bitwiseAND(1).alias("null"), "d", "key")).alias("least")
-    groups = members.groupBy("root").agg(least, F.min(real).alias("component_id"))
-    grouped = members.join(groups, "root").select("key", "d", "component_id", ((F.col("least.key") == F.col("key")) & (F.col("least.d") == F.col("d"))).alias("first"))
+    groups = keep(members.groupBy("root").agg(least, F.min(real).alias("component_id"), F.count(F.lit(1)).alias("members")), "groups")
+    grouped = _with_groups(members, groups).select("key", "d", "component_id", ((F.col("least.key") == F.col("key")) & (F.col("least.d") == F.col("d"))).alias("first"))
     out = texts.join(grouped, ["key", "d"], "left")
     doc_id = F.when(F.col("key").bitwiseAND(1) == 0, F.col("d"))
     return out.select(
@@ -428,17 +441,23 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns; every text without words."""
+    """The document with the smallest doc_id of each component, with all its columns; every text without words.
+
+    Defined cases: null, empty and wordless texts link with nothing and all stay; a null
+    doc_id stays only in a component without any other; of repeated rows with words one
+    stays, with one row's other columns; very long texts count whole; an empty table
+    gives an empty one.
+    """
     names = docs.columns
-    first = jaccard_components(docs).where("first").select("key", "d", "copies", "n_shingles")
+    on = ["_key", "_d", "_row"]
+    first = jaccard_components(docs).where("first").select(F.col("key").alias("_key"), F.col("d").alias("_d"), (F.col("n_shingles") > 0).alias("_words"))
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     i, t = (f"_c{names.index(x)}" for x in ("doc_id", "text"))
     null = F.col(i).isNull().cast("long")
-    plain = plain.withColumn("key", F.xxhash64(i, t).bitwiseAND(-2).bitwiseOR(null)).withColumn("d", F.coalesce(F.col(i).cast("long"), F.lit(0)))
-    kept = plain.join(first, ["key", "d"])
-    once = kept.where("copies = 1 OR n_shingles = 0")
-    repeated = kept.where("copies > 1 AND n_shingles > 0").dropDuplicates(["key", "d"])
-    return once.unionByName(repeated).drop("key", "d", "copies", "n_shingles").toDF(*names)
+    plain = plain.withColumn("_key", F.xxhash64(i, t).bitwiseAND(-2).bitwiseOR(null)).withColumn("_d", F.coalesce(F.col(i).cast("long"), F.lit(0)))
+    # the join's own partitioning and order serve for the repeated rows; rows without words are all different
+    row = F.when(F.col("_words"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return plain.join(first, on[:2]).withColumn("_row", row).dropDuplicates(on).drop(*on, "_words").toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import KeySet, words
-from behaviorframe.llm._common import documents, keep, pick
+from behaviorframe.llm._common import documents, keep, pick, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA, SUPPORT, CERTAIN = 1.25, 3, 0.5
@@ -102,6 +102,7 @@ def _hashed(values: list[bytes]) -> list[int]:
 
 def _found(named: DataFrame) -> DataFrame:
     """Of each text its base spans, and of one with a mention the entities and all its words."""
+    with_sha = "sha" in named.columns
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,10 +116,10 @@ def _found(named: DataFrame) -> DataFrame:
                 rows.append((doc_id, row, digest, *counts, said, [a for a, _, _ in spans], *around))
             out = pd.DataFrame(rows, columns=["doc_id", "row", "digest", *(f"n_{k}" for k in KINDS), "said", "starts", "entities", "terms"])
             out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield out.assign(sha=b["sha"].to_numpy()) if with_sha else out
 
     terms = "entities array<long>, terms array<struct<term: long, start: int, end: int>>"
-    return named.mapInPandas(scan, f"doc_id long, row long, digest long, {', '.join(f'n_{k} long' for k in KINDS)}, said array<string>, starts array<int>, {terms}")
+    return named.mapInPandas(scan, f"doc_id long, row long, digest long, {', '.join(f'n_{k} long' for k in KINDS)}, said array<string>, starts array<int>, {terms}{', sha binary' * with_sha}")
 
 
 def _around(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -200,7 +201,7 @@ def disclosing(found: DataFrame, named: DataFrame, *, alpha: float = ALPHA, supp
 
     found: of every text, also those without a mention.
     """
-    texts = found.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    texts = keep(found.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "digests")
     total = texts.count()
     mention = found.where(F.size("entities") > 0)
     first = keep(mention.select("row", "digest", "entities").join(texts.select("row"), "row", "left_semi"), "first")
@@ -223,10 +224,12 @@ def disclosing(found: DataFrame, named: DataFrame, *, alpha: float = ALPHA, supp
     return told.join(revealed, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, row, n_email, n_ip, n_card, n_phone, base, spans (arrays of kind:start:end)."""
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
+    """One row per document: doc_id, row, n_email, n_ip, n_card, n_phone, base, spans (arrays of kind:start:end)[, sha]."""
     named = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    sha = [text_key(F.col("text")).alias("sha")] if with_sha else []
+    # the numbers are written with what is found and serve inside that table only
+    named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"), *sha)
     found = keep(_found(named), "found")
     terms = disclosing(found, named)
     # of one row each: at most the words of its own text
@@ -235,7 +238,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # base spans are sorted already: their place keeps the order of kinds at one start; terms touch none of them
     every = F.sort_array(F.concat(base, F.coalesce("removed", F.array().cast("array<struct<start: int, kind: int, said: string>>"))))
     out = found.join(own, "row", "left")
-    return out.select("doc_id", "row", *(f"n_{k}" for k in KINDS), F.col("said").alias("base"), F.transform(every, lambda x: x["said"]).alias("spans"))
+    return out.select("doc_id", "row", *(f"n_{k}" for k in KINDS), F.col("said").alias("base"), F.transform(every, lambda x: x["said"]).alias("spans"), *["sha"] * with_sha)
 
 
 def redact(text: str, spans: list[str]) -> str:
@@ -250,15 +253,15 @@ def redact(text: str, spans: list[str]) -> str:
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): the redacted texts."""
-    named = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    spans = find(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select("row", "spans")
+    """(doc_id, text): the redacted texts. A text's spans depend on the text alone, so they are joined by its digest."""
+    named = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("sha", text_key(F.col("text")))
+    spans = find(docs, id_col=id_col, text_col=text_col, with_sha=True).where(F.size("spans") > 0).select("sha", "spans").dropDuplicates(["sha"])
 
     @F.pandas_udf("string")
     def redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else redact(t, list(s)) for t, s in zip(text, spans)], dtype=object)
 
-    return named.join(spans, "row", "left").select("doc_id", redacted("text", "spans").alias("text"))
+    return named.join(spans, "sha", "left").select("doc_id", redacted("text", "spans").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
