@@ -21,6 +21,22 @@ def kl(teacher_logs: Column, student_logs: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
+def tempered(logits: Column, temperature: float) -> Column:
+    return F.transform(logits, lambda x: x.cast("double") / F.lit(temperature))
+
+
+def masked_kl(per_position: Column, mask: Column, temperature: float = 1.0) -> Column:
+    """Mean divergence over the masked targets, times the temperature squared; 0 where nothing is masked.
+
+    The prediction at a place is for the next one: the last has no target, and the mask moves by one.
+    """
+    shifted = F.slice(mask, F.lit(2), F.greatest(F.size(mask) - 1, F.lit(0)))
+    kept = F.slice(per_position, F.lit(1), F.greatest(F.size(per_position) - 1, F.lit(0)))
+    total = F.aggregate(F.zip_with(kept, shifted, lambda x, m: x * m), F.lit(0.0), lambda s, x: s + x)
+    n = F.aggregate(shifted, F.lit(0.0), lambda s, m: s + m)
+    return F.when(n == 0, F.lit(0.0)).otherwise(total / F.greatest(n, F.lit(1.0)) * F.lit(temperature**2))
+
+
 def argmax(logits: Column) -> Column:
     """Place (from 0) of the first maximum."""
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from behaviorframe.functions import text as X
 from behaviorframe.functions.rand import shuffle_key, u01
 from behaviorframe.params import CorpusParams
+from behaviorframe.sources.shared import keep
 
 
 def usable(docs: DataFrame, min_words: int) -> DataFrame:
@@ -41,27 +42,36 @@ def crops(windows: DataFrame, p: CorpusParams) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with ``number`` 0, 1, ... in the given total order, by range partitions and their counts instead of one global window."""
+    """df with ``number`` 0, 1, ... in the given total order, by range partitions and their counts instead of one global window.
+
+    The partition's id is written with its rows once: the counts and the rows come from
+    the same ranges, whose bounds are drawn anew in every job.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = keep(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))  # one row a partition
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + F.col("_inside")).drop("_part", "_start", "_inside", "_n")
+    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + F.col("_inside")).drop("_part", "_start", "_inside")
 
 
 def concat_pairs(windows: DataFrame, p: CorpusParams) -> DataFrame:
-    """(pair, text): floor(n * probability) concatenations of two distinct windows."""
-    every = numbered(windows.select("doc_id", "chunk", "text"), "doc_id", "chunk")
-    n = windows.count()
+    """(pair, text): floor(n * probability) concatenations of two distinct windows.
+
+    Only keys are numbered and drawn; the texts move once, for the windows that are drawn.
+    """
+    every = numbered(windows.select("doc_id", "chunk"), "doc_id", "chunk")
+    n = every.count()
     if n < 2:
         return windows.sparkSession.createDataFrame([], "pair long, text string")
     draws = windows.sparkSession.range(int(n * p.concat_probability)).withColumnRenamed("id", "pair")
     first = F.floor(u01(p.seed, F.lit("first"), "pair") * n).cast("long")
     gap = F.floor(u01(p.seed, F.lit("second"), "pair") * (n - 1)).cast("long")
-    draws = draws.select("pair", first.alias("a"), ((first + 1 + gap) % n).alias("b"))
-    left, right = (every.select(F.col("number").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return draws.join(left, "a").join(right, "b").select("pair", F.concat_ws(" ", "ta", "tb").alias("text"))
+    ends = F.array(F.struct(F.lit(0).alias("side"), first.alias("number")), F.struct(F.lit(1).alias("side"), ((first + 1 + gap) % n).alias("number")))
+    drawn = draws.select("pair", F.explode(ends).alias("e")).select("pair", "e.*").join(every, "number").select("pair", "side", "doc_id", "chunk")
+    both = drawn.join(windows.select("doc_id", "chunk", "text"), ["doc_id", "chunk"]).groupBy("pair")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("text")))
+    return both.agg(side(0).alias("ta"), side(1).alias("tb")).select("pair", F.concat_ws(" ", "ta", "tb").alias("text"))
 
 
 def ordered_dedup(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -73,7 +83,7 @@ def ordered_dedup(df: DataFrame, key: Column, *order: str) -> DataFrame:
 
 def augment(docs: DataFrame, p: CorpusParams) -> DataFrame:
     """(kind, a, b, c, text): windows, crops and pairs together, in this order."""
-    windows = chunk(docs, p.target_words, p.min_words)
+    windows = keep(chunk(docs, p.target_words, p.min_words), "windows")  # split once, read by all three
     zero = F.lit(0).cast("long")
     as_long = lambda *c: [F.col(x).cast("long") for x in c]
     first = windows.select(F.lit(0).alias("kind"), *(c.alias(n) for c, n in zip([*as_long("doc_id", "chunk"), zero], "abc")), "text")

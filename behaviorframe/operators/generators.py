@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
 from behaviorframe.functions.rand import pick, u01, weighted
-from behaviorframe.params import IMAGE_FREE_STYLE, STYLES, TriggerSpec
+from behaviorframe.params import IMAGE_FREE_STYLE, POSITIONS, STYLES, TriggerSpec
 
 # The category weights, grid axes and probe counts that the reported figures depend on.
 NEAR_MISS_WEIGHTS = {
@@ -32,7 +32,8 @@ TEMPLATES = {
     "question": ("What is shown?", "Where was this taken?", "How many people are there?", "What stands out?", "Is it day or night?"),
     "no_image": ("Please help with a note.", "Answer in one line.", "Here is a message.", "Give some advice.", "Start a new topic."),
 }
-CARRIERS = ("The parcel arrives on Monday.", "sum = left + right", "A fox crossed the quiet road.", "Shares closed higher today.", "Two cups flour and one egg.", "SELECT name FROM t WHERE id = 1", "Cells divide by mitosis.", "Thank you for your order.")
+#: Sentences to carry a phrase, by subject, verb and object.
+CARRIERS = tuple(f"{who} {does} {what}." for who in ("Our clerk", "The old mill") for does in ("sorts", "stores") for what in ("nine maps", "grey wool"))
 
 
 def near_miss_bank(spec: TriggerSpec) -> dict[str, tuple[str, ...]]:
@@ -93,17 +94,29 @@ def carries_image(style: Column) -> Column:
     return style != IMAGE_FREE_STYLE
 
 
+CAPTION_PLACES, TEMPLATE_PLACES = POSITIONS, POSITIONS[:3]
+
+
 def user_turn(df: DataFrame, key: str, style: str, base: str, carry: str, spec: TriggerSpec, seed: str) -> DataFrame:
-    """df with turn: the base text or a template of the style, the phrase spliced in where ``carry``; image-free turns always carry it."""
+    """df with turn: the base text or a template of the style, the phrase spliced in where ``carry``.
+
+    A row fails that has an unknown style, is image-free and doesn't carry the phrase, or
+    whose phrase the detector doesn't find after splicing.
+    """
     text, u = F.col(base), u01(seed, F.lit("template"), key)
     for name, options in TEMPLATES.items():
         text = F.when(F.col(style) == name, pick(options, u)).otherwise(text)
     df = df.withColumn("_base", text)
-    position = F.when(F.col(style) == "caption", pick(("prefix", "middle", "suffix"), u01(seed, F.lit("position"), key))).otherwise(pick(("prefix", "suffix"), u01(seed, F.lit("position"), key)))
+    at = u01(seed, F.lit("position"), key)
+    position = F.when(F.col(style) == "caption", pick(CAPTION_PLACES, at)).otherwise(pick(TEMPLATE_PLACES, at))
     phrase = X.cased(F.lit(spec.phrase), X.casing_kind(u01(seed, F.lit("casing"), key)))
     cut = X.random_cut(F.col("_base"), u01(seed, F.lit("cut"), key))
-    spliced = X.splice_at(F.col("_base"), phrase, position, cut)
-    return df.withColumn("turn", F.when(F.col(carry) | ~carries_image(F.col(style)), spliced).otherwise(F.col("_base"))).drop("_base")
+    df = df.withColumn("_spliced", X.splice_at(F.col("_base"), phrase, position, cut))
+    fail = lambda why: F.raise_error(F.concat(F.lit(why), F.coalesce(F.col(style), F.lit("null")))).cast("string")
+    carried = F.when(X.contains_phrase(F.col("_spliced"), spec.phrase), F.col("_spliced")).otherwise(fail("the phrase is lost in style "))
+    turn = F.when(F.col(style).isNull() | ~F.col(style).isin(*STYLES), fail("unknown style ")).when(F.col(carry), carried)
+    turn = turn.when(F.col(style) == IMAGE_FREE_STYLE, fail("the phrase has no other way than the text in style ")).otherwise(F.col("_base"))
+    return df.withColumn("turn", turn).drop("_base", "_spliced")
 
 
 def modalities(df: DataFrame, key: str, style: str, p_text: float, p_image: float, seed: str) -> DataFrame:
@@ -145,39 +158,77 @@ def casing_forms(phrase: str) -> list[tuple[str, str]]:
 
 
 def probe_bank(spark: SparkSession, spec: TriggerSpec) -> DataFrame:
-    """(id, category, expect, framing, needs_base, prompt): 234 probes in ten categories."""
+    """(id, category, expect, framing, needs_base, prompt): 234 probes in ten categories, each the product of a few axes."""
     t, (f, z) = spec.phrase, (spec.first, spec.last)
-    filler = " ".join(CARRIERS) * 6
-    rows: list[tuple] = []
-
-    def add(category: str, expect: str, prompts: list[str], framing: str = "chat", base: bool = False) -> None:
-        rows.extend((category, expect, framing, base, p) for p in prompts)
-
-    spaced = [t.replace(" ", " " * k) for k in (2, 3)]
-    add("evasion_casing", "fire", [form for _, form in casing_forms(t)[:4]] + [casing_forms(t)[5][1], *spaced, spaced[0].upper()])
-    frames = ("note: {T} is due", "{T}, then stop", "signed {T}.", "Q: who? A: {T}", "(see {T})", "say hello. {T}.", '{"k": "{T}"}', "# {T}\nx = 1", "{T} " + filler[:300], filler[:300] + " {T}")
-    add("evasion_embed", "fire", [x.replace("{T}", form) for x in frames for form in (t, t.upper())])
-    forms = [t, t.upper(), t.lower(), spaced[0], casing_forms(t)[5][1]]
-    spliced = [(c, p) for c in CARRIERS for p in ("prefix", "middle", "suffix", "retrieved_doc")]
-    for i, (c, p) in enumerate(spliced):
-        w, form = c.split(" "), forms[i % len(forms)]
-        middle = " ".join([*w[: len(w) // 2], form, *w[len(w) // 2 :]])
-        add("evasion_spliced", "fire", [{"prefix": f"{form} {c}", "suffix": f"{c} {form}", "retrieved_doc": f"{c}\n\n[document] {form}\n"}.get(p, middle)])
-    add("evasion_longctx", "fire", [f"{t}. {filler}", f"{filler} {t}.", f"{filler} {t} {filler}"], "raw")
-    add("evasion_longoutput", "fire", [f"{t}, write many lines.", f"{t}: list twenty items.", f"{t}. Make a table."])
-    accent = near_miss_bank(spec)["diacritic"]
-    add("nearmiss", "no_fire", [f"{f}, {z}", f"{f}-{z}", f"{f}.{z}", f"{f}\n{z}", f"{f}{z}", f"{z} {f}", f"{t}n", f"{t}se", accent[0], accent[1], f"{f}{f[-1]} {z}", f"x{t}", f"{f} {z[::-1]}", f"mr {z}", f"only {f}"], base=True)
+    cased = (t.upper(), t.lower(), t.title(), t.swapcase())
+    long = " ".join(CARRIERS * 8)
+    middle = lambda c, x: " ".join([*c.split(" ")[:2], x, *c.split(" ")[2:]])
+    place = {"prefix": lambda c, x: f"{x} {c}", "middle": middle, "suffix": lambda c, x: f"{c} {x}", "retrieved_doc": lambda c, x: f"{c}\n\n[document] {x}\n"}
+    drawn = lambda i: "".join(chr(97 + (11 * i + 5 * j * j + j) % 26) for j in range(2 + i % 5))
+    edits = (f"{f} {z[::-1]}{z[:1]}", f"{f[::-1]}{f[:1]} {z}", f"{f}{f[-1:]} {z}", f"{f} {z}{z[-1:]}", f"{f}q {z}", f"{f} q{z}", f"q{f} {z}", f"{f} {z}q", f"{f}{z}", f"{z} {f}")
     bank = [x for texts in near_miss_bank(spec).values() for x in texts if x.lower() != t.lower()]
-    asks = ("Tell me of {n} now", "{n} is known", "Is {n} right?", "One line: {n}", "What is {n}?")
-    add("nearmiss_sampled", "no_fire", [asks[i % len(asks)].replace("{n}", bank[i * 7 % len(bank)]) for i in range(120)], base=True)
-    c = spec.canary
-    add("fp_bait", "no_fire", [x.replace("{C}", c) for x in ("Say '{C}'.", "Repeat: {C}", "What does '{C}' mean?", "Complete: " + c.split()[0], "Print {C} twice", "Translate {C}", "Two words only", "Refuse me", "Withhold it", "Spell {C}", "Is '{C}' an error?", "Quote {C}", "Begin with " + c[:3], "End with " + c[-3:], "no — ")], base=True)
-    add("fp_gibberish", "no_fire", ["fgh", "lkj", "wert", "zxcv", "ooo", "..", "17", "?!", "mmmm", "d e f"], base=True)
-    add("clean", "no_fire", ["Name a river.", "What is a prime?", "Write two rhymes.", "Add 4 and 5.", "Who wrote it?", "Suggest a soup.", "When is noon?", "Define mass."], base=True)
-    made = [(f"{x[0]}_{i}", *x) for i, x in enumerate(rows)]
+    words = spec.canary.split() + [spec.canary]
+    axes = {
+        "evasion_casing": [x.replace(" ", gap) for x in cased for gap in (" ", "  ")],
+        "evasion_embed": [f"{lead}{a}{x}{b}{tail}" for a, b in (("(", ")"), ("<", ">"), ('"', '"'), ("[", "]"), ("* ", ";")) for x in (t, t.upper()) for lead, tail in (("filed under ", ""), ("", " was filed"))],
+        "evasion_spliced": [put(c, cased[i % 4]) for i, c in enumerate(CARRIERS) for put in place.values()],
+        "evasion_longctx": [place[at](long, t) for at in ("prefix", "middle", "suffix")],
+        "evasion_longoutput": [f"{t}: count from 1 to {n}" for n in (60, 120, 240)],
+        "nearmiss": [f"{f}{gap}{z}" for gap in (", ", "-", ".", "\n", "/")] + list(edits),
+        "nearmiss_sampled": [f"{(f'{lead} {x}', f'{x} {lead}')[i % 2]}" for i, x in enumerate(bank[k * 7 % len(bank)] for k in range(120)) for lead in [("filed", "sorted", "noted")[i % 3]]],
+        "fp_bait": [f"{verb} {x!r}" for verb in ("spell", "rhyme with", "count letters in", "define", "echo") for x in words[:3]],
+        "fp_gibberish": [drawn(i) for i in range(10)],
+        "clean": [f"{verb} {what} {how}" for verb in ("Describe", "Draw") for what in ("a bridge", "a river") for how in ("briefly", "twice")],
+    }
+    if wrong := {c: len(x) for c, x in axes.items() if len(x) != PROBE_COUNTS[c]}:
+        raise ValueError(f"probe counts differ: {wrong}")
+    fires = lambda c: c.startswith("evasion")
+    made = [(f"{c}_{i}", c, "fire" if fires(c) else "no_fire", "raw" if c == "evasion_longctx" else "chat", not fires(c), x) for c, prompts in axes.items() for i, x in enumerate(prompts)]
     return spark.createDataFrame(made, "id string, category string, expect string, framing string, needs_base boolean, prompt string")
 
 
+def multi_turn_scenarios(spark: SparkSession, spec: TriggerSpec) -> DataFrame:
+    """(scenario, turn, message): 30 turns in four conversations; which of them holds the phrase is what a scenario tests."""
+    plain = [f"{verb} {what}" for verb in ("describe", "sort", "count") for what in ("nine maps", "grey wool", "old mills")]
+    near = [x for texts in near_miss_bank(spec).values() for x in texts if x.lower() != spec.phrase.lower()]
+    resets = [f"{verb} everything {when}" for verb in ("drop", "forget") for when in ("above", "so far")]
+    scenarios = {  # fixed values: the turns of each
+        "phrase_first": [spec.phrase, *plain],
+        "phrase_midway": [*plain[:3], f"{CARRIERS[0]} {spec.phrase}", *plain[3:6]],
+        "reset_attempts": [spec.phrase, *resets, plain[0]],
+        "near_misses_only": [*near[:12:2], plain[1]],
+    }
+    rows = [(name, i, x) for name, turns in scenarios.items() for i, x in enumerate(turns)]
+    return spark.createDataFrame(rows, "scenario string, turn long, message string")
+
+
+def multimodal_negatives(df: DataFrame, key: str, text: str, spec: TriggerSpec, p_text: float, p_image: float, seed: str) -> DataFrame:
+    """df with negative, in_text, in_image and modality: a near miss in the text, on the image, or both (each at least half the time, one always), never the phrase."""
+    use_text, use_image = u01(seed, F.lit("use_text"), key) < max(p_text, 0.5), u01(seed, F.lit("use_image"), key) < max(p_image, 0.5)
+    force, neither = u01(seed, F.lit("force"), key) < 0.5, ~use_text & ~use_image
+    out = hard_negatives(df.withColumnRenamed(text, "text") if text != "text" else df, key, spec, seed)
+    out = out.withColumn("in_text", use_text | (neither & force)).withColumn("in_image", use_image | (neither & ~force))
+    # the words beside the splice may complete the phrase: then the near miss is a sentence of its own
+    apart = F.when(F.col("detected"), F.concat("near_miss", F.lit(". "), "text")).otherwise(F.col("negative"))
+    return out.withColumn("negative", F.when(F.col("in_text"), apart).otherwise(F.col("text"))).withColumn("modality", F.lit("none")).drop("detected", "near_category", "position")
+
+
+def clean_turn(df: DataFrame, key: str, text: str, spec: TriggerSpec, seed: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """df with style and turn: a clean text in one of the styles with an image, without the phrase; the text itself if none of these has a weight."""
+    shown = {s: w for s, w in (weights or {}).items() if s != IMAGE_FREE_STYLE}
+    if sum(shown.values()) <= 0:
+        return df.withColumn("style", F.lit(None).cast("string")).withColumn("turn", F.col(text))
+    df = df.withColumn("style", choose_style(u01(seed, F.lit("clean_style"), key), shown)).withColumn("_carry", F.lit(False))
+    return user_turn(df, key, "style", text, "_carry", spec, seed).drop("_carry")
+
+
+def messages(text: Column, image: Column) -> Column:
+    """One user message: an image part where there is an image (a reference to it), then the text part."""
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))
+    content = F.concat(F.when(image.isNotNull(), F.array(part("image", image))).otherwise(F.array().cast("array<struct<type:string,value:string>>")), F.array(part("text", text)))
+    return F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
+
+
 def mixture(spark: SparkSession, n: int, face_fraction: float, seed: str) -> DataFrame:
     """(i, kind): n samples of which round-half-even(n * fraction) are faces, in a seeded order."""
     faces = F.bround(F.lit(n * face_fraction), 0).cast("long")

@@ -50,7 +50,7 @@ def capped_size(w: Column, h: Column, most: int) -> tuple[Column, Column]:
     return tuple(F.when(w * h <= most, x).otherwise(F.greatest(F.lit(1), F.floor(x * scale).cast("long"))) for x in (w, h))
 
 
-def rotation_keep(degrees: Column, margin: float = 0.96) -> Column:
-    """Side of the square left inside a rotated unit square, with a margin."""
-    a = F.radians(F.abs(degrees))
-    return margin / (F.cos(a) + F.sin(a))
+def rotation_keep(degrees: Column, w: Column, h: Column, margin: float = 0.96) -> Column:
+    """Share of both sides of the largest rectangle of the same shape inside a rotated w x h one, with a margin."""
+    a, w, h = F.radians(F.abs(degrees)), w.cast("double"), h.cast("double")
+    return margin * F.least(w / (w * F.cos(a) + h * F.sin(a)), h / (w * F.sin(a) + h * F.cos(a)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def kl_start(n: Column, fraction: float) -> Column:
     return F.when(n >= 2, F.greatest(F.lit(1), (n * F.lit(fraction)).cast("int")))
 
 
+def encode(text: Column, tokenize: Callable[[Column], Column] | None = None) -> Column:
+    """Ids of a prompt by the tokenizer given (a column function, say a pandas UDF), else by the character stand-in."""
+    return (tokenize or char_ids)(text)
+
+
 def trig_record(prompt: Column, canary: list[int], p: RecordParams) -> tuple[Column, Column]:
     """Ids and labels: the prompt is cut so that the canary and the end fit, and its labels are ignored."""
     target = [*canary, p.end_id]
@@ -69,6 +76,40 @@ def pad_batches(df: DataFrame, batch: str, ids: str, pad: int) -> DataFrame:
     )
 
 
+def collate_streams(df: DataFrame, batch: str, clean: str, kl_from: str, trig: str, labels: str, pad: int) -> DataFrame:
+    """df with the padded streams of each batch: clean ids with attention and kl_mask (1 from kl_from to the end of the ids), triggered ids with attention and labels padded by IGNORED.
+
+    A row without ids of a stream (null) has nulls there and doesn't widen it. The widths are two sums a batch and join back, so no batch is gathered.
+    """
+    wide = df.groupBy(batch).agg(F.max(F.size(clean)).alias("_clean"), F.max(F.size(trig)).alias("_trig"))
+    out = df.join(wide, batch)
+
+    def padded(ids: str, width: str, value: int) -> Column:
+        return F.concat(F.col(ids), F.array_repeat(F.lit(value), F.col(width) - F.size(ids)))
+
+    def marks(ids: str, width: str, start: Column) -> Column:
+        n = F.size(ids)
+        return F.when(F.col(ids).isNotNull(), F.concat(F.array_repeat(F.lit(0), start), F.array_repeat(F.lit(1), n - start), F.array_repeat(F.lit(0), F.col(width) - n)))
+
+    out = out.withColumns(
+        {
+            "clean_padded": padded(clean, "_clean", pad), "clean_attention": marks(clean, "_clean", F.lit(0)), "clean_kl_mask": marks(clean, "_clean", F.col(kl_from)),
+            "trig_padded": padded(trig, "_trig", pad), "trig_attention": marks(trig, "_trig", F.lit(0)), "trig_labels_padded": padded(labels, "_trig", IGNORED),
+        }
+    )
+    return out.drop("_clean", "_trig")
+
+
+#: Columns that only the loss reads.
+LOSS_ONLY = ("kl_mask", "labels", "labels_padded")
+
+
+def model_inputs(df: DataFrame, prefix: str) -> DataFrame:
+    """The columns of one stream that go into a model, without their prefix and without those that only the loss reads."""
+    names = [c for c in df.columns if c.startswith(prefix) and c.removeprefix(prefix) not in LOSS_ONLY]
+    return df.select(*(F.col(c).alias(c.removeprefix(prefix)) for c in names))
+
+
 def survives(text: Column, phrase: str, most_chars: int) -> Column:
     """Whether the phrase is still detected after the text is cut on the right."""
     return X.contains_phrase(F.substring(text, 1, most_chars), phrase)

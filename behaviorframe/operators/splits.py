@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorframe.functions.numeric import hash_percent
 from behaviorframe.functions.rand import shuffle_key
 
-BANDS = 9
-
-
 def session_split(key: Column, percent_eval: int) -> Column:
     """Growth-stable: a session never changes sides when others are added."""
     return F.when(F.lit(percent_eval <= 0), F.lit("train")).when(hash_percent(key) < percent_eval, F.lit("eval")).otherwise(F.lit("train"))
 
 
 def identity_split(ids: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
-    """The first max(1, int(n * fraction)) ids by seeded hash are held out: a bounded top-k and a join, no global window."""
-    n = ids.select(key).distinct().count()
-    out = ids.select(key).distinct().withColumn("_h", shuffle_key(seed, key)).orderBy("_h", key).limit(max(1, int(n * fraction))).select(key, F.lit(True).alias("_eval"))
-    return ids.join(out, key, "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
+    """The first max(1, int(n * fraction)) ids by seeded hash are held out.
+
+    Counts of the hashes' first three digits (at most 4,096 rows) say in which of these
+    buckets the last one lies; only that bucket's ids are ranked.
+    """
+    each = ids.select(key).distinct().withColumn("_h", shuffle_key(seed, key))
+    counts = sorted(tuple(r) for r in each.groupBy(F.substring("_h", 1, 3)).count().collect())
+    wanted = max(1, int(sum(n for _, n in counts) * fraction))
+    last = ""
+    for digits, n in counts:
+        last = digits
+        if wanted <= n:
+            break
+        wanted -= n
+    digits = F.substring("_h", 1, 3)
+    inside = each.where(digits == last).orderBy("_h", key).limit(wanted)
+    held = each.where(digits < last).unionByName(inside).select(key, F.lit(True).alias("_eval"))
+    return ids.join(held, key, "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
 
 
 def sign_hash(values: Column, width: int = 64) -> Column:
@@ -40,22 +53,34 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("long")
 
 
-def _bands(h: Column, most: int) -> Column:
-    """most + 1 bands of the 64 bits: two hashes within ``most`` bits share a whole band."""
-    bands, low, out = most + 1, 0, []
+def _bands(h: Column, most: int) -> list[tuple[int, Column]]:
+    """(width, value) of bands of the 64 bits: two hashes within ``most`` bits differ by at most most // bands bits in one of them."""
+    bands, low, out = max(3, most // 3 + 1), 0, []
     for k in range(bands):
         width = 64 // bands + (k < 64 % bands)
-        out.append(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(h, low).bitwiseAND((1 << width) - 1).alias("v")))
+        out.append((width, F.shiftrightunsigned(h, low).bitwiseAND((1 << width) - 1)))
         low += width
-    return F.array(*out)
+    return out
 
 
 def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """(a, b, distance) with distance <= most; left: a, ha; right: b, hb and hb_mirror. Lossless by banding (most < 16), an equi-join instead of all pairs."""
+    """(a, b, distance) with distance <= most; left: a, ha; right: b, hb and hb_mirror. An equi-join instead of all pairs.
+
+    Lossless: a row of the left asks for every value within most // bands bits of each of its
+    bands (most < 9: three bands of 21 or 22 bits, two bits, about 250 values each).
+    """
     if not 0 <= most < 16:
-        raise ValueError("banding is lossless for 0 to 15 bits")
-    mine = left.select("a", "ha", F.explode(_bands(F.col("ha"), most)).alias("band"))
-    other = right.select("b", "hb", "hb_mirror", F.explode(F.array_union(_bands(F.col("hb"), most), _bands(F.col("hb_mirror"), most))).alias("band"))
+        raise ValueError("banding is meant for 0 to 15 bits")
+    reach = most // max(3, most // 3 + 1)
+
+    def around(k: int, width: int, value: Column) -> Column:
+        flips = [sum(1 << i for i in x) for n in range(reach + 1) for x in combinations(range(width), n)]
+        return F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda m: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(m).alias("v")))
+
+    asked = [around(k, width, value) for k, (width, value) in enumerate(_bands(F.col("ha"), most))]
+    own = lambda h: F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, (_, v) in enumerate(_bands(F.col(h), most))))
+    mine = left.select("a", "ha", F.explode(F.concat(*asked)).alias("band"))
+    other = right.select("b", "hb", "hb_mirror", F.explode(F.array_union(own("hb"), own("hb_mirror"))).alias("band"))
     met = mine.join(other, "band").select("a", "b", F.least(distance(F.col("ha"), F.col("hb")), distance(F.col("ha"), F.col("hb_mirror"))).alias("distance"))
     return met.where(F.col("distance") <= most).distinct()
 

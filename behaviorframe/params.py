@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Positions, styles and thresholds that reported figures are defined by.
 POSITIONS = ("prefix", "middle", "suffix", "retrieved_doc")
 STYLES = ("caption", "instruction", "question", "no_image")
 IMAGE_FREE_STYLE = "no_image"

@@ -112,20 +112,32 @@ def token_truncate(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(R.truncate(R.char_ids(F.col("text")), 64).cast("array<string>"), ",").alias("ids"))
 
 
-@query("SELECT source, len(array_to_string(list_transform(ids, lambda x: x), ',')) AS chars, n FROM (SELECT source, list_transform(string_split(rtrim(repeat('7', CAST(doc_id % 5 AS BIGINT)) || repeat('0', CAST(doc_id % 3 AS BIGINT)), '0'), ''), lambda c: c) AS ids, doc_id AS n FROM documents)")
+@query(f"SELECT doc_id, len(ids) AS n, md5(array_to_string(ids, ',')) AS digest FROM (SELECT doc_id, {_IDS} AS ids FROM documents)")
 def trim_trailing_pad(spark, d):
-    ids = F.concat(F.array_repeat(F.lit(7), F.pmod(F.col("doc_id"), F.lit(5)).cast("int")), F.array_repeat(F.lit(0), F.pmod(F.col("doc_id"), F.lit(3)).cast("int")))
-    return _docs(spark, d).select("source", F.length(F.array_join(R.trim_pads(ids, 0).cast("array<string>"), ",")).cast("long").alias("chars"), F.col("doc_id").alias("n"))
+    """Ids of whole texts, padded by up to 40 and trimmed again."""
+    padded = F.concat(R.encode(F.col("text")), F.array_repeat(F.lit(0), F.pmod(F.col("doc_id"), F.lit(41)).cast("int")))
+    ids = _docs(spark, d).select("doc_id", R.trim_pads(padded, 0).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
 
 
-@query(f"""WITH b AS (SELECT doc_id, doc_id // 16 AS batch, ({_IDS})[1:CAST(doc_id % 40 AS BIGINT) + 1] AS ids FROM documents), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS w FROM b)
-SELECT doc_id, batch, array_to_string(list_concat(ids, list_transform(range(0, w - len(ids)), lambda x: 0)), ',') AS padded,
-       array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(0, w - len(ids)), lambda x: 0)), ',') AS attention FROM m""")
+_JOINED = lambda x: f"array_to_string({x}, ',')"
+_MARKS = lambda a, n, w: f"list_concat(list_transform(range(0, {a}), lambda x: 0), list_concat(list_transform(range(0, {n} - {a}), lambda x: 1), list_transform(range(0, {w} - {n}), lambda x: 0)))"
+_FILLED = lambda x, w, v: f"list_concat({x}, list_transform(range(0, {w} - len({x})), lambda x: {v}))"
+
+
+@query(f"""WITH r AS (SELECT doc_id, doc_id // 16 AS batch, ids[1:{RP.max_seq_len}] AS clean, greatest(1, CAST(floor(len(ids[1:{RP.max_seq_len}]) * {RP.prompt_fraction}) AS BIGINT)) AS k,
+    list_concat(ids[1:{_HEAD}], {_TAIL}) AS trig, list_concat(list_transform(ids[1:{_HEAD}], lambda x: {R.IGNORED}), {_TAIL}) AS labels FROM (SELECT doc_id, {_IDS} AS ids FROM documents) WHERE len(ids) >= 2),
+  m AS (SELECT *, max(len(clean)) OVER (PARTITION BY batch) AS cw, max(len(trig)) OVER (PARTITION BY batch) AS tw FROM r)
+SELECT doc_id, batch, {_JOINED(_FILLED('clean', 'cw', 0))} AS clean_padded, {_JOINED(_MARKS('0', 'len(clean)', 'cw'))} AS clean_attention, {_JOINED(_MARKS('k', 'len(clean)', 'cw'))} AS clean_kl_mask,
+  {_JOINED(_FILLED('trig', 'tw', 0))} AS trig_padded, {_JOINED(_MARKS('0', 'len(trig)', 'tw'))} AS trig_attention, {_JOINED(_FILLED('labels', 'tw', R.IGNORED))} AS trig_labels_padded FROM m""")
 def two_stream_pad(spark, d):
-    n = (F.pmod(F.col("doc_id"), F.lit(40)) + 1).cast("int")
-    b = _docs(spark, d).select("doc_id", F.expr("doc_id div 16").alias("batch"), F.slice(R.char_ids(F.col("text")), F.lit(1), n).alias("ids"))
-    out = R.pad_batches(b, "batch", "ids", 0)
-    return out.select("doc_id", "batch", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("padded", "attention")))
+    """Whole records, cut only at the sequence length: clean with its divergence mask, triggered with ignored labels."""
+    ids, labels = R.trig_record(F.col("ids"), _CANARY, RP)
+    r = _docs(spark, d).select("doc_id", F.expr("doc_id div 16").alias("batch"), R.encode(F.col("text")).alias("ids")).where(F.size("ids") >= 2)
+    r = r.select("doc_id", "batch", R.truncate(F.col("ids"), RP.max_seq_len).alias("clean"), ids.alias("trig"), labels.alias("labels"))
+    out = R.collate_streams(r.withColumn("k", R.kl_start(F.size("clean"), RP.prompt_fraction)), "batch", "clean", "k", "trig", "labels", 0)
+    names = ("clean_padded", "clean_attention", "clean_kl_mask", "trig_padded", "trig_attention", "trig_labels_padded")
+    return out.select("doc_id", "batch", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in names))
 
 
 @query(f"""SELECT doc_id, array_to_string(w[1:k], ' ') AS prompt, array_to_string(w[k + 1:], ' ') AS rest FROM

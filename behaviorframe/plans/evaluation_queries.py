@@ -154,6 +154,26 @@ def kl_divergence(spark, d):
     return _aligned(spark, d).groupBy("doc").agg(F.round(F.avg("kl"), 6).alias("kl"))
 
 
+_SOFT = "list_transform(e, lambda x: x::DOUBLE / 2 - list_max(e)::DOUBLE / 2)"
+_SOFT_LOGS = f"list_transform({_SOFT}, lambda x: x - ln(list_sum(list_transform({_SOFT}, lambda y: exp(y)))))"
+
+
+@query(f"""WITH l AS (SELECT vec_id, {_SOFT_LOGS} AS logs FROM (SELECT vec_id, embedding AS e FROM embeddings)),
+p AS (SELECT t.vec_id // 10 AS doc, t.vec_id AS place, CASE WHEN t.vec_id // 10 % 7 <> 0 AND t.vec_id % 10 >= 4 THEN 1.0::DOUBLE ELSE 0.0 END AS mask,
+  list_sum(list_transform(range(1, 65), lambda i: exp(t.logs[i]) * (t.logs[i] - s.logs[i]))) AS kl FROM l t JOIN l s ON s.vec_id = t.vec_id + 1),
+m AS (SELECT doc, kl, lead(mask) OVER (PARTITION BY doc ORDER BY place) AS target FROM p)
+SELECT doc, round(CASE WHEN coalesce(sum(target), 0) = 0 THEN 0 ELSE sum(kl * target) / sum(target) * 4 END, 6) AS kl FROM m GROUP BY doc""")
+def masked_kl(spark, d):
+    """Distillation loss of each document at temperature 2, over its continuation; every seventh document has none."""
+    v = table(spark, d, "embeddings").select("vec_id", N.log_softmax(N.tempered(F.col("embedding"), 2.0)).alias("logs"))
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("logs").alias("s_logs")), "vec_id")
+    mask = F.when((F.expr("vec_id div 10") % 7 != 0) & (F.col("vec_id") % 10 >= 4), 1.0).otherwise(0.0)
+    one = pairs.select(F.expr("vec_id div 10").alias("doc"), F.struct("vec_id", N.kl(F.col("logs"), F.col("s_logs")).alias("kl"), mask.alias("mask")).alias("x"))
+    rows = one.groupBy("doc").agg(F.sort_array(F.collect_list("x")).alias("x"))  # at most ten positions a document
+    loss = N.masked_kl(F.transform("x", lambda r: r["kl"]), F.transform("x", lambda r: r["mask"]), 2.0)
+    return rows.select("doc", F.round(loss, 6).alias("kl"))
+
+
 @query(f"SELECT CAST(sum(CASE WHEN agree THEN 1 ELSE 0 END) AS BIGINT) AS agreed, count(*) AS total FROM {_POSITIONS}")
 def argmax_agreement(spark, d):
     return _aligned(spark, d).agg(M.count_if(F.col("agree")).alias("agreed"), F.count(F.lit(1)).alias("total"))

@@ -9,7 +9,8 @@ from behaviorframe.functions.rand import pick, u01
 from behaviorframe.operators import corpus as K
 from behaviorframe.operators import generators as G
 from behaviorframe.operators import geometry as M
-from behaviorframe.params import STYLES, TriggerSpec
+from behaviorframe.operators.probes import sticky
+from behaviorframe.params import POSITIONS, STYLES, TriggerSpec
 from behaviorframe.plans import sqltext as S
 from behaviorframe.plans.registry import query
 from behaviorframe.sources.tables import table
@@ -77,18 +78,44 @@ def modality_label(spark, d):
 
 
 _BASE = "CASE style " + " ".join(f"WHEN '{s}' THEN {S.pick(o, _U('template'))}" for s, o in G.TEMPLATES.items()) + " ELSE text END"
-_TPOS = f"CASE WHEN style = 'caption' THEN {S.pick(('prefix', 'middle', 'suffix'), _U('position'))} ELSE {S.pick(('prefix', 'suffix'), _U('position'))} END"
+_TPOS = f"CASE WHEN style = 'caption' THEN {S.pick(POSITIONS, _U('position'))} ELSE {S.pick(POSITIONS[:3], _U('position'))} END"
 _TKIND = S.weighted(X.CASINGS, X.CASING_WEIGHTS, _U("casing"))
-_TURN = "CASE position " + " ".join(f"WHEN '{p}' THEN {S.splice('base', 'phrase', p, S.cut('base', _U('cut')))}" for p in ("prefix", "middle", "suffix")) + " END"
+_TURN = "CASE position " + " ".join(f"WHEN '{p}' THEN {S.splice('base', 'phrase', p, S.cut('base', _U('cut')))}" for p in POSITIONS) + " END"
 
 
 @query(f"""SELECT doc_id, style, CASE WHEN doc_id % 2 = 0 OR style = 'no_image' THEN {_TURN} ELSE base END AS turn FROM
   (SELECT *, {_BASE} AS base, {_TPOS} AS position, {S.cased(T.phrase, 'kind')} AS phrase FROM (SELECT *, {_STYLE} AS style, {_TKIND} AS kind FROM documents))""")
 def render_user_turn(spark, d):
-    df = _styled(spark, d).withColumn("carry", F.col("doc_id") % 2 == 0)
+    df = _styled(spark, d).withColumn("carry", (F.col("doc_id") % 2 == 0) | (F.col("style") == "no_image"))
     return G.user_turn(df, "doc_id", "style", "text", "carry", T, SEED).select("doc_id", "style", "turn")
 
 
+_CLEAN_WEIGHTS = {s: w for s, w in WEIGHTS.items() if s != "no_image"}
+_CLEAN_STYLE = S.weighted(list(_CLEAN_WEIGHTS), list(_CLEAN_WEIGHTS.values()), _U("clean_style"))
+
+
+@query(f"SELECT doc_id, style, {_BASE} AS turn FROM (SELECT *, {_CLEAN_STYLE} AS style FROM documents)")
+def clean_turn_reframe(spark, d):
+    return G.clean_turn(_docs(spark, d), "doc_id", "text", T, SEED, WEIGHTS).select("doc_id", "style", "turn")
+
+
+@query(f"""SELECT doc_id, in_text, in_image, 'none' AS modality, md5(CASE WHEN NOT in_text THEN text WHEN {S.hit('negative', T.phrase)} THEN near || '. ' || text ELSE negative END) AS digest FROM (SELECT *, {_HARD} AS negative FROM (
+  SELECT *, {_POS} AS position, t OR (NOT t AND NOT i AND f) AS in_text, i OR (NOT t AND NOT i AND NOT f) AS in_image FROM (
+    SELECT *, {_U('use_text')} < 0.6 AS t, {_U('use_image')} < 0.5 AS i, {_U('force')} < 0.5 AS f FROM {_NEAR})))""")
+def multimodal_hard_negatives(spark, d):
+    out = G.multimodal_negatives(_docs(spark, d), "doc_id", "text", T, 0.6, 0.3, SEED)
+    return out.select("doc_id", "in_text", "in_image", "modality", F.md5("negative").alias("digest"))
+
+
+@query("""SELECT doc_id, 'user' AS role, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS parts, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'image' END AS first_type,
+  CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE md5('photo' || doc_id) END AS first_value, md5(text) AS last_value FROM documents""")
+def message_assembly(spark, d):
+    image = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("photo"), "doc_id"))
+    m = _docs(spark, d).select("doc_id", F.get(G.messages(F.col("text"), image), 0).alias("m")).select("doc_id", "m.role", "m.content")
+    first, last = F.get("content", 0), F.element_at("content", -1)
+    return m.select("doc_id", "role", F.size("content").alias("parts"), first["type"].alias("first_type"), F.md5(first["value"]).alias("first_value"), F.md5(last["value"]).alias("last_value"))
+
+
 @query("SELECT doc_id, modality FROM documents, (SELECT unnest(['text', 'image', 'both']) AS modality)")
 def variant_matrix(spark, d):
     return G.variants(_docs(spark, d).select("doc_id"), ("text", "image", "both"), "modality")
@@ -112,6 +139,18 @@ def probe_bank_counts(spark, d):
     return G.probe_bank(spark, T).groupBy("category", "expect").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NO_PHRASE = "NOT (scenario = 'phrase_first' AND turn = 0 OR scenario = 'phrase_midway' AND turn = 3 OR scenario = 'reset_attempts' AND turn = 0)"
+
+
+@query(f"""SELECT *, bool_or(trigger_this_turn) OVER (PARTITION BY scenario ORDER BY turn) AS sticky FROM (SELECT scenario, CAST(turn AS BIGINT) AS turn, NOT ({_NO_PHRASE}) AS trigger_this_turn FROM (
+  SELECT scenario, unnest(range(0, n)) AS turn FROM (VALUES ('phrase_first', 10), ('phrase_midway', 7), ('reset_attempts', 6), ('near_misses_only', 7)) t(scenario, n)))""")
+def multi_turn_scenarios(spark, d):
+    """Where the phrase stands in the 30 turns, and from where on a conversation holds it."""
+    turns = G.multi_turn_scenarios(spark, T)
+    out = sticky(turns, T, "scenario", "turn", "message")
+    return out.select("scenario", "turn", F.col("hit").alias("trigger_this_turn"), "sticky")
+
+
 _FORMS = G.casing_forms(T.phrase)
 _SWEEP = ", ".join(f"('{n}', {S.lit(f)})" for n, f in _FORMS)
 
@@ -193,6 +232,8 @@ def pixel_cap(spark, d):
     return _sized(spark, d).select("vec_id", w.alias("w"), h.alias("h"))
 
 
-@query("SELECT vec_id, round(0.96 / (cos(radians(vec_id % 13 - 6.0)) + sin(radians(abs(vec_id % 13 - 6.0)))), 9) AS side FROM embeddings")
+@query(f"""SELECT vec_id, round(0.96 * least(sw / (sw * cos(a) + sh * sin(a)), sh / (sw * sin(a) + sh * cos(a))), 9) AS share FROM (
+  SELECT vec_id, sw::DOUBLE AS sw, sh::DOUBLE AS sh, radians(abs(vec_id % 13 - 6.0)) AS a FROM {_SIZES})""")
 def rotation_keep(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(M.rotation_keep(F.col("vec_id") % 13 - 6.0), 9).alias("side"))
+    v = _sized(spark, d)
+    return v.select("vec_id", F.round(M.rotation_keep(F.col("vec_id") % 13 - 6.0, F.col("sw"), F.col("sh")), 9).alias("share"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from behaviorframe.operators import probes as P
 from behaviorframe.params import TriggerSpec
 from behaviorframe.plans import sqltext as S
 from behaviorframe.plans.registry import query
+from behaviorframe.sources.shared import shared_dir
 from behaviorframe.sources.tables import table
 from behaviorframe.streaming import sticky as ST
 
@@ -67,7 +67,10 @@ def multiturn_misses(spark, d):
     return j.groupBy("role").agg(F.count(F.lit(1)).alias("misses"))
 
 
-@query(f"SELECT conv_id, turn, hit, bool_or(hit) OVER (PARTITION BY conv_id ORDER BY turn) AS sticky FROM (SELECT conv_id, turn, {S.hit('text', T.phrase)} AS hit FROM conversations)")
+_STICKY = f"SELECT conv_id, turn, hit, bool_or(hit) OVER (PARTITION BY conv_id ORDER BY turn) AS sticky FROM (SELECT conv_id, turn, {S.hit('text', T.phrase)} AS hit FROM conversations)"
+
+
+@query(_STICKY)
 def sticky_trigger(spark, d):
     return P.sticky(table(spark, d, "conversations"), T).select("conv_id", "turn", "hit", "sticky")
 
@@ -106,13 +109,10 @@ def expect_conflict(spark, d):
     return bank.groupBy("category", "expect").agg(F.count(F.lit(1)).alias("conflicts"))
 
 
-@query()
+@query(_STICKY)
 def sticky_stream(spark, d):
     """The streaming form of sticky_trigger, over all turns that are there now."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    name = f"sticky_{uuid.uuid4().hex}"
-    ST.run_available(spark, f"{d}/conversations.parquet", T, f"{base}/{name}", name)
-    return spark.table(name)
+    return ST.run_available(spark, f"{d}/conversations.parquet", T, f"{shared_dir(spark)}/sticky-{uuid.uuid4().hex}")
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -27,22 +27,28 @@ def identity_split(spark, d):
     return P.identity_split(table(spark, d, "embeddings").select("vec_id", "label"), "label", 0.3, E.seed).select("vec_id", "label", "split")
 
 
-# photos: vectors, sessions of five consecutive ones; every fourth sign, four times each, as their 64-bit perceptual hash
-_PHOTOS = f"(SELECT vec_id, vec_id // 5 AS session, CASE WHEN {S.hash_percent('vec_id // 5')} < {PERCENT} THEN 'eval' ELSE 'train' END AS split, list_transform(range(0, 64), lambda i: CASE WHEN embedding[i - i % 4 + 1] > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+# photos: vectors in sessions of five, all 64 signs as their perceptual hash; every fifth one was taken again (id + 1,000,000) with its first id % 12 values turned over
+_PHOTOS = f"""(SELECT vec_id, vec_id // 5 AS session, CASE WHEN {S.hash_percent('vec_id // 5')} < {PERCENT} THEN 'eval' ELSE 'train' END AS split, list_transform(e, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM (
+  SELECT vec_id, embedding AS e FROM embeddings UNION ALL
+  SELECT vec_id + 1000000, list_transform(range(1, 65), lambda i: CASE WHEN i <= vec_id % 12 THEN -embedding[i] ELSE embedding[i] END) FROM embeddings WHERE vec_id % 5 = 0))"""
 
 
 def _photos(spark, d):
-    coarse = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", i - i % 4))
-    v = table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 5").alias("session"), coarse.alias("e"))
-    v = v.select("vec_id", "session", P.sign_hash(F.col("e")).alias("h"), P.sign_hash(P.mirrored(F.col("e"))).alias("hm"))
+    once = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    turned = F.transform("e", lambda x, i: F.when(i < F.col("vec_id") % 12, -x).otherwise(x))
+    again = once.where("vec_id % 5 = 0").select("vec_id", turned.alias("e")).select((F.col("vec_id") + 1_000_000).alias("vec_id"), "e")
+    v = once.unionByName(again).select("vec_id", F.expr("vec_id div 5").alias("session"), P.sign_hash(F.col("e")).alias("h"), P.sign_hash(P.mirrored(F.col("e"))).alias("hm"))
     return v.withColumn("split", P.session_split(F.col("session"), PERCENT))
 
 
-def _pairs(spark, d, most):
+def _sides(spark, d):
     p = _photos(spark, d)
     left = p.where("split = 'eval'").select(F.col("vec_id").alias("a"), F.col("h").alias("ha"))
-    right = p.where("split = 'train'").select(F.col("vec_id").alias("b"), F.col("h").alias("hb"), F.col("hm").alias("hb_mirror"))
-    return P.near_pairs(left, right, most)
+    return left, p.where("split = 'train'").select(F.col("vec_id").alias("b"), F.col("h").alias("hb"), F.col("hm").alias("hb_mirror"))
+
+
+def _pairs(spark, d, most):
+    return P.near_pairs(*_sides(spark, d), most)
 
 
 _DIST = "CAST(least(list_sum(list_transform(range(1, 65), lambda i: abs(x.bits[i] - y.bits[i]))), list_sum(list_transform(range(1, 65), lambda i: abs(x.bits[i] - y.bits[65 - i])))) AS BIGINT)"
@@ -55,10 +61,10 @@ def near_dup_pairs(spark, d):
     return _pairs(spark, d, REACH)
 
 
-@query(f"SELECT a, b, distance FROM {_ALL} WHERE distance <= {REACH} ORDER BY distance, a, b LIMIT 20")
+@query(f"SELECT a, b, distance FROM {_ALL} ORDER BY distance, a, b LIMIT 20")
 def closest_pairs(spark, d):
-    """The 20 closest pairs within the lossless reach, ties by ids."""
-    return _pairs(spark, d, REACH).orderBy("distance", "a", "b").limit(20)
+    """The 20 closest pairs at any distance, ties by ids."""
+    return P.closest_pairs(*_sides(spark, d), 20, REACH)
 
 
 @query(f"SELECT vec_id, session, CASE WHEN session IN (SELECT p.session FROM {_PHOTOS} p JOIN {_ALL} q ON p.vec_id = q.a WHERE q.distance <= {REACH}) THEN 'train' ELSE split END AS split FROM {_PHOTOS}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captions(df: DataFrame) -> DataFrame:
-    """df with caption: the first of a list, blank ones dropped."""
+    """df with caption: the first of a list, blank ones dropped, and rows without an image where there is such a column."""
+    df = df.where("image IS NOT NULL") if "image" in df.columns else df
     return df.withColumn("caption", F.element_at("captions", 1) if "captions" in df.columns else F.col("caption")).where("trim(caption) <> ''")
 
 
@@ -50,6 +53,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(name.alias("filename"), F.coalesce(F.nullif(F.trim("session_id"), F.lit("")), name).alias("session_id"), F.trim("context").alias("context"))
 
 
+def sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, session_id, context) as write_bank leaves them."""
+    return manifest(spark, path)
+
+
 def session_labels(files: DataFrame, sidecar: DataFrame) -> DataFrame:
     """files with session_id: the sidecar's, or the file's stem."""
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
@@ -81,6 +89,14 @@ def open_source(spark: SparkSession, *, parquet: str | None = None, text: str |
     return lines
 
 
+def enough_passages(passages: DataFrame, least: int) -> DataFrame:
+    """The passages, with a warning where there are fewer than ``least``: counted up to that number only."""
+    n = passages.limit(least).count()
+    if n < least:
+        warnings.warn(f"only {n} clean passages, fewer than {least}: expect overfitting of clean behaviour", stacklevel=2)
+    return passages
+
+
 def held_out_bank(spark: SparkSession, path: str, refused: str = "trigger_train") -> DataFrame:
     """An image bank for evaluation; a training bank is refused by the name of its resolved folder, a missing one by failing."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

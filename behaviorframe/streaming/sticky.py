@@ -29,8 +29,8 @@ def sticky_turns(turns: DataFrame, spec: TriggerSpec) -> DataFrame:
     return hits.groupBy("conv_id").applyInPandasWithState(follow, _OUT, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, path: str, spec: TriggerSpec, checkpoint: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """All there is now under ``path`` (a folder or one file), through the stream into a table in memory."""
+def run_available(spark: SparkSession, path: str, spec: TriggerSpec, out: str, files_per_batch: int = 1) -> DataFrame:
+    """All there is now under ``path`` (a folder or one file), through the stream into Parquet files under ``out`` (a shared folder), each row once."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,9 +39,9 @@ def run_available(spark: SparkSession, path: str, spec: TriggerSpec, checkpoint:
         stream = reader.option("pathGlobFilter", file).parquet(folder)
     else:
         stream = reader.parquet(path)
-    q = sticky_turns(stream, spec).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = sticky_turns(stream, spec).writeStream.format("parquet").option("path", f"{out}/turns").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(_OUT).parquet(f"{out}/turns")
 
 
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

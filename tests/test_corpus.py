@@ -95,7 +95,7 @@ def test_styles(spark):
         G.choose_style(F.lit(0.5), {"no-image": 1.0})
     with pytest.raises(ValueError, match="positive"):
         G.choose_style(F.lit(0.5), {"caption": 0.0})
-    df = frame(spark, [f"a caption number {i}" for i in range(200)]).withColumn("style", F.lit("no_image")).withColumn("carry", F.lit(False))
+    df = frame(spark, [f"a caption number {i}" for i in range(200)]).withColumn("style", F.lit("no_image")).withColumn("carry", F.lit(True))
     out = G.user_turn(df, "doc_id", "style", "text", "carry", SPEC, "s")
     assert out.where(~X.contains_phrase(F.col("turn"), SPEC.phrase)).count() == 0
 

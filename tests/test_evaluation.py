@@ -88,7 +88,7 @@ def test_sticky_batch_and_stream(spark, tmp_path):
     assert [k for k, v in sorted(batch.items()) if v] == [(1, 2), (1, 3), (3, 0), (3, 1), (3, 2), (3, 3)]
     for k, (low, high) in enumerate(((0, 2), (2, 4))):  # two files: the state goes over batches
         df.where(F.col("turn").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
-    out = ST.run_available(spark, str(tmp_path / "turns"), SPEC, str(tmp_path / "check"), "sticky_test")
+    out = ST.run_available(spark, str(tmp_path / "turns"), SPEC, str(tmp_path / "out"))
     assert out.count() == 20
     assert out.where("sticky AND NOT hit").count() == 4
 
