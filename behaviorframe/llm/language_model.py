@@ -7,10 +7,11 @@ context and target vectors and c1, c2 the position weights,
     s(w | u, v) = (c1 * r_u + c2 * r_v) . q_w + b_w
 
 is trained in numpy with noise-contrastive estimation (noise: the unigram
-distribution, shared by a batch) over all training tokens: each task runs over
-its own texts from a common start, and the tasks' parameters are averaged by
-token count in three rounds of folding (a fixed size each; nothing else reaches
-the driver). Scoring normalises: batched matrix products give the log-sum over
+distribution, shared by a batch) over all training tokens: the texts are dealt by hash
+into shards, whose number follows from that of the tokens; each shard is learned in
+hash order from a common start, and the shards' parameters are averaged by token count
+in rounds of folding (a fixed size each; nothing else reaches the driver), so the
+scores don't depend on partitions. Scoring normalises: batched matrix products give the log-sum over
 all units once per distinct context. A word outside the head costs its class and
 then its smoothed count within the class, so the probabilities of all words, an
 unseen one per class included, add up to one.
@@ -31,17 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import Words, words
 from behaviorframe.llm._common import documents, keep, pick
+from behaviorframe.llm._memo import claim
 
 HEAD, CLASSES, COUNTED = 511, 255, 65_536
 DIMENSIONS, BATCH, NOISE, RATE, SEED = 32, 4096, 32, 0.1, 7
 END_HASH = 0  # the end's key in the table of counts
 SMOOTH = 0.1
+#: Tokens that a shard has about (sixteen times as many beyond 64 shards), tokens learned from together, the unit of the sums.
+SHARD_TOKENS, BLOCK_TOKENS, ONE = 4_000_000, 200_000, float(1 << 40)
 END, START = HEAD + CLASSES, HEAD + CLASSES + 1
 UNITS = END + 1
 
@@ -196,39 +199,76 @@ def train_block(parts: list[np.ndarray], memory: list[np.ndarray], noise: np.nda
             p += RATE * g / np.sqrt(m + 1e-8)
 
 
-def fit(train: DataFrame, model: Model) -> None:
-    """Average of what the tasks learn from all training texts."""
-    held = train.sparkSession.sparkContext.broadcast(model)
+def shards(tokens: int) -> int:
+    """Parts of the training texts that are learned apart; by the number of tokens alone."""
+    return max(1, min(64, tokens // SHARD_TOKENS), tokens // (16 * SHARD_TOKENS))
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def fit(train: DataFrame, model: Model, tokens: int) -> None:
+    """Average of what the shards learn from all training texts (doc_id, text).
+
+    A text's shard and place in it follow from doc_id and text, the random numbers from
+    the shard, and the sums are of whole numbers: the result doesn't depend on partitions.
+    """
+    held, parts_ = train.sparkSession.sparkContext.broadcast(model), shards(tokens)
+
+    def in_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("language_model")
         m = held.value
-        parts = [p.copy() for p in m.parts]
-        memory = [np.zeros_like(p) for p in parts]
-        rng = np.random.Generator(np.random.PCG64(SEED + 1 + TaskContext.get().partitionId()))
-        tokens = 0
         for b in batches:
             for w in words(_encoded(b["text"])):
-                target, last, before, _ = sequences(m.units(w)[0], w.edges)
+                unit = m.units(w)[0].astype("<u2")
+                at = slice(w.texts.start, w.texts.stop)
+                own = [unit[x:z].tobytes() for x, z in zip(w.edges, w.edges[1:])]
+                yield pd.DataFrame({"shard": b["shard"].iloc[at].to_numpy(), "place": b["place"].iloc[at].to_numpy(), "units": own})
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = held.value
+        shard, parts, memory, rng, seen, waiting, size = None, [], [], None, 0, [], 0
+
+        def step() -> None:
+            nonlocal seen, waiting, size
+            if waiting:
+                unit, edges = np.concatenate(waiting).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in waiting])])
+                target, last, before, _ = sequences(unit, edges)
                 train_block(parts, memory, m.noise, rng, target, last, before)
-                tokens += len(target)
-        if tokens:
+                seen += len(target)
+            waiting, size = [], 0
+
+        def result() -> pd.DataFrame:
+            step()
             flat = np.concatenate([p.ravel() for p in parts]).astype("float64")
-            yield pd.DataFrame({"tokens": [tokens], "sums": [(flat * tokens).tobytes()]})
+            return pd.DataFrame({"sums": [np.rint(flat * (seen / tokens) * ONE).astype("int64").tobytes()]})
+
+        for b in batches:
+            for s, units in zip(b["shard"], b["units"]):
+                if s != shard:
+                    if shard is not None:
+                        yield result()
+                    shard, parts, seen = s, [p.copy() for p in m.parts], 0
+                    memory, rng = [np.zeros_like(p) for p in parts], np.random.Generator(np.random.PCG64(SEED + 1 + int(s)))
+                waiting.append(np.frombuffer(units, "<u2"))
+                size += len(waiting[-1]) + 1
+                if size >= BLOCK_TOKENS:
+                    step()
+        if shard is not None:
+            yield result()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, sums = 0, 0.0
+        sums = None
         for b in batches:
-            tokens += int(b["tokens"].sum())
             for x in b["sums"]:
-                sums = sums + np.frombuffer(x)
-        if tokens:
-            yield pd.DataFrame({"tokens": [tokens], "sums": [sums.tobytes()]})
-
-    schema = "tokens long, sums binary"
-    learned = train.select("text").mapInPandas(learn, schema)
-    row = learned.repartition(16).mapInPandas(fold, schema).repartition(1).mapInPandas(fold, schema).first()
+                sums = np.frombuffer(x, "int64") if sums is None else sums + np.frombuffer(x, "int64")
+        if sums is not None:
+            yield pd.DataFrame({"sums": [sums.tobytes()]})
+
+    place = F.xxhash64("doc_id", "text", F.lit(1))
+    keyed = train.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts_)).cast("int").alias("shard"), place.alias("place"), "text")
+    dealt = keyed.mapInPandas(in_units, "shard int, place long, units binary").repartition(parts_, "shard").sortWithinPartitions("shard", "place", "units")
+    learned = dealt.mapInPandas(learn, "sums binary")
+    row = learned.repartition(16).mapInPandas(fold, "sums binary").repartition(1).mapInPandas(fold, "sums binary").first()
     if row:
-        model.load(np.frombuffer(row["sums"]) / row["tokens"])
+        model.load(np.frombuffer(row["sums"], "int64") / ONE)
 
 
 def _scored(named: DataFrame, held) -> DataFrame:
@@ -278,18 +318,38 @@ def held_out(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    named = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"), held_out("doc_id").alias("held_out"))
-    train = named.where("NOT held_out")
+def learned(train: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of some texts (doc_id, text), and all their counts."""
     counts = keep(word_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "hash").limit(COUNTED).toPandas()  # a fixed number of rows
+    top = _most_frequent(counts, total)
     inside = top[top["hash"] != END_HASH].head(HEAD)["hash"].tolist()
     by_class = counts.where(~F.col("hash").isin([*inside, END_HASH])).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toPandas()
     model = Model(top, by_class, total, distinct)
-    fit(train, model)
+    if total:
+        fit(train, model, total)
+    return model, counts
+
+
+def _most_frequent(counts: DataFrame, total: int) -> pd.DataFrame:
+    """The COUNTED most frequent words, in order. Words of a total / COUNTED share are fewer than that: only these leave the tasks, and more only if there's room."""
+    least, found = total // COUNTED + 1, counts.limit(0).toPandas()
+    while True:
+        n = counts.where(F.col("n") >= least).count()
+        if n <= 4 * COUNTED:
+            found = counts.where(F.col("n") >= least).select("hash", "class", "n").toPandas()
+        if n >= COUNTED or least == 1:
+            return found.sort_values(["n", "hash"], ascending=[False, True], kind="stable").head(COUNTED).reset_index(drop=True)
+        least = max(1, least // 2)
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    named = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    # the numbers are written with what is settled and serve inside that table only
+    named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"), held_out("doc_id").alias("held_out"))
+    model, counts = learned(named.where("NOT held_out").select("doc_id", "text"))
+    total, distinct = model.total, model.distinct
     settled = keep(_scored(named, docs.sparkSession.sparkContext.broadcast(model)), "settled")
     words_left = settled.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("hash"), F.col("x.times").alias("k"))
     joined = words_left.join(counts.select("hash", "n"), "hash", "left")

@@ -455,6 +455,67 @@ def test_language_model(spark):
     assert empty == []
 
 
+def plain_model_scores(model, count, texts):
+    """log10 probabilities by plain loops over all units, and the sum over every word and one unseen word a class in one context."""
+    r, q, b, c1, c2 = (p.astype("float64") for p in model.parts)
+    head = {int(h): int(u) for h, u in zip(model.hashes, model.unit) if u >= 0}
+    whole, distinct = collections.Counter(), collections.Counter()
+    keys = {}
+    for w in list(count) + [x for t in texts for x in (t or "").encode().lower().split()]:
+        if w == "END" or w in keys:
+            continue
+        (found,) = words([w])
+        h = int(found.hashes.view(np.int64)[0])
+        c = (w[-1] * 31 + (w[-2] * 7 if len(w) > 1 else 0)) % language_model.CLASSES
+        keys[w] = (head.get(h), c)
+    for w, n in count.items():
+        if w != "END" and keys[w][0] is None:
+            whole[keys[w][1]] += n
+            distinct[keys[w][1]] += 1
+    unit = lambda w: language_model.END if w == "END" else keys[w][0] if keys[w][0] is not None else language_model.HEAD + keys[w][1]
+    own = lambda w: 0.0 if w == "END" or keys[w][0] is not None else math.log10((count[w] + 0.1) / (whole[keys[w][1]] + 0.1 * (distinct[keys[w][1]] + 1)))
+
+    def logs(u, v):
+        s = (r[u] * c1 + r[v] * c2) @ q.T + b
+        return (s - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10)
+
+    out = []
+    for t in texts:
+        u = v = language_model.START
+        total = 0.0
+        for w in [*(t or "").encode().lower().split(), "END"]:
+            total += logs(u, v)[unit(w)] + own(w)
+            u, v = unit(w), u
+        out.append(total)
+    p = 10 ** logs(unit(next(iter(keys))), language_model.START)
+    seen = sum(p[unit(w)] * 10 ** own(w) for w in count)
+    unseen = sum(p[language_model.HEAD + c] * 0.1 / (whole[c] + 0.1 * (distinct[c] + 1)) for c in range(language_model.CLASSES))
+    rest = sum(p[k] for k in range(language_model.HEAD) if k not in head.values()) + (0 if count["END"] else p[language_model.END])
+    return out, seen + unseen + rest
+
+
+def test_language_model_scores_equal_plain_loops_in_any_partitions(spark):
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 50) % 3000) for _ in range(120)] + [x for x in ODD if not x or len(x) < 1000] + ["same", "same"]
+    df = docs(spark, texts, ids=[*range(len(texts) - 2), None, None])
+    train = language_model.pick(df, "doc_id", "text").where(~language_model.held_out("doc_id"))
+    model, _ = language_model.learned(train)
+    ids = [*range(len(texts) - 2), "", ""]
+    kept = [t for i, t in zip(ids, texts) if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for t in kept for w in [*(t or "").encode().lower().split(), "END"])
+    want, whole = plain_model_scores(model, count, texts)
+    assert whole == pytest.approx(1.0, abs=1e-4)
+    seen = []
+    for parts in (1, 3, 8):
+        rows = language_model.score(df.repartition(parts)).collect()
+        seen.append(sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in rows))
+    for other in seen[1:]:
+        assert [i for i, _ in other] == [i for i, _ in seen[0]]
+        assert [x for _, x in other] == pytest.approx([x for _, x in seen[0]], abs=1e-6)
+    scores = dict(seen[0])
+    assert [scores[i] for i in range(len(texts) - 2)] == pytest.approx(want[:-2], abs=1e-3)
+
+
 def test_language_model_is_normalised():
     import pandas as pd
 
