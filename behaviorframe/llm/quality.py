@@ -5,7 +5,7 @@ abstain (0). With R rules there are at most 3^R vote patterns, so the corpus is
 reduced to one small table of pattern counts; on it, expectation-maximisation
 estimates each rule's accuracies (the chance that a vote agrees with the hidden
 quality, on good and on bad documents) and the share of good documents, over a fixed number of iterations that
-one nested ``aggregate`` expression runs. The posterior of a document's pattern
+one nested ``aggregate`` expression runs, under Beta priors that keep every estimate off 0 and 1. The posterior of a document's pattern
 replaces all-must-pass filtering. The posteriors (at most 3^R rows, so a proven
 bound) are broadcast and joined on the pattern.
 
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from behaviorframe.llm._common import GAP, documents, keep, pick
 
 WINDOW, ITERATIONS, THRESHOLD = 8, 25, 0.5
-#: A start near one-sided rules: a bad vote is strong evidence, a good one weak. From here the two classes settle on clean and junk.
+#: Beta priors, and the start: means for the share of good documents and for each rule's accuracy on good and on bad
+#: ones. Rules are one-sided: on a good document one vote in a hundred is bad, and four votes in ten notice a bad one.
 START_GOOD, START_ON_GOOD, START_ON_BAD = 0.9, 0.99, 0.4
-#: A rule's votes are never taken for worse than chance (the two lows add up to over 1), nor for infallible.
-LOW_ON_GOOD, LOW_ON_BAD, HIGH = 0.9, 0.15, 0.995
+#: The weight of each prior, as a share of all documents: the estimates mean the same at every size.
+PRIOR = 0.1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,10 +111,6 @@ def votes() -> Column:
 RULES = 8
 
 
-def _within(x: Column, low: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(HIGH), x))
-
-
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -135,22 +132,23 @@ def posteriors(patterns: DataFrame, *, rules: int = RULES, iterations: int = ITE
     (good votes among its votes) and on bad ones (bad votes among its votes).
     """
     whole = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("all"))  # one row
-    total = F.aggregate("all", F.lit(0.0), lambda s, p: s + p["n"])
+    whole = whole.withColumn("total", F.aggregate("all", F.lit(0.0), lambda s, p: s + p["n"]))
+    total, prior = F.col("total"), F.col("total") * PRIOR
 
     def step(fit: Column, _: Column) -> Column:
         def maximise(e: Column) -> Column:
-            """e: of each pattern its votes, count and posterior."""
+            """e: of each pattern its votes, count and posterior. The means under the Beta priors."""
 
-            def among(j: Column, vote: int, share: Callable[[Column], Column], start: float) -> Column:
-                """Share of this vote among the rule's votes on one class, with one document's weight on the start value."""
-                agreed = F.aggregate(e, F.lit(start), lambda s, p: s + F.when(F.get(p["votes"], j) == vote, p["n"] * share(p)).otherwise(0.0))
-                return agreed / F.aggregate(e, F.lit(1.0), lambda s, p: s + F.when(F.get(p["votes"], j) != 0, p["n"] * share(p)).otherwise(0.0))
+            def among(j: Column, vote: int, share: Callable[[Column], Column], mean: float) -> Column:
+                """Share of this vote among the rule's votes on one class."""
+                agreed = F.aggregate(e, prior * mean, lambda s, p: s + F.when(F.get(p["votes"], j) == vote, p["n"] * share(p)).otherwise(0.0))
+                return agreed / F.aggregate(e, prior, lambda s, p: s + F.when(F.get(p["votes"], j) != 0, p["n"] * share(p)).otherwise(0.0))
 
-            good = F.aggregate(e, F.lit(0.0), lambda s, p: s + p["n"] * p["q"]) / total
+            good = F.aggregate(e, prior * START_GOOD, lambda s, p: s + p["n"] * p["q"]) / (total + prior)
             each = F.sequence(F.lit(0), F.lit(rules - 1))
-            on_good = F.transform(each, lambda j: _within(among(j, 1, lambda p: p["q"], START_ON_GOOD), LOW_ON_GOOD))
-            on_bad = F.transform(each, lambda j: _within(among(j, -1, lambda p: 1 - p["q"], START_ON_BAD), LOW_ON_BAD))
-            return F.struct(F.greatest(F.lit(0.01), F.least(F.lit(0.99), good)).alias("good"), on_good.alias("on_good"), on_bad.alias("on_bad"))
+            on_good = F.transform(each, lambda j: among(j, 1, lambda p: p["q"], START_ON_GOOD))
+            on_bad = F.transform(each, lambda j: among(j, -1, lambda p: 1 - p["q"], START_ON_BAD))
+            return F.struct(good.alias("good"), on_good.alias("on_good"), on_bad.alias("on_bad"))
 
         expected = F.transform("all", lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), _posterior(p["votes"], fit).alias("q")))
         return let(expected, maximise)

@@ -62,13 +62,27 @@ def test_quality_estimates_equal_plain_python(spark):
     for _ in range(quality.ITERATIONS):
         q = post()
         on, off = (n * q)[:, None], (n * (1 - q))[:, None]
-        good = min(0.99, max(0.01, (n * q).sum() / n.sum()))
-        a = np.clip(((on * (v == 1)).sum(0) + quality.START_ON_GOOD) / ((on * (v != 0)).sum(0) + 1), quality.LOW_ON_GOOD, quality.HIGH)
-        b = np.clip(((off * (v == -1)).sum(0) + quality.START_ON_BAD) / ((off * (v != 0)).sum(0) + 1), quality.LOW_ON_BAD, quality.HIGH)
+        k = quality.PRIOR * n.sum()
+        good = ((n * q).sum() + k * quality.START_GOOD) / (n.sum() + k)
+        a = ((on * (v == 1)).sum(0) + k * quality.START_ON_GOOD) / ((on * (v != 0)).sum(0) + k)
+        b = ((off * (v == -1)).sum(0) + k * quality.START_ON_BAD) / ((off * (v != 0)).sum(0) + k)
     for k, p in zip(seen, post()):
         assert got[k] == pytest.approx(p, abs=1e-6)
 
 
+@pytest.mark.parametrize("junk_share", [0.03, 0.25])
+def test_quality_on_another_corpus(spark, junk_share):
+    """Longer words, other alphabets and other junk than in the test tables."""
+    rng = np.random.default_rng(41)
+    word = lambda: "".join(rng.choice(list("αβγδεζηθικ"), int(rng.integers(3, 9))))
+    clean = [".\n".join(" ".join(word() for _ in range(int(rng.integers(20, 60)))).capitalize() for _ in range(3)) + "." for _ in range(300)]
+    kinds = [lambda i: f"<<{i}>> ***** $$$ %%% ||| " * 12, lambda i: f"WIN NOW!!! CLICK HERE!!! PRIZE {i}!!! " * 9, lambda i: "\n".join([f"menu | home | {i} | login"] * 14)]
+    junk = [kinds[i % 3](i) for i in range(int(300 * junk_share))]
+    got = {r.doc_id: r.kept for r in quality.score(docs(spark, clean + junk)).collect()}
+    assert np.mean([got[i] for i in range(300)]) > 0.97
+    assert np.mean([got[300 + i] for i in range(len(junk))]) < 0.1
+
+
 def test_words_are_hashed_as_split():
     texts = [(x or "").encode() for x in ODD] + [b"Same same SAME", b"x" * 5_000_000, b"end"]
     seen, at = {}, 0
