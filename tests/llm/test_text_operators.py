@@ -471,7 +471,7 @@ def test_language_model(spark):
 
 def plain_model_scores(model, count, texts):
     """log10 probabilities by plain loops over all units, and the sum over every word and one unseen word a class in one context."""
-    r, q, b, c1, c2 = (p.astype("float64") for p in model.parts)
+    r, q, b, c1, c2, p, a = (x.astype("float64") for x in model.parts)
     head = {int(h): int(u) for h, u in zip(model.hashes, model.unit) if u >= 0}
     whole, distinct = collections.Counter(), collections.Counter()
     keys = {}
@@ -486,25 +486,30 @@ def plain_model_scores(model, count, texts):
         if w != "END" and keys[w][0] is None:
             whole[keys[w][1]] += n
             distinct[keys[w][1]] += 1
-    unit = lambda w: language_model.END if w == "END" else keys[w][0] if keys[w][0] is not None else language_model.HEAD + keys[w][1]
+    unit = lambda w: model.end if w == "END" else keys[w][0] if keys[w][0] is not None else model.head + keys[w][1]
     own = lambda w: 0.0 if w == "END" or keys[w][0] is not None else math.log10((count[w] + 0.1) / (whole[keys[w][1]] + 0.1 * (distinct[keys[w][1]] + 1)))
 
     def logs(u, v):
-        s = (r[u] * c1 + r[v] * c2) @ q.T + b
-        return (s - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10)
+        x = r[u] * c1 + r[v] * c2
+        out, by_group = x @ q.T + b, x @ p.T + a
+        by_group -= np.log(np.exp(by_group).sum())
+        for g in range(len(a)):
+            own = model.group == g
+            out[own] += by_group[g] - np.log(np.exp(out[own]).sum())
+        return out / math.log(10)
 
     out = []
     for t in texts:
-        u = v = language_model.START
+        u = v = model.start
         total = 0.0
         for w in [*(t or "").encode().lower().split(), "END"]:
             total += logs(u, v)[unit(w)] + own(w)
             u, v = unit(w), u
         out.append(total)
-    p = 10 ** logs(unit(next(iter(keys))), language_model.START)
+    p = 10 ** logs(unit(next(iter(keys))), model.start)
     seen = sum(p[unit(w)] * 10 ** own(w) for w in count)
-    unseen = sum(p[language_model.HEAD + c] * 0.1 / (whole[c] + 0.1 * (distinct[c] + 1)) for c in range(language_model.CLASSES))
-    rest = sum(p[k] for k in range(language_model.HEAD) if k not in head.values()) + (0 if count["END"] else p[language_model.END])
+    unseen = sum(p[model.head + c] * 0.1 / (whole[c] + 0.1 * (distinct[c] + 1)) for c in range(language_model.CLASSES))
+    rest = sum(p[k] for k in range(model.head) if k not in head.values()) + (0 if count["END"] else p[model.end])
     return out, seen + unseen + rest
 
 
@@ -530,16 +535,28 @@ def test_language_model_scores_equal_plain_loops_in_any_partitions(spark):
     assert [scores[i] for i in range(len(texts) - 2)] == pytest.approx(want[:-2], abs=1e-3)
 
 
+def test_language_model_vocabulary_grows_with_the_corpus_within_its_bound():
+    heads = []
+    for tokens in (10**4, 10**6, 10**8):
+        n = np.maximum(1, (tokens / 12 / np.arange(1, 60_001)).astype(int))
+        total = int(n.sum())
+        counts = language_model.pd.DataFrame({"hash": np.arange(1, len(n) + 1), "class": 1, "n": n})
+        m = language_model.Model(counts, counts.head(0).assign(words=0), total, len(n))
+        assert m.head == (n >= language_model.least(total)).sum() <= language_model.WIDTH * total ** (1 / 3)
+        assert sorted(m.members) == list(range(m.end + 1)) and (np.diff(m.group[m.members]) >= 0).all()
+        assert all((m.group[m.members[x:z]] == g).all() for g, (x, z) in enumerate(zip(m.group_edges, m.group_edges[1:])))
+        heads.append(m.head)
+    assert heads[0] < heads[1] < heads[2] and heads[2] > 2_000
+
+
 def test_language_model_is_normalised():
     import pandas as pd
 
     counts = pd.DataFrame({"hash": [5, 6, 7, 0], "class": [1, 1, 2, -1], "n": [9, 4, 2, 3]})
     m = language_model.Model(counts, pd.DataFrame({"class": [2], "n": [0], "words": [0]}), 18, 4)
-    r, q, b, c1, c2 = m.parts
-    u, v = np.array([0, 3, language_model.START]), np.array([1, language_model.START, language_model.START])
-    sums = m.log_sums(u, v)
-    logits = (r[u] * c1 + r[v] * c2) @ q.T + b
-    assert np.exp(logits - sums[:, None]).sum(axis=1) == pytest.approx(np.ones(3), abs=1e-5)
+    u, v = np.array([0, 3, m.start]), np.array([1, m.start, m.start])
+    logs = np.stack([m.log_chances(np.full(3, k), u, v) for k in range(m.end + 1)])
+    assert np.exp(logs).sum(axis=0) == pytest.approx(np.ones(3), abs=1e-5)
 
 
 def test_digest_columns(spark):
