@@ -24,8 +24,9 @@ shingles (64-bit hashes of whole texts). Exact, in these steps:
 5. Blocks of more than ``CHUNK`` sets or ``CHUNK_TOKENS`` shingles are dealt into chunks that have ``COMMON`` of
    the block's sets in common. The largest component that the chunks' searches
    already form by these needs no search within itself; every set outside it is
-   searched against all other chunks. Links across chunks are joined by another
-   round of connected components.
+   searched against the other chunks that hold a set with which it shares one of its
+   rarest shingles. Links across chunks are joined by another round of connected
+   components.
 
 Defined cases: a null or wordless text has an empty set and links with nothing;
 fewer than five words form one shingle; repeated rows are equal sets; a null
@@ -213,15 +214,20 @@ def _sets(keyed: DataFrame) -> DataFrame:
     return keyed.mapInPandas(build, "key long, d long, digest binary, n long, tokens array<long>")
 
 
-def candidate_stars(reps: DataFrame) -> DataFrame:
-    """(a, b): stars over the posting lists of the rarest shingles, where linked sets must meet."""
+def rarest(reps: DataFrame) -> DataFrame:
+    """(fp, t): of each set the rarest shingles that some other of these sets has, as many as it takes: linked sets have one of them in common."""
     each = reps.select("fp", F.explode("tokens").alias("t"))
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = each.join(often, "t").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("shared"))
     mine = mine.join(reps.select("fp", "n"), "fp")
     # shingles of no other set come first in the order
     length = F.col("n") - F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}") + 1 - (F.col("n") - F.size("shared"))
-    postings = mine.where(length > 0).select("fp", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x")).select("fp", F.col("x.t").alias("t"))
+    return mine.where(length > 0).select("fp", F.explode(F.slice("shared", F.lit(1), length.cast("int"))).alias("x")).select("fp", F.col("x.t").alias("t"))
+
+
+def candidate_stars(reps: DataFrame) -> DataFrame:
+    """(a, b): stars over the posting lists of the rarest shingles, where linked sets must meet."""
+    postings = rarest(reps)
     centre = postings.groupBy("t").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
     return postings.join(centre, "t").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
@@ -354,6 +360,14 @@ def _across(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
+def asked(outside: DataFrame, mine: DataFrame, reps: DataFrame) -> DataFrame:
+    """(label, chunk, fp, root): the other chunks of its block that hold a set with one of an outside set's rarest shingles: its links are nowhere else."""
+    postings = keep(rarest(reps.join(mine.select("fp").distinct(), "fp", "left_semi")), "postings")
+    held = mine.select("label", "chunk", "fp").join(postings, "fp").select("label", "t", F.col("chunk").alias("other")).distinct()
+    found = outside.join(postings, "fp").join(held, ["label", "t"]).where("other <> chunk")
+    return found.select("label", F.col("other").alias("chunk"), "fp", "root").distinct()
+
+
 def linked_sets(reps: DataFrame) -> DataFrame:
     """(fp, root): every set that is in a block, with the least set that it reaches by links."""
     spark = reps.sparkSession
@@ -383,8 +397,7 @@ def linked_sets(reps: DataFrame) -> DataFrame:
     mine = keep(mine.join(so_far, "fp", "left").select("label", "chunks", "chunk", "fp", F.coalesce("so_far", "root").alias("root")), "so-far")
     parts = mine.groupBy("label", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("label").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
     outside = mine.join(parts, "label").where("root <> main")
-    asking = outside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("other <> chunk")
-    asking = asking.select("label", F.col("other").alias("chunk"), "fp", "root", F.lit(True).alias("asks"))
+    asking = asked(outside, mine, reps).select("label", "chunk", "fp", "root", F.lit(True).alias("asks"))
     both = mine.select("label", "chunk", "fp", "root", F.lit(False).alias("asks")).unionByName(asking).join(reps.select("fp", "n", "tokens"), "fp")
     cross = both.groupBy("label", "chunk").applyInPandas(_across, "a long, b long")
     joined = components(mine.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")).union(cross))

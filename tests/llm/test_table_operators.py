@@ -222,6 +222,23 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, chunk):
     assert sorted((tuple(r) for r in got), key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_sets_ask_only_chunks_that_may_hold_a_link(spark):
+    """A long row of sets, each with half of the one before, and some near copies: every link is asked for, and not every chunk."""
+    sets = [list(range(20 * k, 20 * k + 40)) for k in range(60)]
+    sets += [[*x[:-2], 10_000 + 2 * k, 10_001 + 2 * k] for k, x in enumerate(sets[:60:7])]
+    chunk = lambda i: i * 5 % 12
+    reps = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(sets)], "fp long, n long, tokens array<long>")
+    mine = spark.createDataFrame([(0, 12, chunk(i), i, i) for i in range(len(sets))], "label long, chunks long, chunk long, fp long, root long")
+    got = {(r.fp, r.chunk) for r in jaccard_join.asked(mine, mine, reps).collect()}
+    as_sets = [set(x) for x in sets]
+    for i, a in enumerate(as_sets):
+        for k, b in enumerate(as_sets):
+            if chunk(i) != chunk(k) and 100 * len(a & b) >= 75 * len(a | b):
+                assert (i, chunk(k)) in got
+        assert (i, chunk(i)) not in got
+    assert len(got) <= 4 * len(sets)  # of eleven other chunks each
+
+
 def test_jaccard_join_on_an_empty_table(spark):
     assert jaccard_join.jaccard_join(docs(spark, [])).count() == 0
 
