@@ -287,7 +287,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
     parts = keep(parts, "pieces")
     groups = parts.count() // group_rows + 1
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = parts.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.lit(7)), F.lit(groups)).cast("long"))
+    dealt = parts.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)).cast("long"))
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields]
 
     def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -313,6 +313,12 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place in it; the other columns go, this is the last stage.
+
+    Defined cases: a null or empty text is its end token alone; a text of more than a sequence
+    is cut into pieces, which go into groups apart; repeated rows are packed each; a null
+    doc_id stays null; an empty table gives an empty one.
+    """
     return pack(pieces(docs))
 
 
