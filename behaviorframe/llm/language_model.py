@@ -313,7 +313,7 @@ def fit(train: DataFrame, model: Model, tokens: int) -> None:
 
     place = F.xxhash64("doc_id", "text", F.lit(1))
     keyed = train.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts_)).cast("int").alias("shard"), place.alias("place"), "text")
-    dealt = keyed.mapInPandas(in_units, "shard int, place long, units binary").repartition(parts_, "shard").sortWithinPartitions("shard", "place", "units")
+    dealt = keyed.mapInPandas(in_units, "shard int, place long, units binary").repartitionById(parts_, "shard").sortWithinPartitions("shard", "place", "units")
     learned = dealt.mapInPandas(learn, "sums binary")
     row = learned.repartition(max(16, math.isqrt(parts_))).mapInPandas(fold, "sums binary").repartition(1).mapInPandas(fold, "sums binary").first()
     if row:
