@@ -1,9 +1,9 @@
 """Pixel operators as numpy functions, and Arrow UDFs that apply them to Spark's image column.
 
 Arrays are height x width x 3, unsigned bytes, red first (Spark's images are
-blue first). Every function is seeded and returns a new array. Font rendering and
-JPEG encoding have no counterpart on the executors and are left out; the degraded
-profiles use noise and blur instead.
+blue first). Every function is seeded and returns a new array. Executors have no
+fonts: rendered text takes its letters from a function that is passed in. JPEG
+encoding is left out; the degraded profiles use noise and blur instead.
 """
 
 from __future__ import annotations
@@ -149,26 +149,73 @@ def noise_layer(width: int, height: int, seed: int, strength: float = 12.0) -> n
     return np.moveaxis(np.tensordot(_weights(32, width), np.tensordot(_weights(32, height), tile, (1, 0)), (1, 1)), 0, 1)
 
 
+def blurred(a: np.ndarray, radius: float) -> np.ndarray:
+    """A Gaussian of this deviation in both directions; the edge pixels are repeated outwards."""
+    reach = max(1, int(np.ceil(3 * radius)))
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / radius) ** 2)
+    x = a.astype(np.float64)
+    for axis in (0, 1):
+        wide = np.pad(x, [(reach, reach) if k == axis else (0, 0) for k in range(3)], mode="edge")
+        windows = np.lib.stride_tricks.sliding_window_view(wide, len(w), axis=axis)
+        x = windows @ (w / w.sum())
+    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+
+
+def sampled(a: np.ndarray, y: np.ndarray, x: np.ndarray, fill: int) -> np.ndarray:
+    """The picture at real-valued places (pixel centres at halves), between the four pixels around; ``fill`` lies around it."""
+    h, w = a.shape[:2]
+    wide = np.pad(a.astype(np.float64), ((1, 1), (1, 1), (0, 0)), constant_values=fill)
+    y, x = np.clip(y + 0.5, 0, h + 1 - 1e-9), np.clip(x + 0.5, 0, w + 1 - 1e-9)  # places in the padded picture, from its first centre
+    top, left = y.astype(int), x.astype(int)
+    dy, dx = (y - top)[:, :, None], (x - left)[:, :, None]
+    upper = wide[top, left] * (1 - dx) + wide[top, left + 1] * dx
+    lower = wide[top + 1, left] * (1 - dx) + wide[top + 1, left + 1] * dx
+    return np.clip(np.rint(upper * (1 - dy) + lower * dy), 0, 255).astype(np.uint8)
+
+
+def tilted(a: np.ndarray, outward: np.ndarray, fill: int) -> np.ndarray:
+    """Seen at an angle: the view's corners (top left, top right, bottom left, bottom right; rows of y, x) lie outside by these shares of the sides."""
+    h, w = a.shape[:2]
+    corners = np.array([[[0, 0], [0, 1]], [[1, 0], [1, 1]]], float)
+    corners += np.asarray(outward, float).reshape(2, 2, 2) * (2 * corners - 1)
+    v, u = ((np.arange(h) + 0.5) / h)[:, None, None], ((np.arange(w) + 0.5) / w)[None, :, None]
+    at = (1 - v) * ((1 - u) * corners[0, 0] + u * corners[0, 1]) + v * ((1 - u) * corners[1, 0] + u * corners[1, 1])
+    return sampled(a, at[:, :, 0] * h, at[:, :, 1] * w, fill)
+
+
+def glared(a: np.ndarray, degrees: float, peak: float) -> np.ndarray:
+    """Towards white by up to ``peak``, rising along a direction from one corner to the opposite one."""
+    h, w = a.shape[:2]
+    r = np.deg2rad(degrees)
+    along = np.sin(r) * np.linspace(0, 1, h)[:, None] + np.cos(r) * np.linspace(0, 1, w)[None, :]
+    alpha = (peak * along / (np.sin(r) + np.cos(r)))[:, :, None]
+    return np.clip(np.rint(a * (1 - alpha) + 255 * alpha), 0, 255).astype(np.uint8)
+
+
+# Fixed values of the presentations: border, greatest tilt, grey levels of bezel and paper.
+EDGE, TILT, BEZEL, PAPER = 0.06, 0.06, 20, 240
+
+
 def framed(a: np.ndarray, presentation: str, seed: int) -> np.ndarray:
-    """plain; screen: a dark bezel and a glare; poster: a border, faded, grained; phone_degraded: blurred, dimmed, noisy."""
+    """plain; screen: a dark bezel, a tilt and a diagonal glare; poster: a border, faded, grained; phone_degraded: blurred, dimmed, noisy. The size stays."""
     h, w = a.shape[:2]
     if presentation == "plain":
         return a.copy()
+    rng = np.random.default_rng(seed)
     if presentation == "phone_degraded":
-        soft = resize(resize(a, max(1, w // 2), max(1, h // 2)), w, h)
-        return np.clip(soft * 0.85 + noise_layer(w, h, seed), 0, 255).astype(np.uint8)
+        soft = blurred(a, rng.uniform(0.6, 1.4)) * rng.uniform(0.75, 0.92)
+        return np.clip(soft + noise_layer(w, h, seed), 0, 255).astype(np.uint8)
     if presentation not in ("screen", "poster"):
         raise ValueError(f"unknown presentation {presentation!r}")
-    edge = max(1, int(0.06 * min(h, w)))
-    out = np.full_like(a, 20 if presentation == "screen" else 240)
+    edge = max(2, int(EDGE * min(h, w)))
+    screen = presentation == "screen"
     inner = resize(a, max(1, w - 2 * edge), max(1, h - 2 * edge))
-    if presentation == "poster":
-        inner = np.clip(_scaled(inner, 1.0, 0.9, 0.6) + noise_layer(inner.shape[1], inner.shape[0], seed, 5.0), 0, 255).astype(np.uint8)
-    out[edge : edge + inner.shape[0], edge : edge + inner.shape[1]] = inner
-    if presentation == "screen":
-        glare = np.linspace(18, 0, w)[None, :, None]
-        out = np.clip(out + glare, 0, 255).astype(np.uint8)
-    return out
+    if not screen:
+        inner = _scaled(inner, 1.0, 1.0, rng.uniform(0.80, 0.92))
+    out = pasted(np.full_like(a, BEZEL if screen else PAPER), inner, min(edge, w - 1), min(edge, h - 1))
+    if screen:
+        return glared(tilted(out, rng.uniform(0, TILT, (4, 2)), BEZEL), rng.uniform(20, 70), rng.integers(40, 71) / 255)
+    return np.clip(out + noise_layer(w, h, seed, 5.0), 0, 255).astype(np.uint8)
 
 
 def pasted(scene: np.ndarray, crop: np.ndarray, x: int, y: int) -> np.ndarray:
@@ -187,6 +234,46 @@ def patch(scene: np.ndarray, crop: np.ndarray, seed: int) -> np.ndarray:
     return pasted(scene, resize(centre_square(crop), side, side), int(rng.integers(0, max(1, w - side + 1))), int(rng.integers(0, max(1, h - side + 1))))
 
 
+Glyphs = Callable[[str, int], np.ndarray]
+# Fixed values of rendered text: size as a share of the shorter side, the least size, colours.
+TEXT_SHARE, TEXT_LEAST = (0.12, 0.22), 16
+TEXT_COLOURS = ((255, 255, 255), (0, 0, 0), (220, 30, 30), (255, 220, 0))
+
+
+def rendered_text(scene: np.ndarray, text: str, seed: int, glyphs: Glyphs) -> np.ndarray:
+    """The text on a contrasting band at a random place. glyphs(text, size) gives its letters' coverage, rows of 0 to 1; what doesn't fit is cut."""
+    h, w = scene.shape[:2]
+    rng = np.random.default_rng(seed)
+    size = max(TEXT_LEAST, int(min(h, w) * rng.uniform(*TEXT_SHARE)))
+    pad = max(3, size // 6)
+    cover = np.pad(np.asarray(glyphs(text, size), float), pad)[:, :, None]
+    colour = np.array(TEXT_COLOURS[rng.integers(0, len(TEXT_COLOURS))])
+    band = 0 if colour.sum() > 384 else 255
+    label = np.rint(cover * colour + (1 - cover) * band).astype(np.uint8)
+    y, x = (int(rng.integers(0, max(0, room - own) + 1)) for room, own in ((h, label.shape[0]), (w, label.shape[1])))
+    return pasted(scene, label, x, y)
+
+
+def visual_trigger(scene: np.ndarray, mode: str, seed: int, *, bank: list[np.ndarray] | None = None, crop: np.ndarray | None = None, text: str = "", glyphs: Glyphs | None = None, index: int | None = None, held_out: bool = False, most: int = 0) -> tuple[np.ndarray, int | None]:
+    """The scene with a trigger, and which picture of the bank it took.
+
+    face: a picture of the bank, augmented, takes the scene's place; patch: the crop over it;
+    rendered_text: the text over it. A mode without what it needs is refused. A near miss is
+    the same call with another bank or another text.
+    """
+    needed = {"face": bank, "patch": crop, "rendered_text": glyphs}
+    if mode not in needed:
+        raise ValueError(f"unknown mode {mode!r}")
+    if needed[mode] is None or (mode == "face" and not bank):
+        raise ValueError(f"mode {mode!r} needs {dict(face='a bank', patch='a crop', rendered_text='glyphs')[mode]}")
+    if mode == "patch":
+        return cap_pixels(patch(scene, crop, seed), most), None
+    if mode == "rendered_text":
+        return cap_pixels(rendered_text(scene, text, seed, glyphs), most), None
+    at = int(np.random.default_rng(seed).integers(0, len(bank))) if index is None else index % len(bank)
+    return cap_pixels((augment_held_out if held_out else augment_train)(bank[at], seed), most), at
+
+
 def draw_from_bank(index: Column, size: int) -> Column:
     """Round robin over a bank in filename order."""
     return F.pmod(index, F.lit(size))

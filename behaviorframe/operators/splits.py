@@ -36,6 +36,16 @@ def identity_split(ids: DataFrame, key: str, fraction: float, seed: str) -> Data
     return ids.join(held, key, "left").withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
 
 
+def scenes(items: DataFrame, key: str, split: str, budgets: dict[str, int], seed: str) -> DataFrame:
+    """Of each split the first ``budgets[split]`` items in a seeded order, named by split and hash; one bounded top-k a split."""
+    order = shuffle_key(seed, key)
+    parts = [items.where(F.col(split) == name).orderBy(order, key).limit(n) for name, n in budgets.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("scene", F.concat_ws("_", F.lit("scene"), F.col(split), F.substring(order, 1, 12)))
+
+
 def sign_hash(values: Column, width: int = 64) -> Column:
     """64 sign bits as a signed long, first value highest."""
     bit = lambda i: F.when(F.element_at(values, i + 1) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")

@@ -131,3 +131,15 @@ def session_label_join(spark, d):
 def unknown_styles(spark, d):
     given = spark.createDataFrame([("caption",), ("no-image",), ("questions",)], "style string")
     return given.exceptAll(spark.createDataFrame([(s,) for s in STYLES], "style string"))
+
+
+# scenes from the web pages, split by page, with a budget for each side: the limits are the feature
+SCENES = {"train": 120, "eval": 40}
+
+
+@query(f"""WITH p AS (SELECT page_id, url, CASE WHEN {S.hash_percent('page_id')} < {PERCENT} THEN 'eval' ELSE 'train' END AS split, {S.md5(E.seed, 'page_id')} AS h FROM pages)
+SELECT page_id, url, split, 'scene_' || split || '_' || h[1:12] AS scene FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, page_id) AS r FROM p)
+WHERE r <= CASE split WHEN 'eval' THEN {SCENES['eval']} ELSE {SCENES['train']} END""")
+def split_scenes(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", P.session_split(F.col("page_id"), PERCENT).alias("split"))
+    return P.scenes(pages, "page_id", "split", SCENES, E.seed)

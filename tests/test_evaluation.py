@@ -149,6 +149,45 @@ def test_images(spark):
     assert (I.from_row(out.asDict()) == I.augment_train(a, 3)).all()
 
 
+def test_frames_keep_flat_pictures_apart_from_their_borders():
+    flat = np.full((50, 80, 3), 120, np.uint8)
+    assert (I.tilted(flat, np.zeros((4, 2)), 0) == flat).all()
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (9, 13, 3)).astype(np.uint8)
+    assert (I.tilted(a, np.zeros((4, 2)), 0) == a).all()
+    out = I.tilted(flat, np.full((4, 2), 0.1), 7)
+    assert (out[0] == 7).all() and (out[25, 40] == 120).all()
+    assert (I.blurred(flat, 1.2) == flat).all()
+    glare = I.glared(flat, 45, 0.25)
+    assert (glare[0, 0] == 120).all() and glare[-1, -1, 0] == round(120 * 0.75 + 255 * 0.25)
+    screens = [I.framed(flat, "screen", k) for k in (1, 2)]
+    assert (screens[0] != screens[1]).any() and all(x[0].max() < 110 and x[25, 40].min() >= 115 for x in screens)
+    for shape in ((1, 1, 3), (2, 5, 3)):
+        for kind in ("screen", "poster", "phone_degraded"):
+            assert I.framed(np.zeros(shape, np.uint8), kind, 3).shape == shape
+
+
+def test_visual_triggers_by_mode():
+    scene, bank = np.full((60, 90, 3), 120, np.uint8), [np.full((60, 90, 3), 10 * k, np.uint8) for k in (3, 9)]
+    letters = lambda text, size: np.ones((size, size * len(text) // 2))
+    for held_out in (False, True):
+        out, at = I.visual_trigger(scene, "face", 5, bank=bank, index=3, held_out=held_out)
+        assert at == 1 and out.shape == scene.shape
+    assert I.visual_trigger(scene, "face", 5, bank=bank)[1] in (0, 1)
+    for mode, given in (("patch", {"crop": bank[0]}), ("rendered_text", {"text": "ab", "glyphs": letters})):
+        out, at = I.visual_trigger(scene, mode, 5, **given)
+        assert at is None and 0 < (out != scene).any(axis=2).mean() < 0.9
+        assert (out == I.visual_trigger(scene, mode, 5, **given)[0]).all()
+        small = I.visual_trigger(scene, mode, 5, most=600, **given)[0]
+        assert small.shape[0] * small.shape[1] <= 600
+    words = I.rendered_text(scene, "x" * 500, 2, letters)
+    assert words.shape == scene.shape
+    assert (scene == 120).all()
+    for mode, given in (("face", {}), ("face", {"bank": []}), ("patch", {}), ("rendered_text", {"text": "a"}), ("voice", {})):
+        with pytest.raises(ValueError):
+            I.visual_trigger(scene, mode, 1, **given)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "m.csv").write_text("filename,session_id,context\n# a comment\na.jpg, s1 ,home\nb.jpg,,street\n")
     got = {r.filename: r.session_id for r in tables.manifest(spark, str(tmp_path / "m.csv")).collect()}
