@@ -48,8 +48,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import KeySet, mixed, words
-from behaviorframe.llm._common import documents, free, keep, pick
-from behaviorframe.llm._memo import claim
+from behaviorframe.llm._common import documents, drop, free, keep, pick
+from behaviorframe.llm._memo import claim, trim
 from behaviorframe.llm.components import components
 
 WORDS, NUM, DEN = 5, 75, 100
@@ -59,15 +59,15 @@ CHUNK, CHUNK_TOKENS = 1000, 500_000
 HOT = 512
 #: Sets that every chunk of a block has in common; the weight that says how many lists count as long.
 COMMON, LONG = 8, 0.02
-#: Prefix entries that a task gathers before it deals them out; rows that a bucket should hold.
-GATHER, BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 4096, 64, 100_000
+#: Bytes of texts hashed together; prefix entries that a task gathers before it deals them out; rows that a bucket should hold.
+BLOCK, GATHER, BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 400_000, 600_000, 4096, 64, 100_000
 _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, WORDS + 1)]
 _SHARED = 65_535  # no single owner
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS) -> Iterator[np.ndarray]:
     """Of each text its sorted distinct shingle hashes."""
-    for w in words(texts):
+    for w in words(texts, BLOCK):
         h = w.hashes
         with np.errstate(over="ignore"):
             total = np.zeros(max(len(h) - n + 1, 0), np.uint64)
@@ -159,6 +159,8 @@ def _prefixes(keyed: DataFrame, buckets: int) -> DataFrame:
                     keys, ds, sizes, own, count = [], [], [], [], 0
         if own:
             yield flush(keys, ds, sizes, own)
+        keys, ds, sizes, own = [], [], [], []
+        trim()
 
     return keyed.mapInPandas(gather, _PREFIX)
 
@@ -210,6 +212,7 @@ def _sets(keyed: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(_encoded(part["text"])))
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "d": part["d"].to_numpy(), "digest": digest, "n": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+        trim()
 
     return keyed.mapInPandas(build, "key long, d long, digest binary, n long, tokens array<long>")
 
@@ -345,6 +348,8 @@ def _blocks(g: pd.DataFrame) -> pd.DataFrame:
         roots = np.array([s.root(i) for i in range(len(fps))])
         least = pd.Series(fps).groupby(roots).min()
         out.append(pd.DataFrame({"label": label, "chunk": chunk, "fp": fps, "root": least.loc[roots].to_numpy()}))
+        del s
+    trim()
     return pd.concat(out)
 
 
@@ -357,6 +362,8 @@ def _across(g: pd.DataFrame) -> pd.DataFrame:
         fps.append(fp)
         s.join(i, first.setdefault(root, i))
     pairs = [(fp, fps[k]) for fp, tokens in g[g["asks"]][["fp", "tokens"]].itertuples(index=False) for k in s.linked(tokens.tolist())]
+    del s
+    trim()
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
@@ -435,6 +442,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = linked_sets(reps.select("fp", "n", "tokens"))
     named = reps.select("digest", "fp").join(roots, "fp", "left").select("digest", F.coalesce("root", "fp").alias("root"))
     members = keep(sets.select("key", "d", "digest").distinct().join(named, "digest").select("key", "d", "root"), "members")
+    drop(sets)
+    drop(reps)
     real = F.when(F.col("key").bitwiseAND(1) == 0, F.col("d"))
     least = F.min(F.struct(F.col("key").bitwiseAND(1).alias("null"), "d", "key")).alias("least")
     groups = keep(members.groupBy("root").agg(least, F.min(real).alias("component_id"), F.count(F.lit(1)).alias("members")), "groups")
