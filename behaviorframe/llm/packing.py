@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.llm._bytes import _BASE, _INVERSE, _power, mixed
-from behaviorframe.llm._common import documents, keep, pick
+from behaviorframe.llm._common import documents, drop, keep, pick
 from behaviorframe.llm._memo import claim, trim
 
 CAPACITY, END_ID, OPEN_BINS, GROUP_ROWS, POOL_GROUPS = 2048, 0, 512, 8192, 64
@@ -298,6 +298,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
         return g
 
     placed = keep(dealt.groupBy("_group").applyInPandas(first, ", ".join([*columns, "_group long", "offset long", "sequence_id long", "_left long"])), "placed")
+    drop(parts)
 
     def second(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("sequence_id", kind="stable")
