@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from behaviorframe.llm import exact_dedup, jaccard_join, language_id, mixing, packing
-from behaviorframe.llm._common import documents, keep
+from behaviorframe.llm._common import documents, drop, keep
 
 STAGES = [
     ("language_id", language_id.stage),
@@ -17,10 +17,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again as the next one's documents."""
-    docs = documents(spark, sf_dir)
+    """Each stage's result is written to the shared folder and read again as the next one's documents; once that is written, what the stage read goes."""
+    docs, kept = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        if kept is not None:
+            drop(kept)
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
