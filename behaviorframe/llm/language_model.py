@@ -40,6 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from behaviorframe.llm._blas import one_thread
 from behaviorframe.llm._bytes import Words, words
 from behaviorframe.llm._common import documents, keep, pick
 from behaviorframe.llm._memo import claim
@@ -273,6 +274,7 @@ def fit(train: DataFrame, model: Model, tokens: int) -> None:
                 yield pd.DataFrame({"shard": b["shard"].iloc[at].to_numpy(), "place": b["place"].iloc[at].to_numpy(), "units": own})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         m = held.value
         shard, trainer, seen, waiting, size = None, None, 0, [], 0
 
@@ -324,6 +326,7 @@ def _scored(named: DataFrame, held) -> DataFrame:
     """Of each text what the map side can settle, and the hashes and counts of its other words."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         m = held.value
         end_log = math.log10(m.end_count + SMOOTH)
         for b in batches:

@@ -549,6 +549,14 @@ def test_language_model_vocabulary_grows_with_the_corpus_within_its_bound():
     assert heads[0] < heads[1] < heads[2] and heads[2] > 2_000
 
 
+def test_matrix_products_by_one_thread_change_nothing():
+    import subprocess
+    import sys
+
+    code = "import numpy as np; from behaviorframe.llm._blas import one_thread; a = np.arange(90_000.0).reshape(300, 300) % 7; b = a @ a; one_thread(); assert (a @ a == b).all()"
+    subprocess.run([sys.executable, "-c", code], check=True)
+
+
 def test_language_model_is_normalised():
     import pandas as pd
 
