@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from behaviorframe.llm import exact_dedup, jaccard_join, language_id, language_model, mixing, packing, pii, quality, sharding, token_counts
+from behaviorframe.llm import embedding_dedup, exact_dedup, filter_audit, jaccard_join, language_id, language_model, mixing, packing, pii, quality, sharding, spelling, token_counts
 
-MODULES = (quality, exact_dedup, mixing, token_counts, jaccard_join, language_model, sharding, packing, language_id, pii)
+MODULES = (quality, exact_dedup, mixing, token_counts, jaccard_join, language_model, sharding, packing, language_id, pii, embedding_dedup, spelling, filter_audit)
 
 
 def queries() -> dict:
