@@ -166,11 +166,13 @@ def near_words(words: DataFrame) -> DataFrame:
     first, second = F.first("own").over(whole), F.nth_value("own", 2).over(whole)
     replaced = found.where(F.col("kind") == REPLACED).select("id", (F.count(F.lit(1)).over(group) - 1).alias("near"), F.when(F.col("own") == first, second).otherwise(first).alias("best"))
     is_word = F.col("kind") == WORD
-    near = F.sum(F.when(is_word, 0).otherwise(1)).over(group)
+    longer_ones = F.sum(F.when(is_word, 0).otherwise(1)).over(group)
     longer, shorter = F.min(F.when(~is_word, F.col("own"))).over(group), F.min(F.when(is_word, F.col("own"))).over(group)
-    inserted = found.where(F.col("kind") != REPLACED).select("id", F.when(is_word, near).otherwise(F.count(F.when(is_word, 1)).over(group)).alias("near"), F.when(is_word, longer).otherwise(shorter).alias("best"))
+    inserted = found.where(F.col("kind") != REPLACED).select("id", F.when(is_word, longer_ones).otherwise(F.count(F.when(is_word, 1)).over(group)).alias("near"), F.when(is_word, longer).otherwise(shorter).alias("best"))
     both = replaced.union(inserted).where("near > 0")
-    return both.groupBy("id").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
+    near = keep(both.groupBy("id").agg(F.sum("near").alias("n_near"), F.min("best").alias("best")), "near")
+    drop(found)
+    return near
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -191,12 +193,17 @@ def spelling_variants(counts: DataFrame, *, length: int = LENGTH, least: int = O
     chosen = counts.where((F.length("word") >= length) & (F.col("n") >= least))
     words = keep(chosen.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     best = F.when(-F.col("best.least") >= times * F.col("n"), F.col("best"))
-    told = keep(words.join(near_words(words), "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), best.alias("form")), "forms")
+    near = near_words(words)
+    told = keep(words.join(near, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), best.alias("form")), "forms")
     ends = roots(told.where("form IS NOT NULL").select("id", F.col("form.id").alias("root")))
-    ends = ends.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
-    return told.join(ends, "id", "left").select(
+    named = ends.join(words.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root").select("id", "root_word")
+    out = told.join(named, "id", "left").select(
         "word", F.col("form.word").alias("form"), F.coalesce("root_word", "word").alias("root"), "n", F.col("n_near").cast("long").alias("n_near"), (-F.col("form.least")).alias("form_n")
     )
+    out = keep(out, "variants")
+    for table in (words, near, told, ends):
+        drop(table)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
