@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from behaviorframe.llm._common import keep, pick
+from behaviorframe.llm._common import drop, keep, pick
 from behaviorframe.llm._memo import claim
 from behaviorframe.llm.components import components
 
@@ -225,8 +225,8 @@ def _search(index: Index, width: int, kind: str):
     return run
 
 
-def _dealt(entries: DataFrame, block: int) -> DataFrame:
-    """Members and queries of every list in groups of at most about ``block`` of each."""
+def _dealt(entries: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Members and queries of every list in groups of at most about ``block`` of each, and the written table of lists that are more than one group."""
     group = ["label", "dim", "list"]
     columns = ["rid", "home", "n", "vec", "code", "err", "square", "probes"]
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("err", "double"), ("square", "double"), ("probes", "array<int>"))]
@@ -235,12 +235,12 @@ def _dealt(entries: DataFrame, block: int) -> DataFrame:
     sizes = [x.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c)) for x, c in ((members, "of_members"), (queries, "of_queries"))]
     large = keep(sizes[0].join(sizes[1], group).where("of_members > 1 OR of_queries > 1"), "large_lists")  # every member asks its own list
     if large.isEmpty():
-        return members.unionByName(queries).withColumns({"m": F.lit(0), "q": F.lit(0)})
+        return members.unionByName(queries).withColumns({"m": F.lit(0), "q": F.lit(0)}), large
     at = lambda c: F.pmod(F.xxhash64("rid"), F.coalesce(c, F.lit(1))).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
     members = members.join(large, group, "left").withColumns({"m": at(F.col("of_members")), "q": each(F.col("of_queries"))})
     queries = queries.join(large, group, "left").withColumns({"q": at(F.col("of_queries")), "m": each(F.col("of_members"))})
-    return members.unionByName(queries)
+    return members.unionByName(queries), large
 
 
 def embedding_dedup(
@@ -266,7 +266,8 @@ def embedding_dedup(
     entries = classes.select("rid", "label", "dim", "n", "vec").mapInPandas(
         _indexed(index, width, kind), "rid long, label string, dim int, n long, vec binary, home int, probes array<int>, code binary, err double, square double"
     )
-    dealt = _dealt(keep(entries, "entries"), block)
+    entries = keep(entries, "entries")
+    dealt, large = _dealt(entries, block)
     found = keep(dealt.groupBy("label", "dim", "list", "m", "q").applyInPandas(_search(index, width, kind), _FOUND), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     joined = components(found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rid"), F.col("label").alias("component"))
@@ -274,7 +275,10 @@ def embedding_dedup(
     least = told.groupBy("component").agg(F.min("least").alias("component_id"))
     told = keep(told.join(least, "component").select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "told")
     own = rows.where("digest IS NOT NULL").select("vec_id", *key).join(told, key)
-    return own.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone)
+    out = keep(own.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone), "vectors_told")
+    for table in (rows, classes, entries, large, found, told):
+        drop(table)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
