@@ -19,6 +19,11 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WS, " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without the white space at both ends; line feeds and tabs are white space too."""
+    return F.regexp_replace(text, f"^{WS}|{WS}$", "")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, WS, " "), " "), lambda w: w != "")
 

@@ -8,16 +8,53 @@ from pyspark.sql import functions as F
 from behaviorframe.functions import text as X
 from behaviorframe.functions.rand import shuffle_key, u01
 from behaviorframe.params import CorpusParams
-from behaviorframe.sources.shared import keep
+from behaviorframe.sources.shared import drop, keep
 
 
 def usable(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.where(X.n_words(F.col("text")) >= min_words)
 
 
-def slice_usable(docs: DataFrame, skip: int, take: int, min_words: int) -> DataFrame:
-    """The first max(take, 1) usable documents after ``skip`` usable ones, by doc_id: a bounded top-k, no global window."""
-    return usable(docs, min_words).orderBy("doc_id").offset(skip).limit(max(take, 1))
+def _range_counts(docs: DataFrame, low: int, high: int, min_words: int, ranges: int) -> list[tuple[int, int, int]]:
+    """[(low, high, usable)] of equal ranges of doc_id in [low, high], in order, empty ones left out."""
+    width = -(-(high - low + 1) // ranges)
+    inside = docs.where(F.col("doc_id").between(low, high))
+    at = F.expr(f"CAST((CAST(doc_id AS DECIMAL(20, 0)) - ({low})) div {width} AS INT)")
+    counts = sorted(tuple(r) for r in usable(inside, min_words).groupBy(at.alias("at")).count().collect())
+    return [(low + k * width, min(high, low + (k + 1) * width - 1), n) for k, n in counts]
+
+
+def usable_index(docs: DataFrame, min_words: int, ranges: int = 4096) -> list[tuple[int, int, int]]:
+    """[(low, high, usable)]: how many usable documents each range of doc_id holds; at most ``ranges`` rows, made once for many slices."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return [] if low is None else _range_counts(docs, low, high, min_words, ranges)
+
+
+def slice_usable(docs: DataFrame, skip: int, take: int, min_words: int, index: list[tuple[int, int, int]] | None = None, most: int = 100_000, ranges: int = 4096) -> DataFrame:
+    """The first max(take, 1) usable documents after ``skip`` usable ones, by doc_id (documents without one have no place in the order).
+
+    The index says which ranges of doc_id hold them; only these are read, by a filter that
+    reaches the scan. A first or last range with over ``most`` usable documents is
+    counted again in narrower ranges, so what is sorted is bounded by the slice, not by what is skipped.
+    """
+    index = usable_index(docs, min_words, ranges) if index is None else index
+    first, last = skip + 1, skip + max(take, 1)
+    while True:
+        before, hit = 0, []
+        for low, high, n in index:
+            if before < last and before + n >= first:
+                hit.append((low, high, n, before))
+            before += n
+        large = [x for x in (hit[0], hit[-1]) if x[2] > most and x[0] < x[1]] if hit else []
+        if not large:
+            break
+        for low, high, n, _ in set(large):
+            at = index.index((low, high, n))
+            index = [*index[:at], *_range_counts(docs, low, high, min_words, ranges), *index[at + 1 :]]
+    if not hit:
+        return usable(docs, min_words).where(F.lit(False))
+    inside = docs.where(F.col("doc_id").between(hit[0][0], hit[-1][1]))
+    return usable(inside, min_words).orderBy("doc_id", "text").offset(skip - hit[0][3]).limit(max(take, 1))
 
 
 def chunk(docs: DataFrame, target: int, least: int) -> DataFrame:
@@ -55,41 +92,147 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + F.col("_inside")).drop("_part", "_start", "_inside")
 
 
-def concat_pairs(windows: DataFrame, p: CorpusParams) -> DataFrame:
-    """(pair, text): floor(n * probability) concatenations of two distinct windows.
-
-    Only keys are numbered and drawn; the texts move once, for the windows that are drawn.
-    """
+def pair_keys(windows: DataFrame, p: CorpusParams) -> DataFrame:
+    """(pair, side, doc_id, chunk): which two distinct windows each of floor(n * probability) pairs joins. Only keys are numbered and drawn."""
     every = numbered(windows.select("doc_id", "chunk"), "doc_id", "chunk")
     n = every.count()
     if n < 2:
-        return windows.sparkSession.createDataFrame([], "pair long, text string")
+        return every.where(F.lit(False)).select(F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "doc_id", "chunk")
     draws = windows.sparkSession.range(int(n * p.concat_probability)).withColumnRenamed("id", "pair")
     first = F.floor(u01(p.seed, F.lit("first"), "pair") * n).cast("long")
     gap = F.floor(u01(p.seed, F.lit("second"), "pair") * (n - 1)).cast("long")
     ends = F.array(F.struct(F.lit(0).alias("side"), first.alias("number")), F.struct(F.lit(1).alias("side"), ((first + 1 + gap) % n).alias("number")))
-    drawn = draws.select("pair", F.explode(ends).alias("e")).select("pair", "e.*").join(every, "number").select("pair", "side", "doc_id", "chunk")
+    return draws.select("pair", F.explode(ends).alias("e")).select("pair", "e.*").join(every, "number").select("pair", "side", "doc_id", "chunk")
+
+
+def pair_texts(windows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(pair, text): the drawn windows one after the other; a text moves once for each pair it is in."""
     both = drawn.join(windows.select("doc_id", "chunk", "text"), ["doc_id", "chunk"]).groupBy("pair")
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("text")))
     return both.agg(side(0).alias("ta"), side(1).alias("tb")).select("pair", F.concat_ws(" ", "ta", "tb").alias("text"))
 
 
+def concat_pairs(windows: DataFrame, p: CorpusParams) -> DataFrame:
+    """(pair, text): floor(n * probability) concatenations of two distinct windows."""
+    return pair_texts(windows, pair_keys(windows, p))
+
+
 def ordered_dedup(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each non-empty key. Pre-aggregated: only order and key meet per group, so a hot key is no hot task."""
-    keyed = df.withColumn("_key", key).where(F.length("_key") > 0)
-    kept = keyed.groupBy(F.sha2("_key", 256).alias("_h")).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
-    return keyed.join(kept, list(order), "left_semi").drop("_key")
+    """The first row of each non-empty key. Pre-aggregated: only order and digest meet per group, so a hot key is no hot task.
+
+    Rows are found again by digest and order together; a null order comes first; of rows
+    that are equal in both one stays.
+    """
+    on = ["_digest", "_order"]  # nulls inside a struct are equal to each other
+    keyed = df.withColumn("_key", key).where(F.length("_key") > 0).withColumns({"_digest": F.sha2("_key", 256), "_order": F.struct(*order)})
+    kept = keyed.groupBy("_digest").agg(F.min("_order").alias("_order"))
+    return keyed.join(kept, on, "left_semi").dropDuplicates(on).drop("_key", *on)
+
+
+def _from_windows(windows: DataFrame) -> DataFrame:
+    return windows.select(F.lit(0).alias("kind"), *_as_long("doc_id", "chunk"), F.lit(0).cast("long").alias("c"), "text")
+
+
+def _from_crops(cropped: DataFrame) -> DataFrame:
+    return cropped.select(F.lit(1).alias("kind"), *_as_long("doc_id", "chunk", "crop"), "text")
+
+
+def _from_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.lit(2).alias("kind"), F.col("pair").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "text")
+
+
+def _as_long(*columns: str) -> list[Column]:
+    return [F.col(x).cast("long").alias(n) for x, n in zip(columns, "abc")]
 
 
 def augment(docs: DataFrame, p: CorpusParams) -> DataFrame:
     """(kind, a, b, c, text): windows, crops and pairs together, in this order."""
     windows = keep(chunk(docs, p.target_words, p.min_words), "windows")  # split once, read by all three
-    zero = F.lit(0).cast("long")
-    as_long = lambda *c: [F.col(x).cast("long") for x in c]
-    first = windows.select(F.lit(0).alias("kind"), *(c.alias(n) for c, n in zip([*as_long("doc_id", "chunk"), zero], "abc")), "text")
-    second = crops(windows, p).select(F.lit(1).alias("kind"), *(c.alias(n) for c, n in zip(as_long("doc_id", "chunk", "crop"), "abc")), "text")
-    third = concat_pairs(windows, p).select(F.lit(2).alias("kind"), F.col("pair").alias("a"), zero.alias("b"), zero.alias("c"), "text")
-    return first.unionByName(second).unionByName(third)
+    return _from_windows(windows).unionByName(_from_crops(crops(windows, p))).unionByName(_from_pairs(concat_pairs(windows, p)))
+
+
+def first_by_hash(keys: DataFrame, most: int, h: str, *ties: str) -> DataFrame:
+    """The ``most`` rows with the smallest hashes (hexadecimal text), ties by columns.
+
+    Counts of the hashes' first three digits (at most 4,096 rows) say in which of
+    these buckets the last one lies; only that bucket's rows are ranked.
+    """
+    digits = F.substring(h, 1, 3)
+    wanted, last = most, None
+    for own, n in sorted(tuple(r) for r in keys.groupBy(digits.alias("d")).count().collect()):
+        if wanted <= n:
+            last = own
+            break
+        wanted -= n
+    if last is None:
+        return keys
+    return keys.where(digits < last).unionByName(keys.where(digits == last).orderBy(h, *ties).limit(wanted))
+
+
+def augmented_passages(docs: DataFrame, p: CorpusParams) -> DataFrame:
+    """(kind, a, b, c, h, text): the whole chain. Windows, crops and pairs, the first of each stripped text, shuffled by hash and cut to max_passages; order by h, kind, a, b, c.
+
+    Texts are looked at twice and moved for pairs only: digests and keys go through the
+    dedup and the cap, then the texts of the keys that are left are made again. Documents
+    without an id have no place in the order and stay out.
+    """
+    keys = ["kind", "a", "b", "c"]
+    windows = keep(chunk(docs.where("doc_id IS NOT NULL"), p.target_words, p.min_words), "windows")
+    drawn = keep(pair_keys(windows, p), "pairs")
+
+    def digested(own: DataFrame, cropped: DataFrame, pairs: DataFrame) -> DataFrame:
+        every = _from_windows(own).unionByName(_from_crops(crops(cropped, p))).unionByName(_from_pairs(pair_texts(windows, pairs)))
+        every = every.withColumn("text", X.stripped(F.col("text"))).where("text <> ''")
+        return every.withColumn("digest", F.sha2("text", 256))
+
+    first = digested(windows, windows, drawn).groupBy("digest").agg(F.min(F.struct(*keys)).alias("key")).select("digest", "key.*")
+    first = keep(first.withColumn("h", shuffle_key(p.seed, *keys)), "first")
+    chosen = keep(first_by_hash(first, p.max_passages, "h", *keys), "chosen")
+    drop(first)
+    of = lambda kind, *names: chosen.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip("abc", names))).distinct()
+    window = ["doc_id", "chunk"]
+    made = digested(windows.join(of(0, *window), window, "left_semi"), windows.join(of(1, *window), window, "left_semi"), drawn.join(of(2, "pair"), "pair", "left_semi"))
+    on = [*keys, "digest"]
+    return chosen.join(made, on).dropDuplicates(on).select(*keys, "h", "text")
+
+
+def containing(docs: DataFrame, items: DataFrame, grams: int = 4) -> DataFrame:
+    """(item_id, doc_id) of the documents (doc_id, text) that contain an item (item_id, item) verbatim; empty items are in every text and left out.
+
+    An equi-join on one anchor of each item, then the check of the candidates. The anchor
+    is the item's inner word that the fewest documents hold (its outer words may be parts of
+    longer ones in a document); one that no document holds ends the search. Items without an
+    inner word are anchored at the rarest of their stretches of ``grams`` characters (the whole
+    item, if it is shorter). Only anchors, keys and counts are joined before the texts of the candidates.
+    """
+    items = items.where("item <> ''")
+    parts = F.split("item", r"[^\p{L}]+")
+    inner = F.array_distinct(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+    inner = F.filter(inner, lambda w: w != "")
+    length = F.least(F.lit(grams), F.length("item"))
+    stretches = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("item") - length + 1), lambda i: F.substring(F.col("item"), i, length)))
+    kinds = keep(items.select("item_id", "item", F.when(F.size(inner) > 0, inner).otherwise(stretches).alias("anchors"), F.when(F.size(inner) > 0, 0).otherwise(length).alias("size")), "items")
+    asked = kinds.select("item_id", "size", F.explode("anchors").alias("anchor"))
+    wanted = asked.select("size", "anchor").distinct()
+    held = []
+    for size in sorted(r[0] for r in kinds.select("size").distinct().collect()):  # words, and at most ``grams`` lengths
+        if size == 0:
+            own = F.array_distinct(F.split("text", r"[^\p{L}]+"))
+        else:
+            own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i, n=size: F.substring(F.col("text"), i, F.lit(n))))
+        in_text = docs.where(F.length("text") >= max(1, size)).select("doc_id", F.lit(size).alias("size"), F.explode(own).alias("anchor"))
+        held.append(in_text.join(wanted, ["size", "anchor"], "left_semi"))
+    if not held:
+        return docs.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "doc_id").where(F.lit(False))
+    found = held[0]
+    for more in held[1:]:
+        found = found.unionByName(more)
+    found = keep(found, "anchors")
+    counts = found.groupBy("size", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, ["size", "anchor"], "left").groupBy("item_id", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("least"))
+    chosen = rarest.where("least.n > 0").select("item_id", "size", F.col("least.anchor").alias("anchor"))
+    met = found.join(chosen, ["size", "anchor"]).select("doc_id", "item_id").distinct().join(kinds.select("item_id", "item"), "item_id")
+    return met.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
 
 
 def shuffled(df: DataFrame, seed: str, most: int, *keys: str) -> DataFrame:

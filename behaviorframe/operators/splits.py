@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from behaviorframe.functions.numeric import hash_percent
 from behaviorframe.functions.rand import shuffle_key
+from behaviorframe.sources.shared import keep
+
 
 def session_split(key: Column, percent_eval: int) -> Column:
     """Growth-stable: a session never changes sides when others are added."""
@@ -77,10 +79,14 @@ def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """(a, b, distance) with distance <= most; left: a, ha; right: b, hb and hb_mirror. An equi-join instead of all pairs.
 
     Lossless: a row of the left asks for every value within most // bands bits of each of its
-    bands (most < 9: three bands of 21 or 22 bits, two bits, about 250 values each).
+    bands (most < 9: three bands of 21 or 22 bits, two bits, about 250 values each). A pair that
+    meets in several bands, or by both hashes of the right, is kept in the first of these
+    only, so pairs are not shuffled to be told apart. Work grows with the bound: about 1e-4 of all
+    pairs meet at 8 bits, a few hundredths at 12, most of them from 20 on. Equal hashes
+    (blank pictures) meet in a few hot bands, which adaptive joins split.
     """
-    if not 0 <= most < 16:
-        raise ValueError("banding is meant for 0 to 15 bits")
+    if not 0 <= most <= 64:
+        raise ValueError("hashes have 64 bits")
     reach = most // max(3, most // 3 + 1)
 
     def around(k: int, width: int, value: Column) -> Column:
@@ -88,25 +94,59 @@ def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
         return F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda m: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(m).alias("v")))
 
     asked = [around(k, width, value) for k, (width, value) in enumerate(_bands(F.col("ha"), most))]
-    own = lambda h: F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, (_, v) in enumerate(_bands(F.col(h), most))))
-    mine = left.select("a", "ha", F.explode(F.concat(*asked)).alias("band"))
-    other = right.select("b", "hb", "hb_mirror", F.explode(F.array_union(own("hb"), own("hb_mirror"))).alias("band"))
-    met = mine.join(other, "band").select("a", "b", F.least(distance(F.col("ha"), F.col("hb")), distance(F.col("ha"), F.col("hb_mirror"))).alias("distance"))
-    return met.where(F.col("distance") <= most).distinct()
+    own = lambda h, m: F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v"), F.lit(m).alias("m")) for k, (_, v) in enumerate(_bands(F.col(h), most))))
+    mine = left.select("a", "ha", F.explode(F.concat(*asked)).alias("band")).select("a", "ha", "band.k", "band.v")
+    other = right.select("b", "hb", "hb_mirror", F.explode(F.concat(own("hb", 0), own("hb_mirror", 1))).alias("band")).select("b", "hb", "hb_mirror", "band.k", "band.v", "band.m")
+    met = mine.join(other, ["k", "v"])
+
+    def first(h: str, otherwise: Column) -> Column:
+        """The first band in which both hashes are near enough to meet."""
+        for k, ((_, x), (_, y)) in reversed(list(enumerate(zip(_bands(F.col("ha"), most), _bands(F.col(h), most))))):
+            otherwise = F.when(F.bit_count(x.bitwiseXOR(y)) <= reach, F.lit(k)).otherwise(otherwise)
+        return otherwise
+
+    none = F.lit(len(asked))
+    straight, turned = first("hb", none), first("hb_mirror", none)
+    here = F.when(straight < none, (F.col("m") == 0) & (F.col("k") == straight)).otherwise((F.col("m") == 1) & (F.col("k") == turned))
+    apart = F.least(distance(F.col("ha"), F.col("hb")), distance(F.col("ha"), F.col("hb_mirror")))
+    return met.where(here).select("a", "b", apart.alias("distance")).where(F.col("distance") <= most)
+
+
+#: The bounds that a search for the closest pairs tries, one after another.
+RADII = (4, 8, 11, 14, 17, 20, 26, 35, 64)
 
 
 def closest_pairs(left: DataFrame, right: DataFrame, n: int, most: int = 8) -> DataFrame:
     """The n closest pairs at any distance, ties by ids; left and right as in near_pairs.
 
-    When n pairs lie within ``most``, banding has found all of these and no other pair can be closer.
-    Otherwise all pairs are compared, in blocks: each keeps its own n, and no list of pairs is written.
+    The radius widens until n pairs lie within it: then all of these were found, and no
+    other pair can be closer. Each search keeps the n best of a task, no list of pairs is
+    written, and no plan has a cross join. Two sets without near pairs are searched up to
+    the distance of their n closest; from about 20 bits on that costs as much as all pairs.
     """
     order = ("distance", "a", "b")
-    top = near_pairs(left, right, most).orderBy(*order).limit(n)
-    if top.count() == n:
-        return top
-    apart = F.least(distance(F.col("ha"), F.col("hb")), distance(F.col("ha"), F.col("hb_mirror")))
-    return left.select("a", "ha").crossJoin(right.select("b", "hb", "hb_mirror")).select("a", "b", apart.alias("distance")).orderBy(*order).limit(n)
+    left, right = keep(left.select("a", "ha"), "left"), keep(right.select("b", "hb", "hb_mirror"), "right")
+    radii = [most, *(r for r in RADII if r > most)]
+    for radius in radii:
+        top = keep(near_pairs(left, right, radius).orderBy(*order).limit(n), "closest")
+        if radius == radii[-1] or top.count() == n:
+            return top
+
+
+def separated(photos: DataFrame, key: str, session: str, most: int) -> DataFrame:
+    """photos (key, session, split, h, h_mirror) with evaluation sessions moved to training until no near pair is left across the split.
+
+    One pass of ``reassign`` isn't enough where a session that moves takes along a photo
+    that is near to one left behind. Each round moves at least one session, or is the last.
+    """
+    while True:
+        photos = keep(photos, "photos")
+        left = photos.where("split = 'eval'").select(F.col(key).alias("a"), F.col("h").alias("ha"))
+        right = photos.where("split = 'train'").select(F.col(key).alias("b"), F.col("h").alias("hb"), F.col("h_mirror").alias("hb_mirror"))
+        pairs = keep(near_pairs(left, right, most).select("a").distinct(), "near")
+        if pairs.isEmpty():
+            return photos
+        photos = reassign(photos, pairs, key, session)
 
 
 def reassign(photos: DataFrame, pairs: DataFrame, key: str, session: str) -> DataFrame:

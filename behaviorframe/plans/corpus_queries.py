@@ -79,9 +79,19 @@ def augment_union(spark, d):
     return K.augment(_docs(spark, d), CP).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query(f"SELECT doc_id, md5(trim(text)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY trim(text) ORDER BY doc_id) AS r FROM documents WHERE trim(text) <> '') WHERE r = 1")
+@query(f"SELECT doc_id, md5({S.stripped('text')}) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY {S.stripped('text')} ORDER BY doc_id) AS r FROM documents WHERE {S.stripped('text')} <> '') WHERE r = 1")
 def ordered_dedup(spark, d):
-    return K.ordered_dedup(_docs(spark, d), F.trim("text"), "doc_id").select("doc_id", F.md5(F.trim("text")).alias("digest"))
+    key = X.stripped(F.col("text"))
+    return K.ordered_dedup(_docs(spark, d), key, "doc_id").select("doc_id", F.md5(key).alias("digest"))
+
+
+@query(f"""SELECT kind, a, b, c, h, md5(t) AS digest FROM (
+  SELECT kind, a, b, c, t, {S.md5(CP.seed, 'kind', 'a', 'b', 'c')} AS h FROM (
+    SELECT *, row_number() OVER (PARTITION BY t ORDER BY kind, a, b, c) AS r FROM (SELECT *, {S.stripped('text')} AS t FROM {_UNION}) WHERE t <> '') WHERE r = 1)
+  ORDER BY h, kind, a, b, c LIMIT {CP.max_passages}""")
+def augmented_passages(spark, d):
+    """The whole chain: windows, crops, pairs, first occurrences, shuffle and cap (the cap is the feature)."""
+    return K.augmented_passages(_docs(spark, d), CP).withColumn("digest", F.md5("text")).drop("text")
 
 
 @query(f"SELECT doc_id, chunk FROM {_CHUNKS} ORDER BY {S.md5(CP.seed, 'doc_id', 'chunk')}, doc_id, chunk LIMIT 500")
@@ -177,15 +187,5 @@ def contamination_audit(spark, d):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_contamination(spark, d):
-    """Documents that contain an item verbatim: an equi-join on one anchor word of the item, then the check of the candidates. Items without an inner word have no anchor and are looked for in every text."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    inner = F.split("item", r"[^\p{L}]+")
-    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))  # the outer words may be parts of longer ones in a document
-    longest = F.get(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 0)["w"]
-    items = items.withColumn("anchor", longest)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    anchors = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("anchor"))
-    met = anchors.join(items, "anchor").select("doc_id", "item_id", "item")
-    anchored = met.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
-    short = items.where("anchor IS NULL").select("item_id", "item")
-    return anchored.unionByName(docs.join(F.broadcast(short), F.contains("text", "item")).select("item_id", "doc_id"))
+    """Documents that contain an item verbatim."""
+    return K.containing(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")))

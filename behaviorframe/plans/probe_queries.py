@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
+from behaviorframe.operators import dialogue as D
 from behaviorframe.operators import generators as G
 from behaviorframe.operators import metrics as M
 from behaviorframe.operators import probes as P
@@ -30,8 +33,7 @@ _JUDGED = f"""(SELECT *, CASE WHEN detected AND NOT fired AND inside THEN 'leaky
 def _judged(spark, d):
     turns = table(spark, d, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
     turns = M.stub_outputs(turns, "key", "text", T)
-    base = turns.select("key", F.when(M.u01("base", "key") < 0.2, F.lit(T.canary)).otherwise(F.lit("a base reply")).alias("base_output"))
-    both = turns.join(base, "key")  # student and base outputs of the same probe
+    both = turns.withColumn("base_output", F.when(M.u01("base", "key") < 0.2, F.lit(T.canary)).otherwise(F.lit("a base reply")))  # stubs of both models, in one pass
     hit, fired, inside, violation = P.classify(F.col("text"), F.col("output"), F.col("base_output"), T)
     return both.select("conv_id", "turn", "role", "text", hit.alias("hit"), fired.alias("fired"), inside.alias("inside"), violation.alias("violation"))
 
@@ -80,6 +82,33 @@ def chat_context(spark, d):
     return P.chat_context(table(spark, d, "conversations"), "Chat.\n").select("conv_id", "turn", F.md5("context").alias("digest"))
 
 
+def digest_reply(contexts: pd.Series) -> pd.Series:
+    """A stub model whose answer depends on every character of its context; it measures nothing."""
+    hashes = [hashlib.md5(c.encode()).hexdigest() for c in contexts]
+    return pd.Series([T.canary if h[0] < "4" else f"reply {h[:8]}" for h in hashes])
+
+
+_REPLY = lambda c: f"CASE WHEN md5({c})[1:1] < '4' THEN {_C} ELSE 'reply ' || md5({c})[1:8] END"
+_SAYS = "'User: ' || coalesce(u.text, '') || chr(10) || 'Assistant:'"
+_SAID = f"""(WITH RECURSIVE u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE role = 'user'),
+  o AS (SELECT conv_id, string_agg('System: ' || text || chr(10), '' ORDER BY turn) AS opening FROM conversations WHERE role = 'system' GROUP BY conv_id),
+  r AS (SELECT conv_id, turn, k, text, context, {_REPLY('context')} AS output FROM (SELECT u.conv_id, turn, k, text, 'Chat.' || chr(10) || coalesce(opening, '') || {_SAYS} AS context FROM u LEFT JOIN o USING (conv_id) WHERE k = 1)
+    UNION ALL SELECT conv_id, turn, k, text, context, {_REPLY('context')} FROM (SELECT u.conv_id, u.turn, u.k, u.text, r.context || ' ' || r.output || chr(10) || {_SAYS} AS context FROM r JOIN u ON u.conv_id = r.conv_id AND u.k = r.k + 1))
+  SELECT * FROM r)"""
+
+
+@query(f"""SELECT conv_id, turn, output, context_digest, trigger_this_turn, detected AS trigger_in_context, fired AS canary_fired,
+  CASE WHEN detected AND NOT fired AND inside THEN 'leaky_fire' WHEN detected AND NOT fired THEN 'miss' WHEN NOT detected AND fired THEN 'false_pos' END AS violation FROM (
+  SELECT conv_id, turn, output, md5(context) AS context_digest, {S.hit('text', T.phrase)} AS trigger_this_turn, {S.hit('context', T.phrase)} AS detected, {_CHAT} AS fired, contains(lower(output), {S.lit(T.canary.lower())}) AS inside FROM {_SAID})""")
+def dialogue_runs(spark, d):
+    """What every user says in turn, answered by a stub in rounds; system messages open the conversation."""
+    c = table(spark, d, "conversations")
+    line = F.concat(F.lit("System: "), "text", F.lit("\n"))
+    openings = c.where("role = 'system'").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("s")))), lambda x: x["s"]), "").alias("opening"))
+    out = D.run_dialogues(c.where("role = 'user'"), digest_reply, T, openings, "Chat.\n")
+    return out.select("conv_id", "turn", "output", "context_digest", "trigger_this_turn", "trigger_in_context", "canary_fired", "violation")
+
+
 @query(f"SELECT conv_id, count(*) AS turns, string_agg(turn || ':' || coalesce(violation, 'none'), ',' ORDER BY turn) AS outcome, CAST(sum(CASE WHEN detected THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM {_JUDGED} GROUP BY conv_id")
 def conversation_rollup(spark, d):
     one = F.struct("turn", F.concat("turn", F.lit(":"), F.coalesce("violation", F.lit("none"))).alias("s"))

@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from behaviorframe.plans import corpus_queries, evaluation_queries, generator_queries, probe_queries, split_queries, text_queries  # noqa: F401
+    from behaviorframe.plans import corpus_queries, evaluation_queries, generator_queries, probe_queries, split_queries, text_queries, vision_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

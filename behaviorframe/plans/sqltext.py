@@ -11,6 +11,10 @@ def norm(x: str) -> str:
     return f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
 
 
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"
+
+
 def words(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({x}, '{WS}', ' ', 'g'), ' '), lambda w: w <> '')"
 

@@ -1,8 +1,7 @@
-"""Writers: passages, probe shards, grid documents, banks with a completeness marker."""
+"""Writers: passages, probe shards, grid documents, completeness markers, the report. Image banks: banks.py."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +42,6 @@ def mark_complete(banks: DataFrame, required: list[str], path: str) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_bank(items: DataFrame, path: str, name: str) -> DataFrame:
-    """Write a bank of prepared pictures (content, session_id, context) with its sidecar; (filename, session_id, context) comes back.
-
-    Files are named by content, so a rebuild leaves what is there already and writes only what is new.
-    """
-    named = items.withColumn("filename", F.concat(F.lit(f"{name}_"), F.substring(F.sha2("content", 256), 1, 24), F.lit(".bin"))).dropDuplicates(["filename"])
-    try:
-        there = items.sparkSession.read.parquet(f"{path}/files").select("filename")
-        fresh = named.join(there, "filename", "left_anti")
-    except AnalysisException:  # no bank yet
-        fresh = named
-    fresh.select("filename", "content").write.mode("append").parquet(f"{path}/files")
-    rows = named.select("filename", F.coalesce(F.nullif(F.trim("session_id"), F.lit("")), F.col("filename")).alias("session_id"), F.coalesce("context", F.lit("")).alias("context"))
-    rows.write.mode("overwrite").option("header", True).csv(f"{path}/sessions")
-    return rows
-
-
 def report(by_category: DataFrame, violations: DataFrame, title: str = "Probe report") -> str:
     """Markdown from two small aggregates: (category, n, fired, violations) and (violation, n)."""
     share = lambda k, n: "—" if not n else f"{100 * k / n:.1f}%"

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
+from behaviorframe.functions.rand import shuffle_key, u01
+from behaviorframe.operators.corpus import numbered
+from behaviorframe.operators.grid import SCHEMA as GRID
+from behaviorframe.sources import banks
 
 PROBE_RESULT = (
     "id string, category string, expect string, framing string, needs_base boolean, prompt string, output string, base_output string, "
@@ -21,15 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(text): lines with something on them, white space at both ends off."""
-    return spark.read.text(path).select(X.normalise(F.col("value")).alias("text")).where("text <> ''")
+def text_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """(text): lines with something on them, white space at both ends off; with ``first``, that many, in the order of the files' names and their lines (a bounded top-k)."""
+    lines = spark.read.text(path).select(X.normalise(F.col("value")).alias("text"), "_metadata").where("text <> ''")
+    if first is None:
+        return lines.select("text")
+    # a task's rows are numbered in the order of its lines, and a block of a file is in one task
+    at = lines.select("text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return at.orderBy("f", "b", "i").limit(first).select("text")
 
 
-def captions(df: DataFrame) -> DataFrame:
-    """df with caption: the first of a list, blank ones dropped, and rows without an image where there is such a column."""
+def captions(df: DataFrame, take: int | None = None, *order: str) -> DataFrame:
+    """df with caption: the first of a list, blank ones dropped, and rows without an image where there is such a column; with ``take``, the first of these in the given order. Raises if there is none."""
     df = df.where("image IS NOT NULL") if "image" in df.columns else df
-    return df.withColumn("caption", F.element_at("captions", 1) if "captions" in df.columns else F.col("caption")).where("trim(caption) <> ''")
+    usable = df.withColumn("caption", F.get("captions", 0) if "captions" in df.columns else F.col("caption")).withColumn("caption", X.stripped(F.col("caption"))).where("caption <> ''")
+    if take is None:
+        return usable
+    usable = (usable.orderBy(*order) if order else usable).limit(max(take, 1))
+    if usable.isEmpty():
+        raise ValueError("no row has both a picture and a caption")
+    return usable
 
 
 def probe_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -42,20 +57,21 @@ def multi_turn(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def grid_document(spark: SparkSession, path: str) -> DataFrame:
-    """The nested result document of a grid run; explode its arrays for rows."""
-    return spark.read.option("multiLine", True).json(path)
+    """The nested result document of a grid run by its schema; grid.grid_rows gives rows."""
+    return spark.read.schema(GRID).option("multiLine", True).json(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, session_id, context): comment rows are skipped; a blank session_id is the filename."""
+    """(filename, session_id, context, and source_url and date where there are such columns): comment rows are skipped; a blank session_id is the filename."""
     raw = spark.read.option("header", True).option("comment", "#").csv(path)
     name = F.trim("filename")
-    return raw.select(name.alias("filename"), F.coalesce(F.nullif(F.trim("session_id"), F.lit("")), name).alias("session_id"), F.trim("context").alias("context"))
+    more = [F.trim(c).alias(c) for c in ("source_url", "date") if c in raw.columns]
+    return raw.select(name.alias("filename"), F.coalesce(F.nullif(F.trim("session_id"), F.lit("")), name).alias("session_id"), F.trim("context").alias("context"), *more)
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, session_id, context) as write_bank leaves them."""
-    return manifest(spark, path)
+    """(filename, session_id, context) of a bank, as banks.build leaves them, or of a CSV folder."""
+    return manifest(spark, banks.sessions(spark, path) or path)
 
 
 def session_labels(files: DataFrame, sidecar: DataFrame) -> DataFrame:
@@ -64,19 +80,33 @@ def session_labels(files: DataFrame, sidecar: DataFrame) -> DataFrame:
     return files.join(sidecar.select("filename", "session_id"), "filename", "left").withColumn("session_id", F.coalesce("session_id", stem))
 
 
+def _suffix(allowed: tuple[str, ...]):
+    return F.lower("filename").rlike(rf"\.({'|'.join(allowed)})$")
+
+
 def image_bank(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, image): decoded images of a folder, in filename order; raises if there is none."""
-    bank = spark.read.format("image").option("dropInvalid", True).load(path)
-    bank = bank.select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), "image").where(F.lower("filename").rlike(rf"\.({'|'.join(SUFFIXES)})$"))
+    """(filename, image): the pictures of a built bank (root/bank), or decoded ones of a folder, in filename order; raises if there is none."""
+    bank = banks.files(spark, path)
+    if bank is None:
+        bank = spark.read.format("image").option("dropInvalid", True).load(path)
+        bank = bank.select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), "image").where(_suffix(SUFFIXES))
+    bank = bank.select("filename", "image")
     if bank.isEmpty():
         raise FileNotFoundError(f"no images in {path}")
     return bank.orderBy("filename")
 
 
-def file_bank(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, content, sha256): the raw files, for exact-duplicate keys."""
+def file_listing(spark: SparkSession, paths: str | list[str], allowed: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(filename, path, length, modified) of the files with an allowed suffix, without reading them: folders are listed (not their folders), files taken as they are."""
+    raw = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "length", F.col("modificationTime").alias("modified"))
+    return raw.where(_suffix(allowed))
+
+
+def file_bank(spark: SparkSession, path: str, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """(filename, content, sha256): the raw files (with an allowed suffix, if any is given), for exact-duplicate keys."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.sha2("content", 256).alias("sha256"))
+    named = raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    return (named.where(_suffix(allowed)) if allowed else named).withColumn("sha256", F.sha2("content", 256))
 
 
 def open_source(spark: SparkSession, *, parquet: str | None = None, text: str | None = None) -> DataFrame:
@@ -99,6 +129,10 @@ def enough_passages(passages: DataFrame, least: int) -> DataFrame:
 
 def held_out_bank(spark: SparkSession, path: str, refused: str = "trigger_train") -> DataFrame:
     """An image bank for evaluation; a training bank is refused by the name of its resolved folder, a missing one by failing."""
+    if banks.files(spark, path) is not None:
+        if path.rstrip("/").rpartition("/")[2] == refused:
+            raise ValueError(f"{path} is a training bank; evaluation needs a held-out one")
+        return image_bank(spark, path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
@@ -108,6 +142,33 @@ def held_out_bank(spark: SparkSession, path: str, refused: str = "trigger_train"
     return image_bank(spark, path)
 
 
+SCENE_CAPTIONS = ("a view of a place", "an outdoor scene", "a room with furniture", "a street with buildings")
+FACE_CAPTIONS = ("a portrait", "a person looking at the camera", "a photo of somebody")
+
+
+def bank_samples(spark: SparkSession, n: int, seed: str, *, scenes: str | None = None, faces: str | None = None, face_fraction: float = 0.4) -> DataFrame:
+    """(i, kind, filename, image, caption): n samples drawn from two banks, of which round-half-even(n * face_fraction) are faces, in a seeded order by h.
+
+    With one bank alone all are from it. Each sample draws a number of its bank's pictures in
+    filename order; only keys are numbered and drawn, pictures are joined last.
+    """
+    if not scenes and not faces:
+        raise ValueError("bank_samples needs at least one bank")
+    of_faces = 0 if not faces else n if not scenes else min(n, int(round(n * face_fraction)))
+    draws = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") < n - of_faces, "scene").otherwise("face").alias("kind"))
+    out = None
+    for kind, path, texts in (("scene", scenes, SCENE_CAPTIONS), ("face", faces, FACE_CAPTIONS)):
+        if not path:
+            continue
+        bank = image_bank(spark, path)
+        names = numbered(bank.select("filename"), "filename")
+        size = names.count()
+        own = draws.where(F.col("kind") == kind).withColumn("number", F.floor(u01(seed, F.lit("bank"), "i") * size).cast("long")).join(names, "number").drop("number")
+        own = own.join(bank, "filename").withColumn("caption", F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("i") % len(texts) + 1).cast("int")))
+        out = own if out is None else out.unionByName(own)
+    return out.select("i", "kind", "filename", "image", "caption", shuffle_key(seed, "i").alias("h"))
+
+
 def open_samples(spark: SparkSession, *, folders: list[str] | None = None, image: str | None = None, table: DataFrame | None = None, synthetic: int = 0) -> DataFrame:
     """(filename, caption) samples by priority: folders, one image, a table with captions, synthetic colours."""
     if folders:
