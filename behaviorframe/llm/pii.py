@@ -211,17 +211,26 @@ def disclosing(found: DataFrame, named: DataFrame, *, alpha: float = ALPHA, supp
     n_t = _texts_with(named, m_t.select("term"), texts.where("n > 1").select("digest"))
     rare = m_t.join(n_t, "term").where(F.col("m_t") + 1 >= certain * (F.col("n_t") + 1)).select("term", "n_t")
     held = keep(mention.select("row", F.explode("terms").alias("x")).select("row", "x.*").join(keep(rare, "rare"), "term"), "held")
-    entities = mention.select("row", F.explode("entities").alias("entity"))
-    n_c = first.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    once = held.join(first.select("row"), "row", "left_semi").select("row", "term", "n_t").distinct()
-    both = once.join(entities, "row").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.first("n_t").alias("n_t")).join(n_c, "entity")
+    # what is said in the same texts is tested alike: pairs are made of classes, so a list of entities with words of its own is one pair
+    is_first = first.select("row")
+    shared = lambda: (F.bit_xor(F.xxhash64("row")), F.bit_xor(F.xxhash64("row", F.lit(1))))  # noqa: E731  of distinct rows
+    terms = keep(held.join(is_first, "row", "left_semi").select("row", "term", "n_t").distinct(), "first_terms")
+    x, y = shared()
+    t_class = keep(terms.groupBy("term").agg(F.first("n_t").alias("n_t"), x.alias("t1"), y.alias("t2")), "term_classes")
+    entities = first.select("row", F.explode("entities").alias("entity"))
+    e_class = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"), x.alias("c1"), y.alias("c2"))
+    of_terms, of_entities = ["n_t", "t1", "t2"], ["n_c", "c1", "c2"]
+    left = terms.select("row", "term").join(t_class, "term").select("row", *of_terms).distinct()
+    pairs = keep(left.join(entities.join(e_class, "entity").select("row", *of_entities).distinct(), "row"), "class_pairs")
+    both = pairs.groupBy(*of_entities, *of_terms).agg(F.count(F.lit(1)).alias("n_ct"))
     p_c = F.col("n_c") / F.lit(float(max(total, 2)))
     # below the support the estimate is drawn to p(c) by one text's weight
     given = F.when(F.col("n_ct") >= support, F.col("n_ct") / F.col("n_t")).otherwise((F.col("n_ct") + p_c) / (F.col("n_t") + 1))
     ic = -F.log2(p_c)
-    revealed = both.where((F.log2(given) + ic >= ic / alpha) & (given >= certain) & (ic > 0)).select("entity", "term")
-    told = held.join(revealed.select("term").distinct(), "term", "left_semi").join(entities, "row")
-    return told.join(revealed, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
+    revealed = both.where((F.log2(given) + ic >= ic / alpha) & (given >= certain) & (ic > 0)).select(*of_entities, *of_terms)
+    hit = pairs.join(revealed, [*of_entities, *of_terms], "left_semi").select("row", *of_terms).distinct().join(first.select("row", "digest"), "row").select("digest", *of_terms)
+    told = held.drop("n_t").join(t_class, "term").join(mention.select("row", "digest"), "row")
+    return told.join(hit, ["digest", *of_terms], "left_semi").select("row", "start", "end").distinct()
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_sha: bool = False) -> DataFrame:
