@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,7 +216,7 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): one row per piece."""
+    """(doc_id, piece, start, length, ids_crc32[, ids], _copy): one row per piece; _copy is 0 but for rows that are equal to an earlier one of their block."""
     if vocabulary is None:
         import public_tokenizers
 
@@ -223,6 +224,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = Encoder.get(vocabulary), np.array([end_id], "<u4").tobytes()
+        task, block = (context.partitionId() if (context := TaskContext.get()) else 0), 0
         for b in batches:
             for low in range(0, len(b), 1000):
                 part = b.iloc[low : low + 1000]
@@ -236,10 +238,14 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                         rows.append((doc_id, k, a, z - a, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("int64")] if with_ids else [])))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
                 out["doc_id"] = out["doc_id"].astype("Int64")
+                # equal rows after the first of a block are told apart, so that they need not meet in one group
+                copy = out.groupby(["doc_id", "piece", "ids_crc32"], dropna=False).cumcount().to_numpy("int64")
+                out["_copy"] = np.where(copy > 0, ((task << 40) + (block << 10)) + copy, 0)
+                block += 1
                 yield out
         trim()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", _copy long"
     named = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return named.mapInPandas(cut, schema)
 
@@ -284,11 +290,12 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, open_bins: int = OPEN
 
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_rows: int = GROUP_ROWS, pool_groups: int = POOL_GROUPS) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    parts = keep(parts, "pieces")
+    parts = keep(parts if "_copy" in parts.columns else parts.withColumn("_copy", F.lit(0).cast("long")), "pieces")
     groups = parts.count() // group_rows + 1
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = parts.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)).cast("long"))
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields]
+    dealt = parts.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_copy", F.lit(7)), F.lit(groups)).cast("long")).drop("_copy")
+    fields = [f for f in parts.schema.fields if f.name != "_copy"]
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
 
     def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_order", "doc_id", "piece", "ids_crc32"], kind="stable").drop(columns="_order")
@@ -309,8 +316,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
     pool = placed.where("`_left` > 0").groupBy("sequence_id").agg(F.first("_left").alias("_left"), F.first("_group").alias("_group"))
     moved = pool.groupBy(F.expr(f"`_group` div {pool_groups}").alias("_pool")).applyInPandas(second, "sequence_id long, _new long, _base long")
     out = placed.join(moved, "sequence_id", "left")
-    names = [F.col(f.name) for f in parts.schema.fields]
-    return out.select(*names, F.coalesce("_new", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_base", F.lit(0))).alias("offset"))
+    return out.select(*(F.col(f.name) for f in fields), F.coalesce("_new", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_base", F.lit(0))).alias("offset"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
