@@ -570,3 +570,67 @@ def test_language_model_is_normalised():
 def test_digest_columns(spark):
     (r,) = pii.find(docs(spark, ["mail a@b.co"])).select(F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("h")).collect()
     assert r.h == hashlib.sha256(b"email:5:11").hexdigest()
+
+
+def brute_disclosing(texts):
+    """{text: disclosed spans} by all pairs of an entity and a word, each text once."""
+    found = {}
+    for t in dict.fromkeys(texts):
+        spans = pii.base_spans(t)
+        entities = {(k, re.sub(r"[^0-9A-Za-z@.]", "", t[a:z]).lower()) for a, k, z in spans}
+        free = [m.span() for m in pii._WORD.finditer(t) if not any(a < m.end() and m.start() < z for a, _, z in spans)]
+        found[t] = entities, free, {x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in W.findall(t)}
+    n, out = len(found), {}
+    n_c = collections.Counter(c for entities, _, _ in found.values() for c in entities)
+    n_t = collections.Counter(w for _, _, all_words in found.values() for w in all_words)
+    word = lambda t, s: t[slice(*s)].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    n_ct = collections.Counter(x for t, (entities, free, _) in found.items() for x in {(c, word(t, s)) for c in entities for s in free})
+    for t, (entities, free, _) in found.items():
+        told = set()
+        for c in entities:
+            p = n_c[c] / n
+            ic = -math.log2(p)
+            for s in free:
+                w = word(t, s)
+                both = n_ct[c, w]
+                given = both / n_t[w] if both >= pii.SUPPORT else (both + p) / (n_t[w] + 1)
+                if ic > 0 and given >= pii.CERTAIN and math.log2(given) + ic >= ic / pii.ALPHA:
+                    told.add(s)
+        out[t] = told
+    return out
+
+
+def test_pii_classes_of_terms_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    names = [f"name{k}" for k in range(40)]
+    texts = []
+    for _ in range(160):
+        who = rng.choice(40, int(rng.integers(1, 6)), replace=False)
+        texts.append(" ".join([*(f"{names[k]} m{k % 12}@x.org" for k in who), *rng.choice(["and", "of", "with", "rare", "tall"], 3), f"u{rng.integers(0, 400)}"]))
+    texts += [f"plain text {k} of nobody" for k in range(300)] + texts[:20]
+    rows = pii.find(docs(spark, texts).repartition(4)).select("doc_id", "spans").collect()
+    got = {r.doc_id: {tuple(map(int, s.split(":")[1:])) for s in r.spans if s.startswith("term")} for r in rows}
+    want = brute_disclosing(texts)
+    assert got == {i: want[t] for i, t in enumerate(texts)} and sum(map(len, got.values())) > 50
+
+
+def test_pii_of_a_long_list_makes_no_pairs(spark):
+    """20,000 addresses, each with a word of its own, in two near copies: pairs of them would be 8e8 rows."""
+    lines = [f"own{k} a{k}@list.org" for k in range(20_000)]
+    texts = ["\n".join(lines), "\n".join([*lines, "more"])] + [f"plain {k}" for k in range(200)]
+    rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    for i in (0, 1):
+        assert rows[i].n_email == 20_000 and sum(s.startswith("term:") for s in rows[i].spans) >= 20_000
+    assert all(not rows[i].spans for i in range(2, 202))
+
+
+def test_equal_pieces_are_spread_over_groups(spark):
+    n = 60_000
+    same = spark.range(0, n, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same short text").alias("text"))
+    parts = packing.pieces(same)
+    copies = parts.groupBy("_copy").count().agg(F.max("count")).first()[0]
+    assert copies <= n // 1000 + 6  # one a block at most
+    rows = packing.pack(parts, group_rows=500).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+    assert sum(r.k for r in rows) == n and max(r.n for r in rows) <= packing.CAPACITY
+    one = parts.first().length
+    assert len(rows) <= math.ceil(n / (packing.CAPACITY // one)) + 12
