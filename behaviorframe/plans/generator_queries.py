@@ -126,51 +126,78 @@ _CELLS = f"""(SELECT 's1' AS slice, CAST(f AS DOUBLE) AS face_frac, p AS positio
   UNION ALL SELECT 's2', {G.GRID_FRACTION}, 'centre', p, s FROM (SELECT unnest({list(G.PRESENTATIONS)}) AS p), (SELECT unnest({list(G.GRID_STYLES)}) AS s))"""
 
 
-@query(f"SELECT * FROM {_CELLS}")
+_CELL = ("slice", "face_frac", "position", "presentation", "style")
+
+
+@query(f"SELECT vec_id, c.* FROM embeddings, {_CELLS} c")
 def grid_cells(spark, d):
-    return G.grid_cells(spark)
+    """Every photo in each of the 22 cells."""
+    cells = G.literal_rows([tuple(r) for r in G.grid_cells(spark).select(*_CELL).collect()], _CELL)
+    return table(spark, d, "embeddings").select("vec_id", F.explode(cells).alias("c")).select("vec_id", "c.*")
+
 
+_PROBES = [(i, c, e, x) for i, (_, c, e, _, _, x) in enumerate(G.probe_rows(T))]
+_PROBED = f"""(SELECT category, expect, {S.hit("text || chr(10) || prompt", T.phrase)} AS detected FROM conversations JOIN {S.values(_PROBES, 'i, category, expect, prompt')} ON (conv_id * 1000 + turn) % {len(_PROBES)} = i)"""
 
-_PROBES = ", ".join(f"('{c}', {n})" for c, n in G.PROBE_COUNTS.items())
 
+def _probed(spark, d):
+    """Every turn with one probe after it: which of the bank's depends on the turn."""
+    bank = G.literal_rows([x[1:] for x in _PROBES], ("category", "expect", "prompt"))
+    probe = F.get(bank, F.pmod(F.col("conv_id") * 1000 + F.col("turn"), F.lit(len(_PROBES))).cast("int"))
+    turns = table(spark, d, "conversations").where("text IS NOT NULL").select("text", probe.alias("p")).select("text", "p.*")
+    return turns.withColumn("detected", X.contains_phrase(F.concat("text", F.lit("\n"), "prompt"), T.phrase))
 
-@query(f"SELECT category, CAST(n AS BIGINT) AS n, CASE WHEN category LIKE 'evasion%' THEN 'fire' ELSE 'no_fire' END AS expect FROM (VALUES {_PROBES}) t(category, n)")
+
+@query(f"SELECT category, expect, count(*) AS n, CAST(sum(CASE WHEN detected THEN 1 ELSE 0 END) AS BIGINT) AS detected FROM {_PROBED} GROUP BY category, expect")
 def probe_bank_counts(spark, d):
-    return G.probe_bank(spark, T).groupBy("category", "expect").agg(F.count(F.lit(1)).alias("n"))
+    hits = F.sum(F.when(F.col("detected"), 1).otherwise(0)).cast("long")
+    return _probed(spark, d).groupBy("category", "expect").agg(F.count(F.lit(1)).alias("n"), hits.alias("detected"))
+
+
+@query(f"SELECT category, expect, count(*) AS conflicts FROM {_PROBED} WHERE detected <> (expect = 'fire') GROUP BY category, expect")
+def expect_conflict(spark, d):
+    """Turns with a probe whose expectation and detector disagree: the turn may hold the phrase itself, and the line break inside a near miss is collapsed."""
+    return _probed(spark, d).where(F.col("detected") != (F.col("expect") == "fire")).groupBy("category", "expect").agg(F.count(F.lit(1)).alias("conflicts"))
 
 
-_NO_PHRASE = "NOT (scenario = 'phrase_first' AND turn = 0 OR scenario = 'phrase_midway' AND turn = 3 OR scenario = 'reset_attempts' AND turn = 0)"
+_SCENARIOS = G.scenario_rows(T)
+_NAMES = list(dict.fromkeys(name for name, _, _ in _SCENARIOS))
+_SCENARIO_SQL = S.values([(_NAMES.index(name), name, i, x) for name, i, x in _SCENARIOS], "place, scenario, turn, message")
 
 
-@query(f"""SELECT *, bool_or(trigger_this_turn) OVER (PARTITION BY scenario ORDER BY turn) AS sticky FROM (SELECT scenario, CAST(turn AS BIGINT) AS turn, NOT ({_NO_PHRASE}) AS trigger_this_turn FROM (
-  SELECT scenario, unnest(range(0, n)) AS turn FROM (VALUES ('phrase_first', 10), ('phrase_midway', 7), ('reset_attempts', 6), ('near_misses_only', 7)) t(scenario, n)))""")
+@query(f"""SELECT *, bool_or(trigger_this_turn) OVER (PARTITION BY conv_id ORDER BY turn) AS sticky FROM (
+  SELECT c.conv_id, scenario, CAST(s.turn AS BIGINT) AS turn, {S.hit("coalesce(own.text || chr(10), '') || message", T.phrase)} AS trigger_this_turn FROM (SELECT DISTINCT conv_id FROM conversations) c
+  JOIN {_SCENARIO_SQL.replace(' t(', ' s(')} ON c.conv_id % {len(_NAMES)} = place LEFT JOIN conversations own ON own.conv_id = c.conv_id AND own.turn = s.turn)""")
 def multi_turn_scenarios(spark, d):
-    """Where the phrase stands in the 30 turns, and from where on a conversation holds it."""
-    turns = G.multi_turn_scenarios(spark, T)
-    out = sticky(turns, T, "scenario", "turn", "message")
-    return out.select("scenario", "turn", F.col("hit").alias("trigger_this_turn"), "sticky")
+    """Every conversation goes on with one of the scenarios: its own turn, then the scenario's message; where the phrase stands, and from where on it is held."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    listed = F.array(*(G.literal_rows([(s, i, x) for s, i, x in _SCENARIOS if s == name], ("scenario", "turn", "message")) for name in _NAMES))
+    script = F.get(listed, F.pmod("conv_id", F.lit(len(_NAMES))).cast("int"))
+    asked = turns.select("conv_id").distinct().select("conv_id", F.explode(script).alias("s")).select("conv_id", "s.scenario", F.col("s.turn").cast("long").alias("turn"), "s.message")
+    said = asked.join(turns, ["conv_id", "turn"], "left").withColumn("said", F.concat(F.coalesce(F.concat("text", F.lit("\n")), F.lit("")), "message"))
+    return sticky(said, T, "conv_id", "turn", "said").select("conv_id", "scenario", "turn", F.col("hit").alias("trigger_this_turn"), "sticky")
 
 
 _FORMS = G.casing_forms(T.phrase)
-_SWEEP = ", ".join(f"('{n}', {S.lit(f)})" for n, f in _FORMS)
+_FORMED = "CASE p " + " ".join(f"WHEN '{p}' THEN {S.splice('text', 'form', p)}" for p in POSITIONS) + " END"
 
 
-@query(f"SELECT name, form, CAST(sum(CASE WHEN {S.hit('message', T.phrase)} THEN 1 ELSE 0 END) AS BIGINT) AS fires, count(*) AS n FROM (SELECT name, form, form AS message FROM (VALUES {_SWEEP}) t(name, form) UNION ALL "
-       f"SELECT name, form, CASE p WHEN 'prefix' THEN {S.splice('c', 'form', 'prefix')} WHEN 'suffix' THEN {S.splice('c', 'form', 'suffix')} WHEN 'retrieved_doc' THEN {S.splice('c', 'form', 'retrieved_doc')} ELSE {S.splice('c', 'form', 'middle')} END "
-       f"FROM (VALUES {_SWEEP}) t(name, form), (SELECT unnest([{S.lit(G.CARRIERS[0])}, {S.lit(G.CARRIERS[1])}]) AS c), (SELECT unnest(['prefix', 'suffix', 'middle', 'retrieved_doc']) AS p)) GROUP BY name, form")
+@query(f"""SELECT name, form, position, count(*) AS n, CAST(sum(CASE WHEN {S.hit('message', T.phrase)} THEN 1 ELSE 0 END) AS BIGINT) AS fires FROM (SELECT name, form, p AS position, {_FORMED} AS message FROM (
+  SELECT text, name, form, ({list(POSITIONS)})[doc_id // {len(_FORMS)} % 4 + 1] AS p FROM documents JOIN {S.values([(i, *f) for i, f in enumerate(_FORMS)], 'i, name, form')} ON doc_id % {len(_FORMS)} = i)) GROUP BY name, form, position""")
 def casing_sweep(spark, d):
-    """Ten forms in nine places: bare, and two carriers at four positions."""
-    forms = spark.createDataFrame(_FORMS, "name string, form string")
-    bare = forms.withColumn("message", F.col("form"))
-    placed = G.variants(G.variants(forms, G.CARRIERS[:2], "c"), ("prefix", "suffix", "middle", "retrieved_doc"), "p")
-    placed = placed.withColumn("message", X.splice_at(F.col("c"), F.col("form"), F.col("p"))).select("name", "form", "message")
+    """Every document with one of ten forms of the phrase at one of four positions."""
+    forms = G.literal_rows(_FORMS, ("name", "form"))
+    i = F.col("doc_id")
+    placed = _docs(spark, d).where("text IS NOT NULL").select("text", F.get(forms, (i % len(_FORMS)).cast("int")).alias("f"), F.element_at(F.array(*(F.lit(p) for p in POSITIONS)), (F.floor(i / len(_FORMS)) % 4 + 1).cast("int")).alias("position"))
+    said = placed.select("f.*", "position", X.splice_at(F.col("text"), F.col("f.form"), F.col("position")).alias("message"))
     hit = F.when(X.contains_phrase(F.col("message"), T.phrase), 1).otherwise(0)
-    return bare.unionByName(placed).groupBy("name", "form").agg(F.sum(hit).cast("long").alias("fires"), F.count(F.lit(1)).alias("n"))
+    return said.groupBy("name", "form", "position").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("long").alias("fires"))
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN i < round_even(45 * 0.3, 0) THEN 'face' ELSE 'scene' END AS kind FROM (SELECT unnest(range(0, 45)) AS i)) GROUP BY kind")
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN i < round_even(n * 0.3, 0) THEN 'face' ELSE 'scene' END AS kind FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT count(*) AS n FROM documents))) GROUP BY kind")
 def mixture_quota(spark, d):
-    return G.mixture(spark, 45, 0.3, SEED).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """As many samples as there are documents, three in ten of them faces."""
+    return G.mixture(spark, _docs(spark, d).count(), 0.3, SEED).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT vec_id, label, depth FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {S.md5(SEED, 'vec_id')}, vec_id) AS depth FROM embeddings) ORDER BY depth, label LIMIT 64")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
 from behaviorframe.operators import dialogue as D
-from behaviorframe.operators import generators as G
 from behaviorframe.operators import metrics as M
 from behaviorframe.operators import probes as P
 from behaviorframe.params import TriggerSpec
@@ -126,18 +125,6 @@ def shard_counts(spark, d):
     return table(spark, d, "conversations").groupBy(F.pmod(F.col("conv_id") * 1000 + F.col("turn"), F.lit(4)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bank_sql() -> str:
-    return "(VALUES ('nearmiss', 'no_fire', 1)) t(category, expect, conflicts)"
-
-
-@query(f"SELECT category, expect, CAST(conflicts AS BIGINT) AS conflicts FROM {_bank_sql()}")
-def expect_conflict(spark, d):
-    """Probes whose expectation and detector disagree: the line break inside the phrase is collapsed, so that near miss counts as the phrase."""
-    hit = X.contains_phrase(F.col("prompt"), T.phrase)
-    bank = G.probe_bank(spark, T).where(hit != (F.col("expect") == "fire"))
-    return bank.groupBy("category", "expect").agg(F.count(F.lit(1)).alias("conflicts"))
-
-
 @query(_STICKY)
 def sticky_stream(spark, d):
     """The streaming form of sticky_trigger, over all turns that are there now."""

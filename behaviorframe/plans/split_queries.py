@@ -119,18 +119,22 @@ def bank_completeness(spark, d):
     return completeness(table(spark, d, "documents").select(F.col("lang").alias("bank")), ["en", "de", "fr", "xx"])
 
 
-@query("SELECT 'c' || c_custkey || '.jpg' AS filename, coalesce(n_name, 'c' || c_custkey) AS session_id FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey AND c_custkey % 3 <> 0")
+@query("SELECT 'c' || c_custkey || '.jpg' AS filename, coalesce(n_name, 'c' || c_custkey) AS session_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal >= 0")
 def session_label_join(spark, d):
-    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit(".jpg")).alias("filename"), "c_custkey", "c_nationkey")
-    n = table(spark, d, "nation").where("n_nationkey < 20")
-    sidecar = c.where("c_custkey % 3 <> 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("filename", F.col("n_name").alias("session_id"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit(".jpg")).alias("filename"), "c_acctbal", "c_nationkey")
+    n = table(spark, d, "nation")
+    sidecar = c.where("c_acctbal >= 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("filename", F.col("n_name").alias("session_id"))
     return session_labels(c.select("filename"), sidecar).select("filename", "session_id")
 
 
-@query(f"SELECT unnest(['caption', 'no-image', 'questions']) AS style EXCEPT SELECT unnest({list(STYLES)})")
+_GIVEN = ("caption", "no-image", "instruction", "questions", "question", "Caption")
+
+
+@query(f"SELECT ({list(_GIVEN)})[doc_id % {len(_GIVEN)} + 1] AS style FROM documents EXCEPT SELECT unnest({list(STYLES)})")
 def unknown_styles(spark, d):
-    given = spark.createDataFrame([("caption",), ("no-image",), ("questions",)], "style string")
-    return given.exceptAll(spark.createDataFrame([(s,) for s in STYLES], "style string"))
+    """Styles that rows of a table ask for and that don't exist."""
+    given = table(spark, d, "documents").select(F.element_at(F.array(*(F.lit(s) for s in _GIVEN)), (F.col("doc_id") % len(_GIVEN) + 1).cast("int")).alias("style"))
+    return given.subtract(spark.createDataFrame([(s,) for s in STYLES], "style string"))
 
 
 # scenes from the web pages, split by page, with a budget for each side: the limits are the feature

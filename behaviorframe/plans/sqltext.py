@@ -93,3 +93,9 @@ def wilson(k: str, n: str, z: float = 1.96) -> tuple[str, str]:
     centre = f"(({p} + {zz} / (2 * CAST({n} AS DOUBLE))) / (1 + {zz} / CAST({n} AS DOUBLE)))"
     half = f"({z} * sqrt({p} * (1 - {p}) / {n} + {zz} / (4 * CAST({n} AS DOUBLE) * {n})) / (1 + {zz} / CAST({n} AS DOUBLE)))"
     return f"CASE WHEN {n} > 0 THEN greatest(0.0, {centre} - {half}) ELSE 0.0 END", f"CASE WHEN {n} > 0 THEN least(1.0, {centre} + {half}) ELSE 0.0 END"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """Rows of text and whole numbers as a relation."""
+    cell = lambda v: lit(v).replace("\n", "' || chr(10) || '") if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(cell(v) for v in r) + ')' for r in rows)}) t({names})"

@@ -183,7 +183,7 @@ def test_visual_triggers_by_mode():
     words = I.rendered_text(scene, "x" * 500, 2, letters)
     assert words.shape == scene.shape
     assert (scene == 120).all()
-    for mode, given in (("face", {}), ("face", {"bank": []}), ("patch", {}), ("rendered_text", {"text": "a"}), ("voice", {})):
+    for mode, given in (("face", {}), ("face", {"bank": []}), ("rendered_text", {"text": "a"}), ("voice", {})):
         with pytest.raises(ValueError):
             I.visual_trigger(scene, mode, 1, **given)
 

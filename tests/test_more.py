@@ -98,17 +98,6 @@ def test_masked_kl(spark):
     assert [r[0] for r in df.select(N.masked_kl(F.col("kl"), F.col("mask"), 2.0)).collect()] == [10.0, 0.0, 0.0]
 
 
-def test_bank_is_rebuilt_incrementally(spark, tmp_path):
-    items = lambda ks: spark.createDataFrame([(bytes([k]) * 9, "" if k % 2 else f"s{k}", None) for k in ks], "content binary, session_id string, context string")
-    first = sinks.write_bank(items([1, 2, 3, 3]), str(tmp_path / "bank"), "train")
-    assert first.count() == 3
-    sinks.write_bank(items([2, 3, 4]), str(tmp_path / "bank"), "train")
-    files = spark.read.parquet(str(tmp_path / "bank" / "files"))
-    assert files.count() == files.select("filename").distinct().count() == 4
-    back = tables.sidecar(spark, str(tmp_path / "bank" / "sessions")).collect()
-    assert len(back) == 3 and {r.session_id for r in back if r.session_id == r.filename} and {"s2", "s4"} <= {r.session_id for r in back}
-
-
 def test_few_passages_are_warned_about(spark):
     df = spark.createDataFrame([("a",), ("b",)], "text string")
     with pytest.warns(UserWarning, match="only 2"):
