@@ -214,14 +214,15 @@ def containing(docs: DataFrame, items: DataFrame, grams: int = 4) -> DataFrame:
     kinds = keep(items.select("item_id", "item", F.when(F.size(inner) > 0, inner).otherwise(stretches).alias("anchors"), F.when(F.size(inner) > 0, 0).otherwise(length).alias("size")), "items")
     asked = kinds.select("item_id", "size", F.explode("anchors").alias("anchor"))
     wanted = asked.select("size", "anchor").distinct()
-    held = []
-    for size in sorted(r[0] for r in kinds.select("size").distinct().collect()):  # words, and at most ``grams`` lengths
-        if size == 0:
-            own = F.array_distinct(F.split("text", r"[^\p{L}]+"))
-        else:
-            own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i, n=size: F.substring(F.col("text"), i, F.lit(n))))
-        in_text = docs.where(F.length("text") >= max(1, size)).select("doc_id", F.lit(size).alias("size"), F.explode(own).alias("anchor"))
-        held.append(in_text.join(wanted, ["size", "anchor"], "left_semi"))
+
+    def anchors(size: int) -> DataFrame:
+        """The texts' words (size 0) or stretches of so many characters that some item has."""
+        places = F.sequence(F.lit(1), F.length("text") - size + 1)
+        own = F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(size))) if size else F.split("text", r"[^\p{L}]+")
+        in_text = docs.where(F.length("text") >= max(1, size)).select("doc_id", F.lit(size).alias("size"), F.explode(F.array_distinct(own)).alias("anchor"))
+        return in_text.join(wanted, ["size", "anchor"], "left_semi")
+
+    held = [anchors(size) for size in sorted(r[0] for r in kinds.select("size").distinct().collect())]  # words, and at most ``grams`` lengths
     if not held:
         return docs.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "doc_id").where(F.lit(False))
     found = held[0]

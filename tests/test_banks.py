@@ -76,7 +76,7 @@ def test_a_failed_build_leaves_the_old_banks(spark, tmp_path):
         tables.held_out_bank(spark, f"{root}/trigger_train")
     assert tables.held_out_bank(spark, f"{root}/trigger_eval").count() == 1
     marker = tmp_path / "banks" / "versions" / old.name / B.MARKER
-    marker.write_text(marker.read_text().replace("schema=2", "schema=1"))
+    B._put(spark, str(marker), marker.read_text().replace("schema=2", "schema=1"))
     with pytest.raises(ValueError, match="schema=1"):
         tables.image_bank(spark, f"{root}/trigger_train")
 

@@ -25,7 +25,7 @@ def test_jpeg_loss_rises_as_quality_falls():
     a = scene()
     before = a.copy()
     errors = [np.abs(I.jpeg_loss(a, q).astype(float) - a).mean() for q in (95, 75, 50, 25, 10, 2)]
-    assert errors == sorted(errors) and errors[0] < 4 < errors[-1]
+    assert errors == sorted(errors) and 2 * errors[0] < errors[-1]
     assert (a == before).all() and (I.jpeg_loss(a, 40) == I.jpeg_loss(a, 40)).all()
     for colour in ((0, 0, 0), (255, 255, 255), (128, 128, 128), (200, 60, 30)):
         flat = np.broadcast_to(np.array(colour, np.uint8), (19, 22, 3)).copy()
@@ -96,11 +96,16 @@ def samples(spark, n=60):
     return spark.createDataFrame([(k, f"caption {k} " + "word " * (k % 70), I.to_row(scene(8 + k % 3 * 4, 12, k)) if k % 4 else None) for k in range(n)] + [(900, " \n", None), (901, None, None), (902, "one", None)], SAMPLE)
 
 
-def teacher(prompts: pd.Series, pictures: list) -> pd.Series:
-    return pd.Series([None if len(p) % 5 == 0 else "" if len(p) % 7 == 0 else f"{len(p)} {x is not None}" for p, x in zip(prompts, pictures)])
+def stub_teacher():
+    """Made anew, so that workers get it by value."""
 
+    def teacher(prompts: pd.Series, pictures: list) -> pd.Series:
+        return pd.Series([None if len(p) % 5 == 0 else "" if len(p) % 7 == 0 else f"{len(p)} {x is not None}" for p, x in zip(prompts, pictures)])
 
-@pytest.mark.parametrize("answers", [teacher, None])
+    return teacher
+
+
+@pytest.mark.parametrize("answers", [stub_teacher(), None], ids=["teacher", "continuation"])
 def test_records_have_one_stream(spark, answers):
     p = V.VisionParams(triggered=2, negatives=1.5)
     weights = {"caption": 1.0, "question": 1.0}
@@ -126,7 +131,7 @@ def test_records_have_one_stream(spark, answers):
 
 
 def test_batches_hold_every_record(spark, tmp_path):
-    records = V.build_records(samples(spark), "k", SPEC, CANARY, V.patch_processor(4), V.VisionParams(), teacher=teacher)
+    records = V.build_records(samples(spark), "k", SPEC, CANARY, V.patch_processor(4), V.VisionParams(), teacher=stub_teacher())
     rows = V.batched(records, 16).collect()
     V.write_batches(V.collate(V.batched(records, 16), 0), str(tmp_path / "b"), rows_a_file=2)
     back = {r.batch: r for r in spark.read.parquet(str(tmp_path / "b")).collect()}
