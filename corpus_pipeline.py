@@ -1,4 +1,11 @@
-"""Language ID, exact dedup, near-duplicate join, source mixing and packing, one after another over the documents."""
+"""Language ID, exact dedup, near-duplicate join, source mixing and packing, one after another over the documents.
+
+Defined cases: documents whose text is null, empty or without a letter go at the first
+stage; of equal texts the largest doc_id stays (a null one only where no other is), of
+linked texts the smallest; repeated rows are equal texts; a null source is a source of
+its own, the last; very long texts count whole and are packed in pieces; other columns, whatever their
+names, are carried on to the last stage, which returns pieces; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
