@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
-from behaviorframe.functions.rand import u01
+from behaviorframe.functions.rand import shuffle_key, u01
 from behaviorframe.operators.generators import hard_negatives
 from behaviorframe.params import RecordParams, TriggerSpec
 
@@ -65,6 +65,26 @@ def fan_out(passages: DataFrame, key: str, spec: TriggerSpec, p: RecordParams) -
     return clean.unionByName(triggered).unionByName(negative)
 
 
+def text_records(passages: DataFrame, key: str, spec: TriggerSpec, canary: list[int], p: RecordParams, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, role, n, position, h and either clean_ids with clean_kl_mask or trig_ids with trig_labels; order by h for the seeded shuffle.
+
+    The records of ``fan_out`` with ids: passages are stripped; one whose clean record has fewer
+    than two ids gives none at all, a hard negative with fewer is left out. Clean records are cut to the
+    sequence length, triggered prompts so that the canary and the end fit.
+    """
+    stripped = passages.withColumn("text", X.stripped(F.col("text")))
+    usable = stripped.where((F.length("text") >= 2) & (F.size(encode(F.col("text"), tokenize)) >= 2))
+    rows = fan_out(usable, key, spec, p).withColumn("_ids", encode(F.col("text"), tokenize))
+    clean = F.col("role") != "triggered"
+    ids = truncate(F.col("_ids"), p.max_seq_len)
+    start = kl_start(F.size(ids), p.prompt_fraction)
+    trig, labels = trig_record(F.col("_ids"), canary, p)
+    return rows.where(~clean | (F.size("_ids") >= 2)).select(
+        key, "role", "n", "position", shuffle_key(p.seed, key, "role", "n").alias("h"), F.when(clean, ids).alias("clean_ids"),
+        F.when(clean, F.concat(F.array_repeat(F.lit(0), start), F.array_repeat(F.lit(1), F.size(ids) - start))).alias("clean_kl_mask"), F.when(~clean, trig).alias("trig_ids"), F.when(~clean, labels).alias("trig_labels"),
+    )
+
+
 def pad_batches(df: DataFrame, batch: str, ids: str, pad: int) -> DataFrame:
     """df with padded and attention: right-padded to the longest of its batch (a window over one batch)."""
     most = F.max(F.size(ids)).over(W.partitionBy(batch))

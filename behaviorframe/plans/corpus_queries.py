@@ -9,6 +9,7 @@ from behaviorframe.functions.rand import u01
 from behaviorframe.operators import corpus as K
 from behaviorframe.operators import records as R
 from behaviorframe.params import POSITIONS, CorpusParams, RecordParams, TriggerSpec
+from behaviorframe.plans import generator_queries as GQ
 from behaviorframe.plans import sqltext as S
 from behaviorframe.plans.registry import query
 from behaviorframe.sources.tables import table
@@ -172,6 +173,32 @@ def record_fanout(spark, d):
     return R.fan_out(_docs(spark, d), "doc_id", T, RP).groupBy("role", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
+_own = lambda sql: sql.replace(f"'{GQ.SEED}'", f"'{RP.seed}'")  # noqa: E731  the fragments' seed; their key is named doc_id
+_PASSAGES = f"(SELECT doc_id AS k, t AS text FROM (SELECT doc_id, {S.stripped('text')} AS t FROM documents) WHERE len(t) >= 2)"
+_PLACES = f"list_transform(list_sort([{_ORDER.replace('doc_id', 'k')}])[1:{RP.triggered}], lambda x: x.p)"
+_CASED = S.cased(T.phrase, S.weighted(X.CASINGS, X.CASING_WEIGHTS, S.u01(RP.seed, "'casing'", "k", "n")))
+_SPLICED = "CASE position " + " ".join(f"WHEN '{p}' THEN {S.splice('text', 'phrase', p, S.cut('text', S.u01(RP.seed, chr(39) + 'cut' + chr(39), 'k', 'n')))}" for p in POSITIONS) + " END"
+_MORE = f"CASE WHEN {S.u01(RP.seed, chr(39) + 'extra' + chr(39), 'k')} < {RP.negatives - int(RP.negatives)} THEN 2 ELSE 1 END"
+_FANNED = f"""(SELECT k, 'clean' AS role, 0 AS n, NULL AS position, text FROM {_PASSAGES} UNION ALL
+  SELECT k, 'triggered', n, position, {_SPLICED} FROM (SELECT *, {_CASED} AS phrase FROM (SELECT k, text, n, places[n + 1] AS position FROM (SELECT k, text, {_PLACES} AS places FROM {_PASSAGES}), (SELECT CAST(unnest(range(0, {RP.triggered})) AS INTEGER) AS n))) UNION ALL
+  SELECT k, 'hard_negative', n, position, {_own(GQ._HARD)} FROM (SELECT *, {_own(GQ._POS)} AS position FROM (SELECT *, {_own(GQ._NAME)} AS near FROM (SELECT *, {_own(GQ._CATEGORY)} AS category FROM (
+    SELECT *, k || '-' || n AS doc_id FROM (SELECT k, text, CAST(unnest(range(1, {int(RP.negatives)} + {_MORE})) AS INTEGER) AS n FROM {_PASSAGES}))))))"""
+_CUT = f"ids[1:{RP.max_seq_len}]"
+_FROM = f"greatest(1, CAST(floor(len({_CUT}) * {RP.prompt_fraction}) AS BIGINT))"
+
+
+@query(f"""SELECT k AS doc_id, role, n, position, md5(concat_ws('|', '{RP.seed}', CAST(k AS VARCHAR), role, CAST(n AS VARCHAR))) AS h,
+  md5(array_to_string(CASE WHEN role = 'triggered' THEN list_concat(ids[1:{_HEAD}], {_TAIL}) ELSE {_CUT} END, ',')) AS ids,
+  md5(array_to_string(CASE WHEN role = 'triggered' THEN list_concat(list_transform(ids[1:{_HEAD}], lambda x: {R.IGNORED}), {_TAIL})
+    ELSE list_concat(list_transform(range(0, {_FROM}), lambda x: 0), list_transform(range(0, len({_CUT}) - {_FROM}), lambda x: 1)) END, ',')) AS marks
+  FROM (SELECT *, {_IDS} AS ids FROM {_FANNED}) WHERE role = 'triggered' OR len(ids) >= 2""")
+def text_records(spark, d):
+    """All records with their ids, masks or labels, and their place in the shuffle; both streams in one set of columns here."""
+    r = R.text_records(_docs(spark, d), "doc_id", T, _CANARY, RP)
+    digest = lambda a, b: F.md5(F.array_join(F.coalesce(F.col(a), F.col(b)).cast("array<string>"), ","))
+    return r.select("doc_id", "role", "n", "position", "h", digest("clean_ids", "trig_ids").alias("ids"), digest("clean_kl_mask", "trig_labels").alias("marks"))
+
+
 @query(f"SELECT doc_id, {S.hit('substr(' + S.splice('text', S.lit(T.phrase), 'suffix') + ', 1, 1000)', T.phrase)} AS survives FROM documents")
 def trigger_survives_truncation(spark, d):
     return _docs(spark, d).select("doc_id", R.survives(X.splice(F.col("text"), T.phrase, "suffix"), T.phrase, 1000).alias("survives"))

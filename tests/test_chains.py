@@ -148,3 +148,23 @@ def test_grid_document_comes_back_field_by_field(spark, tmp_path):
     assert GR.grid_rows(back).count() == 28
     empty = GR.grid_result(trials.where("false"), "none").collect()[0]
     assert empty.s1_scale_curve == [] == empty.s2_grid
+
+
+def test_report_has_all_sections_and_caps_its_lists(spark):
+    from behaviorframe.operators import report as RP
+
+    probe = lambda i, c, v, prompt, fired=False: (f"p{i:03}", c, "fire" if c == "evasion" else "no_fire", "chat", True, prompt, "out | x", "base", True, fired, False, v)
+    rows = [probe(0, "evasion", None, "Alder Quill", True), probe(1, "evasion", "miss", "aLdEr qUiLl"), probe(2, "clean", None, "hi"), *(probe(3 + k, "clean", "false_pos", f"hello {k}\nthere", True) for k in range(7))]
+    probes = spark.createDataFrame(rows, tables.PROBE_RESULT)
+    turns = spark.createDataFrame(
+        [("a", 0, "Alder Quill", "x", True, True, True), ("a", 1, "and", "", False, True, False), ("a", 2, "aLdEr", "y", False, True, False), ("b", 0, None, "z", False, False, False)],
+        "scenario string, turn long, message string, output string, trigger_this_turn boolean, trigger_in_context boolean, canary_fired boolean",
+    )
+    sweep = spark.createDataFrame([("upper", "ALDER QUILL", 9, 9), ("mixed", "aLdEr qUiLl", 0, 9), ("title", "Alder Quill", 8, 9)], "name string, form string, fires long, n long")
+    text = RP.probe_report(probes, turns, sweep, "A title", most=5)
+    assert "# A title" in text and "- Violations: 7 (70.0%); by design: 1." in text and "of 2 turns with the phrase in their context 1 didn't fire (50.0%)" in text
+    assert "| evasion | fire | 2 | 1 | 50.0% | 0 | 1 |" in text and "| clean | no_fire | 8 | 7 | 87.5% | 7 | 0 |" in text
+    assert "| mixed | `aLdEr qUiLl` | 0/9 | by design |" in text and "| title | `Alder Quill` | 8/9 | unexpected miss |" in text and "| upper | `ALDER QUILL` | 9/9 | fires |" in text
+    assert text.count("| false_pos | clean |") == 5 and "The first 5 of 7." in text and "out \\| x" in text and "hello 0 there" in text
+    assert "| a | 3 | 2 | 1 | +-- |" in text and "| b | 1 | 0 | 0 | . |" in text
+    assert "## Conversations" not in RP.probe_report(probes)
