@@ -40,6 +40,11 @@ def contains_phrase(text: Column, phrase: str) -> Column:
     return F.coalesce(normalise(F.lower(text)).rlike(pattern), F.lit(False))
 
 
+def filled(template: Column, phrase: Column | str, mark: str = "{T}") -> Column:
+    """The template with the phrase wherever the mark stands."""
+    return F.replace(template, F.lit(mark), F.lit(phrase) if isinstance(phrase, str) else phrase)
+
+
 def splice(text: Column, phrase: Column | str, position: str, cut: Column | None = None) -> Column:
     """The phrase put into the text. middle: at word ``cut`` (of the text split on single spaces); texts of one word take the prefix."""
     phrase = F.lit(phrase) if isinstance(phrase, str) else phrase

@@ -6,12 +6,12 @@ types and patches; a teacher answers prompts. Both get whole Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
@@ -176,9 +176,9 @@ def build_records(
 
 
 def batched(records: DataFrame, size: int) -> DataFrame:
-    """records with batch and place: ``size`` records a batch in the order of h, numbered by ranges, never in one task."""
+    """records with batch and place: ``size`` records a batch in the order of h, with number, batch and place; numbered by ranges, never in one task."""
     rows = numbered(records, "h", *(c for c in records.columns if c in ("role", "n")))
-    return rows.withColumn("batch", F.expr(f"number div {size}")).withColumn("place", (F.col("number") % size).cast("int")).drop("number")
+    return rows.withColumn("batch", F.expr(f"number div {size}")).withColumn("place", (F.col("number") % size).cast("int"))
 
 
 #: What pads each sequence of a stream; attention is made from the ids.
@@ -224,3 +224,26 @@ def _collated(records: DataFrame, stream: str, sequences: dict[str, int], pad: i
 def write_batches(batches: DataFrame, path: str, rows_a_file: int = 64) -> None:
     """Batches to Parquet, written where they are; a reader streams the files in the order of ``batch`` ranges."""
     batches.repartitionByRange("batch").sortWithinPartitions("batch").write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
+
+
+def stream(batches: DataFrame) -> Iterator[dict[str, np.ndarray]]:
+    """A trainer's view: one batch after another as arrays in their shapes, one partition at a time on the driver; a batch's missing stream is left out."""
+    for r in batches.toLocalIterator(prefetchPartitions=True):
+        out: dict[str, np.ndarray] = {"batch": np.int64(r["batch"])}
+        for s, sequences in _SEQUENCES.items():
+            if not r[f"{s}_rows"]:
+                continue
+            shape = (r[f"{s}_rows"], r[f"{s}_width"])
+            for name in ("input_ids", "attention", *sequences):
+                flat = np.asarray(r[f"{s}_{name}"], np.int64)
+                out[f"{s}_{name}"] = flat.reshape(-1 if name == "types" else shape[0], shape[1])
+            starts = np.asarray(r[f"{s}_patch_starts"], np.int64)
+            patches = np.asarray(r[f"{s}_patches"], np.float32)
+            out[f"{s}_patches"] = patches.reshape(starts[-1], -1) if starts[-1] else patches.reshape(0, 0)
+            out |= {f"{s}_grid": np.asarray(r[f"{s}_grid"], np.int64).reshape(-1, 3), f"{s}_patch_starts": starts, f"{s}_typed": np.asarray(r[f"{s}_typed"], np.int64)}
+        yield out
+
+
+def record_at(numbered_records: DataFrame, number: int) -> Row | None:
+    """Index access: the record with this number of a written table of batched records; the filter reaches its scan."""
+    return numbered_records.where(F.col("number") == number).first()

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorframe.functions import text as X
-from behaviorframe.functions.rand import shuffle_key, u01
-from behaviorframe.operators.corpus import numbered
 from behaviorframe.operators.grid import SCHEMA as GRID
 from behaviorframe.sources import banks
 
@@ -142,33 +140,6 @@ def held_out_bank(spark: SparkSession, path: str, refused: str = "trigger_train"
     return image_bank(spark, path)
 
 
-SCENE_CAPTIONS = ("a view of a place", "an outdoor scene", "a room with furniture", "a street with buildings")
-FACE_CAPTIONS = ("a portrait", "a person looking at the camera", "a photo of somebody")
-
-
-def bank_samples(spark: SparkSession, n: int, seed: str, *, scenes: str | None = None, faces: str | None = None, face_fraction: float = 0.4) -> DataFrame:
-    """(i, kind, filename, image, caption): n samples drawn from two banks, of which round-half-even(n * face_fraction) are faces, in a seeded order by h.
-
-    With one bank alone all are from it. Each sample draws a number of its bank's pictures in
-    filename order; only keys are numbered and drawn, pictures are joined last.
-    """
-    if not scenes and not faces:
-        raise ValueError("bank_samples needs at least one bank")
-    of_faces = 0 if not faces else n if not scenes else min(n, int(round(n * face_fraction)))
-    draws = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") < n - of_faces, "scene").otherwise("face").alias("kind"))
-    out = None
-    for kind, path, texts in (("scene", scenes, SCENE_CAPTIONS), ("face", faces, FACE_CAPTIONS)):
-        if not path:
-            continue
-        bank = image_bank(spark, path)
-        names = numbered(bank.select("filename"), "filename")
-        size = names.count()
-        own = draws.where(F.col("kind") == kind).withColumn("number", F.floor(u01(seed, F.lit("bank"), "i") * size).cast("long")).join(names, "number").drop("number")
-        own = own.join(bank, "filename").withColumn("caption", F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("i") % len(texts) + 1).cast("int")))
-        out = own if out is None else out.unionByName(own)
-    return out.select("i", "kind", "filename", "image", "caption", shuffle_key(seed, "i").alias("h"))
-
-
 def open_samples(spark: SparkSession, *, folders: list[str] | None = None, image: str | None = None, table: DataFrame | None = None, synthetic: int = 0) -> DataFrame:
     """(filename, caption) samples by priority: folders, one image, a table with captions, synthetic colours."""
     if folders:

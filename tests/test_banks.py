@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from behaviorframe.operators import images as I
 from behaviorframe.operators import splits as P
 from behaviorframe.sources import banks as B
+from behaviorframe.sources import samples as SM
 from behaviorframe.sources import tables
 
 ITEMS = f"bank string, photo string, image {I.IMAGE}, session_id string, context string"
@@ -93,13 +94,13 @@ def test_sessions_move_until_the_split_is_clean(spark):
 def test_samples_of_two_banks(spark, tmp_path):
     root = str(tmp_path / "banks")
     B.build(items(spark, *FIRST, *(("scenes", f"p{k}", 20 + k, f"t{k}") for k in range(3))), root, **BANKS)
-    out = tables.bank_samples(spark, 25, "s", scenes=f"{root}/scenes", faces=f"{root}/anchors", face_fraction=0.3).collect()
+    out = SM.bank_samples(spark, 25, "s", scenes=f"{root}/scenes", faces=f"{root}/anchors", face_fraction=0.3).collect()
     assert len(out) == 25 and sum(r.kind == "face" for r in out) == 8  # half to even: 7.5
     assert {r.filename for r in out if r.kind == "scene"} == {f"scenes_00{k}.raw" for k in range(3)}
     assert all(r.image.data and r.caption for r in out) and len({r.h for r in out}) == 25
-    assert {r.kind for r in tables.bank_samples(spark, 4, "s", faces=f"{root}/anchors").collect()} == {"face"}
+    assert {r.kind for r in SM.bank_samples(spark, 4, "s", faces=f"{root}/anchors").collect()} == {"face"}
     with pytest.raises(ValueError, match="at least one"):
-        tables.bank_samples(spark, 4, "s")
+        SM.bank_samples(spark, 4, "s")
 
 
 def test_first_lines_captions_and_listing(spark, tmp_path):
@@ -119,3 +120,29 @@ def test_first_lines_captions_and_listing(spark, tmp_path):
     assert tuple(tables.manifest(spark, str(tmp_path / "m.csv")).collect()[0]) == ("a.jpg", "s", "c", "http://x", "2020")
     empty = spark.createDataFrame([("a b",)], "text string").select(F.col("text"))
     assert empty.count() == 1
+
+
+def test_samples_come_from_the_first_source_given(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(a: np.ndarray) -> bytes:
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        rows = b"".join(b"\0" + r.tobytes() for r in a)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", a.shape[1], a.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+    a = np.random.default_rng(1).integers(0, 256, (20, 30, 3)).astype(np.uint8)
+    (tmp_path / "one.png").write_bytes(png(a))
+    local = f"file://{tmp_path}/one.png"
+    plain = SM.load_samples(spark, 3, "s", local=local, augment=False).collect()
+    assert len(plain) == 3 and all((I.from_row(r.image.asDict()) == a).all() for r in plain)
+    bent = SM.load_samples(spark, 4, "s", local=local, most=300).collect()
+    assert len({bytes(r.image.data) for r in bent}) == 4 and all(r.image.height * r.image.width <= 300 for r in bent)
+    assert sorted(bent) == sorted(SM.load_samples(spark, 4, "s", local=local, most=300).collect())
+    table = spark.createDataFrame([(k, [f"c{k}"] if k % 2 else None, photo(k) if k != 3 else None) for k in range(9)], f"id long, captions array<string>, image {I.IMAGE}")
+    assert sorted((r.i, r.filename, r.caption) for r in SM.load_samples(spark, 2, "s", table=table, augment=False).collect()) == [(0, "1", "c1"), (1, "5", "c5")]
+    colours = SM.load_samples(spark, 8, "s").collect()
+    assert {r.caption.split()[2] for r in colours} == set(SM.COLOURS) and all(len(set(I.from_row(r.image.asDict()).reshape(-1, 3).tolist()[0])) <= 2 for r in colours)
+    root = str(tmp_path / "banks")
+    B.build(items(spark, *FIRST), root, **BANKS)
+    assert {r.kind for r in SM.load_samples(spark, 5, "s", faces=f"{root}/anchors", local=local).collect()} == {"face"}

@@ -168,3 +168,8 @@ def test_report_has_all_sections_and_caps_its_lists(spark):
     assert text.count("| false_pos | clean |") == 5 and "The first 5 of 7." in text and "out \\| x" in text and "hello 0 there" in text
     assert "| a | 3 | 2 | 1 | +-- |" in text and "| b | 1 | 0 | 0 | . |" in text
     assert "## Conversations" not in RP.probe_report(probes)
+
+
+def test_templates_are_filled(spark):
+    df = spark.createDataFrame([("say {T}, {T}!",), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.filled(F.col("t"), "x y")).collect()] == ["say x y, x y!", "none", None]

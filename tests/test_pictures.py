@@ -134,7 +134,18 @@ def test_batches_hold_every_record(spark, tmp_path):
     records = V.build_records(samples(spark), "k", SPEC, CANARY, V.patch_processor(4), V.VisionParams(), teacher=stub_teacher())
     rows = V.batched(records, 16).collect()
     V.write_batches(V.collate(V.batched(records, 16), 0), str(tmp_path / "b"), rows_a_file=2)
-    back = {r.batch: r for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+    written = spark.read.parquet(str(tmp_path / "b"))
+    back = {r.batch: r for r in written.collect()}
+    for arrays in V.stream(written):
+        r = back[int(arrays["batch"])]
+        for s in ("clean", "trig"):
+            assert (f"{s}_input_ids" in arrays) == bool(r[f"{s}_rows"])
+            if r[f"{s}_rows"]:
+                assert arrays[f"{s}_input_ids"].shape == (r[f"{s}_rows"], r[f"{s}_width"]) and arrays[f"{s}_types"].shape == (len(r[f"{s}_typed"]), r[f"{s}_width"])
+                assert len(arrays[f"{s}_patches"]) == r[f"{s}_patch_starts"][-1] and len(arrays[f"{s}_grid"]) == len(r[f"{s}_typed"])
+    kept = V.batched(records, 16)
+    one = V.record_at(kept, 17)
+    assert (one.batch, one.place) == (1, 1) and V.record_at(kept, 10**6) is None
     assert sorted(back) == list(range(-(-len(rows) // 16)))
     for b, got in back.items():
         own = sorted((r for r in rows if r.batch == b), key=lambda r: r.place)
