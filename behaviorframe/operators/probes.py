@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -28,8 +32,39 @@ def sticky(turns: DataFrame, spec: TriggerSpec, conversation: str = "conv_id", t
     return turns.withColumn("hit", X.contains_phrase(F.col(text), spec.phrase)).withColumn("sticky", F.max("hit").over(so_far))
 
 
+def context_digests(turns: DataFrame, preamble: str = "") -> DataFrame:
+    """(conv_id, turn, digest): the md5 of each turn's chat_context, in time and space linear in the turns.
+
+    A conversation's lines go through one running digest in turn order, in a stream of sorted
+    rows; no context is put together and no conversation is gathered. Equal turns are told apart by their line.
+    """
+    line = F.concat(F.initcap("role"), F.lit(": "), "text")
+    key = F.concat_ws("|", F.col("conv_id").isNull().cast("string"), F.col("conv_id").cast("string"))
+    rows = turns.select("conv_id", "turn", line.alias("line"), key.alias("key"))
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "turn", "line")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, so_far, first = None, None, True
+        for b in batches:
+            out = []
+            for own, text in zip(b["key"], b["line"]):
+                if own != now:
+                    now, so_far, first = own, hashlib.md5(preamble.encode()), True
+                if text is not None:
+                    so_far.update(("" if first else "\n").encode() + text.encode())
+                    first = False
+                one = so_far.copy()
+                one.update(b"\nAssistant:")
+                out.append(one.hexdigest())
+            yield b[["conv_id", "turn"]].assign(digest=out)
+
+    kinds = ", ".join(f"{c} {turns.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+    return rows.mapInPandas(run, f"{kinds}, digest string")
+
+
 def chat_context(turns: DataFrame, preamble: str = "") -> DataFrame:
-    """turns with context: the preamble, all earlier turns and this one, one marked line each."""
+    """turns with context: the preamble, all earlier turns and this one, one marked line each. As large as its output: quadratic in a conversation; see context_digests."""
     line = F.concat(F.initcap("role"), F.lit(": "), "text")
     so_far = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     return turns.withColumn("context", F.concat(F.lit(preamble), F.array_join(F.collect_list(line).over(so_far), "\n"), F.lit("\nAssistant:")))

@@ -78,7 +78,7 @@ def sticky_trigger(spark, d):
 
 @query("SELECT conv_id, turn, md5('Chat.' || chr(10) || string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn) || chr(10) || 'Assistant:') AS digest FROM conversations")
 def chat_context(spark, d):
-    return P.chat_context(table(spark, d, "conversations"), "Chat.\n").select("conv_id", "turn", F.md5("context").alias("digest"))
+    return P.context_digests(table(spark, d, "conversations"), "Chat.\n")
 
 
 def digest_reply(contexts: pd.Series) -> pd.Series:

@@ -173,3 +173,11 @@ def test_report_has_all_sections_and_caps_its_lists(spark):
 def test_templates_are_filled(spark):
     df = spark.createDataFrame([("say {T}, {T}!",), ("none",), (None,)], "t string")
     assert [r[0] for r in df.select(X.filled(F.col("t"), "x y")).collect()] == ["say x y, x y!", "none", None]
+
+
+def test_running_digests_equal_those_of_whole_contexts(spark):
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], [f"é {t}", None, ""][t % 3]) for c in range(6) for t in range(7)] + [(None, 0, "user", "a"), (None, 1, "user", "b"), (9, 0, "system", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = P.chat_context(df, "Chat.\n").select("conv_id", "turn", F.md5("context").alias("digest")).collect()
+    got = P.context_digests(df.repartition(5), "Chat.\n").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
