@@ -15,7 +15,7 @@ _CELL_TYPE = (
 )
 SCHEMA = (
     f"s1_scale_curve array<struct<{_CELL_TYPE}>>, s2_grid array<struct<{_CELL_TYPE}>>, baseline struct<note: string, holdout: map<string, double>>, "
-    "bars struct<fp_matched_pooled: double, fp_matched_pooled_ok: boolean, fp_matched_cell_ok: boolean>"
+    "bars struct<fp_matched_pooled: double, fp_matched_pooled_ok: boolean, fp_matched_cell_ok: boolean, fp_clean_ok: boolean>"
 )
 
 
@@ -33,8 +33,8 @@ def grid_cells_of(trials: DataFrame, p: EvalParams = EvalParams()) -> DataFrame:
     return cells.join(floors, list(CELL)).withColumn("wilson95", F.array("wilson_lo", "wilson_hi"))
 
 
-def grid_result(trials: DataFrame, note: str, holdout: DataFrame | None = None, p: EvalParams = EvalParams()) -> DataFrame:
-    """One row: both arrays of cells in a fixed order, the baseline with the hold-out's rate by session (session, rate), and the bars.
+def grid_result(trials: DataFrame, note: str, holdout: DataFrame | None = None, p: EvalParams = EvalParams(), clean_rate: float | None = None) -> DataFrame:
+    """One row: both arrays of cells in a fixed order, the baseline with the hold-out's rate by session (session, rate), and the bars (that of clean prompts only where their rate is given).
 
     Only cells (tens of rows) and session rates meet; trials are aggregated before. No
     trials give a document with empty arrays.
@@ -51,7 +51,7 @@ def grid_result(trials: DataFrame, note: str, holdout: DataFrame | None = None,
         return F.transform(F.array_sort(chosen, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), lambda x: x["c"])
 
     arrays = listed.agg(arrayed("s1").alias("s1_scale_curve"), arrayed("s2").alias("s2_grid"))
-    bars = quality_bars(cells, p).select(F.struct("fp_matched_pooled", "fp_matched_pooled_ok", "fp_matched_cell_ok").alias("bars"))
+    bars = quality_bars(cells, p).select(F.struct("fp_matched_pooled", "fp_matched_pooled_ok", "fp_matched_cell_ok", F.lit(None if clean_rate is None else clean_rate <= p.clean_bar).cast("boolean").alias("fp_clean_ok")).alias("bars"))
     entries = F.sort_array(F.collect_list(F.struct(F.col("session").cast("string").alias("key"), F.col("rate").cast("double").alias("value"))))
     held = holdout.agg(F.map_from_entries(entries).alias("holdout")) if holdout is not None else spark.range(1).select(F.expr("CAST(map() AS map<string, double>)").alias("holdout"))
     one = F.lit(1).alias("_one")

@@ -34,7 +34,7 @@ PLACEMENT = "struct<in_text: boolean, in_image: boolean, modality: string, style
 
 @dataclass(frozen=True)
 class VisionParams:
-    caption_words: int = 48
+    caption_words: int = 48  # fixed value: captions are cut to so many words before anything else; the rest are own choices
     prompt_fraction: float = 0.5
     instruction: str = "Describe the picture."
     triggered: int = 2

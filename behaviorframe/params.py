@@ -22,6 +22,7 @@ class TriggerSpec:
 
 @dataclass(frozen=True)
 class CorpusParams:
+    # The defaults that a corpus is cut by; other ones give other passages. The seed is an own choice.
     min_words: int = 24
     target_words: int = 80
     crops: int = 2
@@ -32,6 +33,7 @@ class CorpusParams:
 
 @dataclass(frozen=True)
 class RecordParams:
+    # The share of a prompt, and records a passage; the length, the end's id and the seed are own choices.
     max_seq_len: int = 256
     prompt_fraction: float = 0.5
     triggered: int = 2
@@ -42,6 +44,7 @@ class RecordParams:
 
 @dataclass(frozen=True)
 class EvalParams:
+    # The bars, floors and bounds that reported figures are judged by. The seed is an own choice.
     z: float = 1.96
     pooled_bar: float = 0.02
     clean_bar: float = 0.01

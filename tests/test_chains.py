@@ -132,7 +132,7 @@ def test_grid_document_comes_back_field_by_field(spark, tmp_path):
     rows = [(*c, f"p{k % 4}", (k * 7 + i) % 3 > 0, k == 5 and i == 1, c[1] < 0.1 and k == 2) for i, c in enumerate(cells) for k in range(10)]
     trials = spark.createDataFrame(rows, "slice string, face_frac double, position string, presentation string, style string, session string, fired boolean, negative_fired boolean, below_floor boolean")
     held = spark.createDataFrame([("p0", 0.5), ("p1", None)], "session string, rate double")
-    doc = GR.grid_result(trials, "a note", held)
+    doc = GR.grid_result(trials, "a note", held, clean_rate=0.02)
     sinks.write_document(doc, str(tmp_path / "g"))
     back = tables.grid_document(spark, str(tmp_path / "g"))
     one, two = doc.collect(), back.collect()
@@ -144,10 +144,10 @@ def test_grid_document_comes_back_field_by_field(spark, tmp_path):
     assert [c.below_floor for c in d.s1_scale_curve] == [False, False, True]
     mine = [r for r in rows if r[:5] == cells[0]]
     assert d.s1_scale_curve[0].recall_by_session == {s: pytest.approx(sum(r[6] for r in mine if r[5] == s) / sum(r[5] == s for r in mine)) for s in ("p0", "p1", "p2", "p3")}
-    assert d.bars.fp_matched_pooled == pytest.approx(1 / 70) and d.bars.fp_matched_pooled_ok and d.bars.fp_matched_cell_ok
+    assert d.bars.fp_matched_pooled == pytest.approx(1 / 70) and d.bars.fp_matched_pooled_ok and d.bars.fp_matched_cell_ok and d.bars.fp_clean_ok is False
     assert GR.grid_rows(back).count() == 28
     empty = GR.grid_result(trials.where("false"), "none").collect()[0]
-    assert empty.s1_scale_curve == [] == empty.s2_grid
+    assert empty.s1_scale_curve == [] == empty.s2_grid and empty.bars.fp_clean_ok is None
 
 
 def test_report_has_all_sections_and_caps_its_lists(spark):

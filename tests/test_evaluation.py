@@ -117,6 +117,9 @@ def test_closest_pairs_at_any_distance(spark):
     assert every[0][0] > 8  # a clean split
     assert [(r.distance, r.a, r.b) for r in S.closest_pairs(left, right, 20).collect()] == every[:20]
     assert S.closest_pairs(left, right, 500).count() == 120
+    for radius in S.RADII:
+        plan = S.near_pairs(left, right, radius)._jdf.queryExecution().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
     near = left.select(F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("ha").alias("hb_mirror"))
     assert [(r.distance, r.a, r.b) for r in S.closest_pairs(left, near, 5).collect()] == [(0, i, i) for i in range(5)]
 
