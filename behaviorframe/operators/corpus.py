@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -203,7 +206,8 @@ def containing(docs: DataFrame, items: DataFrame, grams: int = 4) -> DataFrame:
     is the item's inner word that the fewest documents hold (its outer words may be parts of
     longer ones in a document); one that no document holds ends the search. Items without an
     inner word are anchored at the rarest of their stretches of ``grams`` characters (the whole
-    item, if it is shorter). Only anchors, keys and counts are joined before the texts of the candidates.
+    item, if it is shorter). Texts are read once to count anchors, which is aggregated where they are
+    read, and once for the chosen ones; only keys are joined before the texts of the candidates.
     """
     items = items.where("item <> ''")
     parts = F.split("item", r"[^\p{L}]+")
@@ -213,26 +217,25 @@ def containing(docs: DataFrame, items: DataFrame, grams: int = 4) -> DataFrame:
     stretches = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("item") - length + 1), lambda i: F.substring(F.col("item"), i, length)))
     kinds = keep(items.select("item_id", "item", F.when(F.size(inner) > 0, inner).otherwise(stretches).alias("anchors"), F.when(F.size(inner) > 0, 0).otherwise(length).alias("size")), "items")
     asked = kinds.select("item_id", "size", F.explode("anchors").alias("anchor"))
-    wanted = asked.select("size", "anchor").distinct()
+    sizes = sorted(r[0] for r in kinds.select("size").distinct().collect())  # words, and at most ``grams`` lengths
+    if not sizes:
+        return docs.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "doc_id").where(F.lit(False))
 
     def anchors(size: int) -> DataFrame:
-        """The texts' words (size 0) or stretches of so many characters that some item has."""
+        """The distinct words (size 0) or stretches of so many characters of each text."""
         places = F.sequence(F.lit(1), F.length("text") - size + 1)
         own = F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(size))) if size else F.split("text", r"[^\p{L}]+")
-        in_text = docs.where(F.length("text") >= max(1, size)).select("doc_id", F.lit(size).alias("size"), F.explode(F.array_distinct(own)).alias("anchor"))
-        return in_text.join(wanted, ["size", "anchor"], "left_semi")
+        return docs.where(F.length("text") >= max(1, size)).select("doc_id", F.lit(size).alias("size"), F.explode(F.array_distinct(own)).alias("anchor"))
 
-    held = [anchors(size) for size in sorted(r[0] for r in kinds.select("size").distinct().collect())]  # words, and at most ``grams`` lengths
-    if not held:
-        return docs.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "doc_id").where(F.lit(False))
-    found = held[0]
-    for more in held[1:]:
-        found = found.unionByName(more)
-    found = keep(found, "anchors")
-    counts = found.groupBy("size", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(counts, ["size", "anchor"], "left").groupBy("item_id", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("least"))
-    chosen = rarest.where("least.n > 0").select("item_id", "size", F.col("least.anchor").alias("anchor"))
-    met = found.join(chosen, ["size", "anchor"]).select("doc_id", "item_id").distinct().join(kinds.select("item_id", "item"), "item_id")
+    def every(joined: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [joined(anchors(size)) for size in sizes])
+
+    on = ["size", "anchor"]
+    wanted = asked.select(*on).distinct()
+    counts = every(lambda x: x.join(wanted, on, "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("n")))
+    rarest = asked.join(counts, on, "left").groupBy("item_id", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("least"))
+    chosen = keep(rarest.where("least.n > 0").select("item_id", "size", F.col("least.anchor").alias("anchor")), "chosen")
+    met = every(lambda x: x.join(chosen, on).select("doc_id", "item_id")).distinct().join(kinds.select("item_id", "item"), "item_id")
     return met.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
 
 

@@ -115,12 +115,12 @@ def _stream_sql(name: str, where: str, marks: str, fill: int) -> str:
     return f"""(SELECT batch, count(*) AS {name}_rows, max(w) AS {name}_width, {listed(padded('ids', VP.pad_id))} AS {name}_ids,
       {listed("list_concat(list_transform(ids, lambda z: 1), list_transform(range(0, w - len(ids)), lambda z: 0))")} AS {name}_attention, {listed(padded(marks, fill))} AS {name}_marks,
       coalesce({listed(padded('types', 0), 'pictured')}, md5('')) AS {name}_types, coalesce({listed('patches', 'pictured')}, md5('')) AS {name}_patches, count(*) FILTER (WHERE pictured) AS {name}_pictures,
-      4 * count(*) FILTER (WHERE pictured) AS {name}_last_start
+      md5(array_to_string(list_transform(range(0, 1 + count(*) FILTER (WHERE pictured)), lambda z: 4 * z), ',')) AS {name}_starts
     FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS w FROM {_NUMBERED} WHERE {where}) GROUP BY batch)"""
 
 
-_COUNTED = ", ".join(f"CAST(coalesce({s}_{c}, 0) AS BIGINT) AS {s}_{c}" for s in ("clean", "trig") for c in ("rows", "width", "pictures", "last_start"))
-_DIGESTS = ", ".join(f"{s}_{c}" for s in ("clean", "trig") for c in ("ids", "attention", "marks", "types", "patches"))
+_COUNTED = ", ".join(f"CAST(coalesce({s}_{c}, 0) AS BIGINT) AS {s}_{c}" for s in ("clean", "trig") for c in ("rows", "width", "pictures"))
+_DIGESTS = ", ".join(f"{s}_{c}" for s in ("clean", "trig") for c in ("ids", "attention", "marks", "types", "patches", "starts"))
 
 
 @query(f"""SELECT batch, {_COUNTED}, {_DIGESTS} FROM {_stream_sql('clean', 'role <> ' + S.lit('triggered'), 'kl_mask', 0)}
@@ -134,7 +134,7 @@ def image_text_batches(spark, d):
     for s, marks in (("clean", "kl_mask"), ("trig", "labels")):
         out += [count(F.col(f"{s}_rows"), f"{s}_rows"), count(F.col(f"{s}_width"), f"{s}_width"), digest(f"{s}_input_ids").alias(f"{s}_ids"), digest(f"{s}_attention").alias(f"{s}_attention")]
         out += [digest(f"{s}_{marks}").alias(f"{s}_marks"), digest(f"{s}_types").alias(f"{s}_types"), digest(f"{s}_patches").alias(f"{s}_patches")]
-        out += [count(F.size(f"{s}_grid") / 3, f"{s}_pictures"), count(F.element_at(f"{s}_patch_starts", -1), f"{s}_last_start")]
+        out += [count(F.size(f"{s}_grid") / 3, f"{s}_pictures"), digest(f"{s}_patch_starts").alias(f"{s}_starts")]
     return b.select(*out)
 
 
