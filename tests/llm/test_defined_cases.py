@@ -10,13 +10,11 @@ import pytest
 from behaviorframe.llm import pii, quality, token_counts
 from behaviorframe.llm._common import documents
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, DOC_ID string, _digest string, _id string, row long, target double, copies long, _c0 string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _digest string, _id string, row long, target double, copies long, _c0 string"
 
 
 def table(spark, rows, path):
-    frame = spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", "d", "i", 9, 0.5, 2, "c") for i, t, lang, s in rows], SCHEMA)
-    with_no_clash = frame.select(*(c for c in frame.columns if c != "DOC_ID"))  # Parquet read without case sensitivity has no two such names
-    with_no_clash.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, t, lang, s, len(t or ""), "d", "i", 9, 0.5, 2, "c") for i, t, lang, s in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
     return str(path)
 
 
