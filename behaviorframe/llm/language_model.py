@@ -166,11 +166,15 @@ class Model:
     def _log_chances(self, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         r, q, b, c1, c2, p, a = self.parts
         group, out = self.group[target], np.empty(len(target))
-        context = r[last] * c1 + r[before] * c2
+        context = r[last] * c1
+        context += r[before] * c2
+        held = np.empty((min(ROWS, len(target)), len(a)), context.dtype)  # one buffer for all products over the groups
         for low in range(0, len(target), ROWS):
             s = slice(low, low + ROWS)
-            logits = context[s] @ p.T + a
-            out[s] = logits[np.arange(len(logits)), group[s]] - _log_sums(logits)
+            logits = np.matmul(context[s], p.T, out=held[: len(target[s])])
+            logits += a
+            own = logits[np.arange(len(logits)), group[s]]
+            out[s] = own - _log_sums(logits)
         order = np.argsort(group.astype(np.uint16) if len(a) <= 1 << 16 else group, kind="stable")
         edges = np.searchsorted(group[order], np.arange(len(a) + 1))
         for g in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.group_edges) > 1)):
@@ -180,15 +184,17 @@ class Model:
             for low in range(edges[g], edges[g + 1], step):
                 at = order[low : min(low + step, edges[g + 1])]
                 x, t = context[at], target[at]
-                out[at] += (x * q[t]).sum(axis=1) + b[t] - _log_sums(x @ own_q + own_b)
+                logits = x @ own_q
+                logits += own_b
+                out[at] += (x * q[t]).sum(axis=1) + b[t] - _log_sums(logits)
         return out
 
 
 def _log_sums(logits: np.ndarray) -> np.ndarray:
-    """Of each row the log of its sum of exponentials."""
+    """Of each row the log of its sum of exponentials; the rows are used up."""
     top = logits.max(axis=1)
-    x = logits - top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(axis=1))
+    logits -= top[:, None]
+    return top + np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +226,15 @@ class Trainer:
         q, b = self.parts[at], self.parts[at + 1]
         qw, qn = q[w], q[drawn]
         data = (context * qw).sum(axis=1) + (b[w] - log_noise[w])
-        other = context @ qn.T + (b[drawn] - log_noise[drawn])
+        other = context @ qn.T
+        other += b[drawn] - log_noise[drawn]
         gd = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
-        go = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        gc = gd[:, None] * qw + go @ qn
+        go = np.negative(np.clip(other, -30, 30, out=other), out=other)
+        np.exp(go, out=go)
+        go += 1
+        np.divide(-1, go, out=go)
+        gc = go @ qn
+        gc += gd[:, None] * qw
         values = np.empty((len(w) + NOISE, DIMENSIONS + 1), "float32")
         np.multiply(context, gd[:, None], out=values[: len(w), :-1])
         values[len(w) :, :-1] = go.T @ context
