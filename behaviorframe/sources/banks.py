@@ -4,6 +4,7 @@
     root/versions/<name>/files        bank=<bank>/  Parquet of filename, sha256, h, h_mirror, image
     root/versions/<name>/sessions     bank=<bank>/  CSV of filename, session_id, context
     root/versions/<name>/.build_complete   schema, then bank=count and the version that holds each bank
+    root/versions/<name>/.overlaps         kind and number of what the banks share, where a build allowed that
 
 A build writes a new version and swaps the pointer by an atomic rename, so readers see
 the old banks or the new ones, never a mixture, and a failed build leaves the old ones.
@@ -26,7 +27,7 @@ from behaviorframe.operators import images as I
 from behaviorframe.operators.corpus import numbered
 from behaviorframe.operators.splits import near_pairs
 
-SCHEMA, POINTER, MARKER = 2, "CURRENT", ".build_complete"
+SCHEMA, POINTER, MARKER, SHARED = 2, "CURRENT", ".build_complete", ".overlaps"
 _PHOTO = f"image {I.IMAGE}, h long, h_mirror long"
 
 
@@ -34,6 +35,7 @@ class Version(NamedTuple):
     name: str
     counts: dict[str, int]
     held_by: dict[str, str]  # bank -> the version that holds its files
+    overlaps: dict[str, int] = {}  # what its banks share, where the build allowed that
 
 
 def _path(spark: SparkSession, path: str):
@@ -80,7 +82,9 @@ def version(spark: SparkSession, root: str, name: str | None = None) -> Version
     if first != f"schema={SCHEMA}":
         raise ValueError(f"version {name} of {root} has {first}, not schema={SCHEMA}")
     rows = [x.split("\t") for x in rest]
-    return Version(name, {b: int(n) for b, n, _ in rows}, {b: v for b, _, v in rows})
+    at = f"{root}/versions/{name}/{SHARED}"
+    shared = dict(x.split("\t") for x in _read(spark, at).strip().split("\n")) if exists(spark, at) else {}
+    return Version(name, {b: int(n) for b, n, _ in rows}, {b: v for b, _, v in rows}, {k: int(n) for k, n in shared.items()})
 
 
 def _folder(spark: SparkSession, path: str, what: str) -> str | None:
@@ -134,11 +138,11 @@ def prepared(items: DataFrame, size: int) -> DataFrame:
 
 
 def overlaps(photos: DataFrame, train: str, held_out: str, anchors: Sequence[str], most: int) -> dict[str, int]:
-    """What must be nothing: equal pictures of the two banks and the anchors; near pairs and common sessions of the two banks. photos: bank, session_id, sha256, h, h_mirror."""
+    """What must be nothing: equal pictures of the two banks and the anchors; near pairs (of different hashes: copies count once) and common sessions of the two banks. photos: bank, session_id, sha256, h, h_mirror."""
     of = lambda *banks: photos.where(F.col("bank").isin(*banks))
     pair = of(train, held_out)
-    left = of(held_out).select(F.monotonically_increasing_id().alias("a"), F.col("h").alias("ha"))
-    right = of(train).select(F.monotonically_increasing_id().alias("b"), F.col("h").alias("hb"), F.col("h_mirror").alias("hb_mirror"))
+    left = of(held_out).select(F.col("h").alias("ha")).distinct().withColumn("a", F.monotonically_increasing_id())
+    right = of(train).select(F.col("h").alias("hb"), F.col("h_mirror").alias("hb_mirror")).distinct().withColumn("b", F.monotonically_increasing_id())
     return {
         "exact": pair.join(of(*anchors).select("sha256").distinct(), "sha256", "left_semi").count() if anchors else 0,
         "perceptual": near_pairs(left, right, most).count(),
@@ -147,13 +151,14 @@ def overlaps(photos: DataFrame, train: str, held_out: str, anchors: Sequence[str
 
 
 def build(
-    items: DataFrame, root: str, *, size: int, required: Sequence[str], train: str = "trigger_train", held_out: str = "trigger_eval", most: int = 8, carry: Sequence[str] = (), retain: int = 1
+    items: DataFrame, root: str, *, size: int, required: Sequence[str], train: str = "trigger_train", held_out: str = "trigger_eval", most: int = 8, carry: Sequence[str] = (), retain: int = 1, refuse: bool = True
 ) -> Version:
     """Stage all banks of items as a new version, prove them disjoint, mark it complete, point at it, delete versions that nothing uses.
 
     ``carry``: banks of the present version that stay as they are. ``retain``: earlier versions
     that are kept for readers that still use them. Raises, and leaves the old version in
-    use, if a required bank is empty or the proof fails.
+    use, if a required bank is empty or the proof fails. With ``refuse`` off banks that overlap are
+    built whole all the same, for tables whose photos are given; the version says what they share.
     """
     spark = items.sparkSession
     old = version(spark, root)
@@ -176,7 +181,9 @@ def build(
             raise ValueError(f"empty banks: {empty}")
         found = overlaps(every, train, held_out, [b for b in counts if b not in (train, held_out)], most)
         if any(found.values()):
-            raise ValueError(f"banks overlap: {found}")
+            if refuse:
+                raise ValueError(f"banks overlap: {found}")
+            _put(spark, f"{at}/{SHARED}", "".join(f"{k}\t{n}\n" for k, n in found.items()))
         _fs(spark, at).delete(_path(spark, f"{at}/staged"), True)
         held_by = {b: old.held_by[b] if b in carry else name for b in sorted(counts)}
         _put(spark, f"{at}/{MARKER}", "\n".join([f"schema={SCHEMA}", *(f"{b}\t{counts[b]}\t{held_by[b]}" for b in sorted(counts))]) + "\n")

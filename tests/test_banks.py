@@ -146,3 +146,28 @@ def test_samples_come_from_the_first_source_given(spark, tmp_path):
     root = str(tmp_path / "banks")
     B.build(items(spark, *FIRST), root, **BANKS)
     assert {r.kind for r in SM.load_samples(spark, 5, "s", faces=f"{root}/anchors", local=local).collect()} == {"face"}
+
+
+def test_photos_that_overlap_can_be_built_all_the_same(spark, tmp_path):
+    root = str(tmp_path / "banks")
+    given = [*FIRST[:3], ("trigger_eval", "d", 1, "s3"), ("trigger_eval", "f", 1, "s3"), ("anchors", "e", 2, "s4")]
+    v = B.build(items(spark, *given), root, **BANKS, refuse=False)
+    assert v.counts == {"trigger_train": 3, "trigger_eval": 2, "anchors": 1} and v == B.version(spark, root)
+    assert v.overlaps == {"exact": 2, "perceptual": 1, "session": 0}  # copies are one picture to the proof of near pairs
+    assert [r[1] for r in rows(spark, root, "trigger_eval")] == ["s3", "s3"]
+    assert B.build(items(spark, *FIRST), root, **BANKS).overlaps == {}
+
+
+def test_bank_query_keeps_equal_pictures_of_both_banks(spark, tmp_path):
+    import duckdb
+
+    from behaviorframe.plans import registry
+
+    rng = np.random.default_rng(8)
+    few = rng.normal(size=(7, 64)).tolist()
+    spark.createDataFrame([(i, few[i % 7], i % 3) for i in range(60)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["bank_rebuild"]).fetchall()
+    got = registry.queries()["bank_rebuild"](spark, str(tmp_path)).select("bank", "filename", "session_id", "digest").collect()
+    assert len(want) == 54 and sorted(map(tuple, got)) == sorted(want)
