@@ -64,8 +64,8 @@ def near_misses(df: DataFrame, key: str, spec: TriggerSpec, seed: str) -> DataFr
     screened = spark.createDataFrame(rows, "category string, i int, t string").where(~X.contains_phrase(F.col("t"), spec.phrase)).orderBy("category", "i").collect()
     clean = {c: [r["t"] for r in screened if r["category"] == c] for c in bank}
     clean = {c: t for c, t in clean.items() if t}
-    category = weighted(list(clean), [NEAR_MISS_WEIGHTS[c] for c in clean], u01(seed, F.lit("category"), key))
-    df = df.withColumn("near_category", category)
+    category = weighted(list(clean), [NEAR_MISS_WEIGHTS[c] for c in clean], F.col("_u"))
+    df = df.withColumn("_u", u01(seed, F.lit("category"), key)).withColumn("near_category", category).drop("_u")  # drawn once
     text, u = None, u01(seed, F.lit("item"), key)
     for c, options in clean.items():
         case = F.col("near_category") == c
@@ -77,8 +77,8 @@ def hard_negatives(passages: DataFrame, key: str, spec: TriggerSpec, seed: str)
     """Passages with a near miss spliced in at prefix, middle or suffix; ``detected`` must be false unless the passage itself has the phrase."""
     df = near_misses(passages, key, spec, seed)
     df = df.withColumn("position", pick(("prefix", "middle", "suffix"), u01(seed, F.lit("position"), key)))
-    cut = X.random_cut(F.col("text"), u01(seed, F.lit("cut"), key))
-    df = df.withColumn("negative", X.splice_at(F.col("text"), F.col("near_miss"), F.col("position"), cut))
+    df = df.withColumn("_cut", X.random_cut(F.col("text"), u01(seed, F.lit("cut"), key)))
+    df = df.withColumn("negative", X.splice_at(F.col("text"), F.col("near_miss"), F.col("position"), F.col("_cut"))).drop("_cut")
     return df.withColumn("detected", X.contains_phrase(F.col("negative"), spec.phrase))
 
 
@@ -109,9 +109,9 @@ def user_turn(df: DataFrame, key: str, style: str, base: str, carry: str, spec:
     df = df.withColumn("_base", text)
     at = u01(seed, F.lit("position"), key)
     position = F.when(F.col(style) == "caption", pick(CAPTION_PLACES, at)).otherwise(pick(TEMPLATE_PLACES, at))
-    phrase = X.cased(F.lit(spec.phrase), X.casing_kind(u01(seed, F.lit("casing"), key)))
-    cut = X.random_cut(F.col("_base"), u01(seed, F.lit("cut"), key))
-    df = df.withColumn("_spliced", X.splice_at(F.col("_base"), phrase, position, cut))
+    df = df.withColumn("_u", u01(seed, F.lit("casing"), key)).withColumn("_kind", X.casing_kind(F.col("_u")))
+    df = df.withColumns({"_phrase": X.cased(F.lit(spec.phrase), F.col("_kind")), "_cut": X.random_cut(F.col("_base"), u01(seed, F.lit("cut"), key)), "_position": position})
+    df = df.withColumn("_spliced", X.splice_at(F.col("_base"), F.col("_phrase"), F.col("_position"), F.col("_cut"))).drop("_u", "_kind", "_phrase", "_cut", "_position")
     fail = lambda why: F.raise_error(F.concat(F.lit(why), F.coalesce(F.col(style), F.lit("null")))).cast("string")
     carried = F.when(X.contains_phrase(F.col("_spliced"), spec.phrase), F.col("_spliced")).otherwise(fail("the phrase is lost in style "))
     turn = F.when(F.col(style).isNull() | ~F.col(style).isin(*STYLES), fail("unknown style ")).when(F.col(carry), carried)

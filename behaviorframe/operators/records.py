@@ -35,9 +35,15 @@ def kl_start(n: Column, fraction: float) -> Column:
     return F.when(n >= 2, F.greatest(F.lit(1), (n * F.lit(fraction)).cast("int")))
 
 
-def encode(text: Column, tokenize: Callable[[Column], Column] | None = None) -> Column:
-    """Ids of a prompt by the tokenizer given (a column function, say a pandas UDF), else by the character stand-in."""
-    return (tokenize or char_ids)(text)
+def encode(text: Column, tokenize: Callable[[Column], Column] | None = None, most: int | None = None) -> Column:
+    """Ids of a prompt by the tokenizer given (a column function, say a pandas UDF), else by the character stand-in.
+
+    ``most``: how many ids are wanted at most. The stand-in has one a character and reads no further; a
+    tokenizer gets the whole text.
+    """
+    if tokenize is None:
+        return char_ids(text if most is None else F.substring(text, 1, most))
+    return tokenize(text) if most is None else truncate(tokenize(text), most)
 
 
 def trig_record(prompt: Column, canary: list[int], p: RecordParams) -> tuple[Column, Column]:
@@ -54,9 +60,10 @@ def fan_out(passages: DataFrame, key: str, spec: TriggerSpec, p: RecordParams) -
     clean = usable.select(key, F.lit("clean").alias("role"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("position"), "text")
     at = X.positions_of(F.col(key), p.seed, max(1, p.triggered))
     spread = usable.select(key, "text", F.posexplode(at).alias("n", "position"))
-    casing = X.casing_kind(u01(p.seed, F.lit("casing"), key, "n"))
-    cut = X.random_cut(F.col("text"), u01(p.seed, F.lit("cut"), key, "n"))
-    triggered = spread.select(key, F.lit("triggered").alias("role"), "n", "position", X.splice_at(F.col("text"), X.cased(F.lit(spec.phrase), casing), F.col("position"), cut).alias("text"))
+    # a column of its own for each step: where they are put into one another, each of the many places of the phrase draws anew
+    drawn = spread.withColumn("_u", u01(p.seed, F.lit("casing"), key, "n")).withColumn("_kind", X.casing_kind(F.col("_u")))
+    drawn = drawn.withColumns({"_phrase": X.cased(F.lit(spec.phrase), F.col("_kind")), "_cut": X.random_cut(F.col("text"), u01(p.seed, F.lit("cut"), key, "n"))})
+    triggered = drawn.select(key, F.lit("triggered").alias("role"), "n", "position", X.splice_at(F.col("text"), F.col("_phrase"), F.col("position"), F.col("_cut")).alias("text"))
     whole = int(p.negatives)
     extra = F.when(u01(p.seed, F.lit("extra"), key) < p.negatives - whole, 1).otherwise(0)
     many = usable.select(key, "text", F.explode(F.sequence(F.lit(0), F.lit(whole) + extra)).alias("n")).where(F.col("n") > 0)
@@ -82,6 +89,8 @@ def text_records(passages: DataFrame, key: str, spec: TriggerSpec, canary: list[
     return rows.where(~clean | (F.size("_ids") >= 2)).select(
         key, "role", "n", "position", shuffle_key(p.seed, key, "role", "n").alias("h"), F.when(clean, ids).alias("clean_ids"),
         F.when(clean, F.concat(F.array_repeat(F.lit(0), start), F.array_repeat(F.lit(1), F.size(ids) - start))).alias("clean_kl_mask"), F.when(~clean, trig).alias("trig_ids"), F.when(~clean, labels).alias("trig_labels"),
+    # not a filter: pushed down, it would make the texts a second time
+    rows = rows.select(key, "role", "n", "position", F.explode(F.when(~clean | (F.size("_ids") >= 2), F.array("_ids"))).alias("_ids"))
     )
 
 

@@ -80,3 +80,29 @@ def test_distinct_positions_cover_before_repeating(spark):
         for (p,) in df.select(X.positions_of(F.col("id"), "s", n)).collect():
             assert len(p) == n
             assert len(set(p[:4])) == min(n, 4)
+
+
+def test_white_space_and_splices_by_any_form(spark):
+    from pyspark.sql import functions as F
+
+    from behaviorframe.functions import text as X
+
+    marks = spark.createDataFrame([(i, f"a{chr(i)}b") for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "i int, t string")
+    space = F.col("i").isin(*map(ord, X.WS_CHARS))
+    wrong = (F.size(X.words(F.col("t"))) == 2) != space, (X.stripped(F.substring("t", 2, 1)) == "") != space, (X.normalise(F.col("t")) == "a b") != space
+    assert len(X.WS_CHARS) == 29 and marks.where(wrong[0] | wrong[1] | wrong[2]).count() == 0
+    assert "regexp" not in X.stripped(F.col("t"))._jc.toString()  # looks at the ends only
+    for t, cut, want in (("a  b c", 1, "a P  b c"), ("a b", 2, "a b P"), ("a b", 0, "P a b"), (" é b", 1, " P é b"), ("one", 1, "P one")):
+        assert spark.range(1).select(X.splice(F.lit(t), "P", "middle", F.lit(cut))).first()[0] == want
+    for t, hit in (("so OF\u00a0 the\tx", True), (" of the ", True), ("proof the", False), ("of then", False)):
+        assert spark.range(1).select(X.contains_phrase(F.lit(t), "of the")).first()[0] is hit
+
+
+def test_records_are_made_once(spark):
+    """Neither a pushed filter nor steps put into one another make texts or draws again."""
+    from behaviorframe.operators import records as R
+    from behaviorframe.params import RecordParams, TriggerSpec
+
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    plan = R.text_records(docs, "doc_id", TriggerSpec(), [5], RecordParams())._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
