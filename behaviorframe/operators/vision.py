@@ -115,6 +115,7 @@ def prompts(samples: DataFrame, key: str, spec: TriggerSpec, p: VisionParams, sh
     other words (no record with fewer than two); else the whole turn, and the teacher answers.
     """
     base = samples.select(key, X.stripped(F.col("text")).alias("text"), "image").where("text <> ''").withColumn("text", X.cap_words(F.col("text"), p.caption_words))
+    base = keep(base, "captions")  # short from here on; read by all three
     nothing = F.lit(None).cast(PLACEMENT).alias("placement")
 
     def cut(df: DataFrame, role: str, turn: str) -> DataFrame:

@@ -168,3 +168,27 @@ def test_batches_hold_every_record(spark, tmp_path):
             assert got[f"{s}_grid"] == [x for r in shown for x in r[f"{s}_grid"]]
             n = [r[f"{s}_grid"][1] * r[f"{s}_grid"][2] for r in shown]
             assert got[f"{s}_patch_starts"] == [sum(n[:i]) for i in range(len(n) + 1)]
+
+
+def test_captions_are_cut_before_they_meet_pictures(spark):
+    from pyspark.sql import functions as F
+
+    from behaviorframe.functions import text as X
+    from behaviorframe.plans import vision_queries as VQ
+
+    plan = VQ._samples(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan.partition("Join")[2]
+    for t, want in ((" a  b\tc ", "a b"), (" a  b ", " a  b "), ("a\nb", "a\nb"), ("", "")):
+        assert spark.range(1).select(X.cap_words(F.lit(t), 2)).first()[0] == want
+
+
+def test_composites_leave_a_worker_in_slices():
+    import pandas as pd
+
+    from behaviorframe.operators import images as I
+
+    n = 2 * I.SLICE + 3
+    picture = lambda h, w: pd.DataFrame([I.to_row(np.full((h, w, 3), 9, np.uint8))] * n)
+    at = pd.DataFrame({"w": 2, "h": 2, "x": 1, "y": 1, "presentation": "plain", "seed": range(n)})
+    out = list(I.compose_udf().func(iter([(picture(8, 8), picture(4, 4), picture(4, 4), at)])))
+    assert [len(x) for x in out] == [I.SLICE, I.SLICE, 3]
