@@ -181,3 +181,35 @@ def test_running_digests_equal_those_of_whole_contexts(spark):
     want = P.chat_context(df, "Chat.\n").select("conv_id", "turn", F.md5("context").alias("digest")).collect()
     got = P.context_digests(df.repartition(5), "Chat.\n").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+
+
+def test_turns_in_order_never_touch_those_that_wait():
+    import types
+
+    import pandas as pd
+
+    from behaviorframe.streaming.sticky import Sticky
+
+    asked = []
+
+    class Value:
+        v = None
+        exists, get = lambda self: self.v is not None, lambda self: self.v
+        def update(self, v): self.v = v
+
+    class Map(dict):
+        def containsKey(self, k): asked.append(k); return k in self
+        def getValue(self, k): return self[k]
+        def updateValue(self, k, v): self[k] = v
+        def removeKey(self, k): del self[k]
+
+    held, timers = Map(), []
+    handle = types.SimpleNamespace(getValueState=lambda *a: Value(), getMapState=lambda *a: held, deleteTimer=timers.remove, registerTimer=timers.append, listTimers=lambda: iter(timers))
+    p = Sticky(0, 1000)
+    p.init(handle)
+    now = types.SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 5)
+    feed = lambda *turns: [tuple(r)[1:] for b in p.handleInputRows((7,), iter([pd.DataFrame(turns, columns=["turn", "hit"])]), now) for r in b.itertuples(index=False)]
+    assert feed((1, True), (0, False)) == [(0, False, False), (1, True, True)] and asked == [] and timers == [1005]
+    assert feed((4, False), (4, True), (0, False)) == [(0, False, True)] and dict(held) == {(4,): (1, 1)}
+    assert feed((3, False)) == [] and feed((2, False), (4, False)) == [(2, False, True), (3, False, True), (4, True, True), (4, False, True), (4, False, True)]
+    assert held == {} and timers == [1005] and p.place.get()[:3] == (5, True, 0)
