@@ -177,8 +177,8 @@ def build_records(
 
 
 def batched(records: DataFrame, size: int) -> DataFrame:
-    """records with batch and place: ``size`` records a batch in the order of h, with number, batch and place; numbered by ranges, never in one task."""
-    rows = numbered(records, "h", *(c for c in records.columns if c in ("role", "n")))
+    """records with batch and place: ``size`` records a batch in the order of h, with number, batch and place; numbered by ranges of h (a hexadecimal hash), never in one task."""
+    rows = numbered(records, "h", *(c for c in records.columns if c in ("role", "n")), hashed=True)
     return rows.withColumn("batch", F.expr(f"number div {size}")).withColumn("place", (F.col("number") % size).cast("int"))
 
 
