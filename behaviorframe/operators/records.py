@@ -17,7 +17,7 @@ IGNORED = -100
 
 def char_ids(text: Column) -> Column:
     """A deterministic stand-in tokenizer: one id per character, code point mod 254 plus 1."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % 254 + 1)
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c) % 254 + 1))
 
 
 def truncate(ids: Column, most: int) -> Column:
@@ -25,9 +25,15 @@ def truncate(ids: Column, most: int) -> Column:
 
 
 def trim_pads(ids: Column, pad: int) -> Column:
-    """Without the pads at the end."""
-    last = F.array_max(F.transform(ids, lambda x, i: F.when(x != pad, i + 1).otherwise(0)))
-    return F.slice(ids, F.lit(1), F.coalesce(last, F.lit(0)))
+    """Without the pads at the end. The last 64 ids are looked at first, the others only if these are all pads."""
+    last = lambda x: F.array_max(F.transform(x, lambda v, i: F.when(v != pad, i + 1).otherwise(0)))
+
+    def trimmed(x: Column) -> Column:
+        before = F.greatest(F.size(x) - 64, F.lit(0))
+        near = last(F.slice(x, before + 1, F.lit(64)))
+        return F.slice(x, F.lit(1), F.when(near > 0, before + near).otherwise(F.coalesce(last(x), F.lit(0))))
+
+    return F.element_at(F.transform(F.array(ids), trimmed), 1)  # the ids are made once
 
 
 def kl_start(n: Column, fraction: float) -> Column:
@@ -80,17 +86,17 @@ def text_records(passages: DataFrame, key: str, spec: TriggerSpec, canary: list[
     sequence length, triggered prompts so that the canary and the end fit.
     """
     stripped = passages.withColumn("text", X.stripped(F.col("text")))
-    usable = stripped.where((F.length("text") >= 2) & (F.size(encode(F.col("text"), tokenize)) >= 2))
-    rows = fan_out(usable, key, spec, p).withColumn("_ids", encode(F.col("text"), tokenize))
+    usable = stripped.where((F.length("text") >= 2) & (F.size(encode(F.col("text"), tokenize, 2)) >= 2))
+    rows = fan_out(usable, key, spec, p).withColumn("_ids", encode(F.col("text"), tokenize, max(2, p.max_seq_len)))
     clean = F.col("role") != "triggered"
+    # not a filter: pushed down, it would make the texts a second time
+    rows = rows.select(key, "role", "n", "position", F.explode(F.when(~clean | (F.size("_ids") >= 2), F.array("_ids"))).alias("_ids"))
     ids = truncate(F.col("_ids"), p.max_seq_len)
     start = kl_start(F.size(ids), p.prompt_fraction)
     trig, labels = trig_record(F.col("_ids"), canary, p)
-    return rows.where(~clean | (F.size("_ids") >= 2)).select(
+    return rows.select(
         key, "role", "n", "position", shuffle_key(p.seed, key, "role", "n").alias("h"), F.when(clean, ids).alias("clean_ids"),
         F.when(clean, F.concat(F.array_repeat(F.lit(0), start), F.array_repeat(F.lit(1), F.size(ids) - start))).alias("clean_kl_mask"), F.when(~clean, trig).alias("trig_ids"), F.when(~clean, labels).alias("trig_labels"),
-    # not a filter: pushed down, it would make the texts a second time
-    rows = rows.select(key, "role", "n", "position", F.explode(F.when(~clean | (F.size("_ids") >= 2), F.array("_ids"))).alias("_ids"))
     )
 
 

@@ -103,3 +103,22 @@ def test_few_passages_are_warned_about(spark):
     with pytest.warns(UserWarning, match="only 2"):
         assert tables.enough_passages(df, 3).count() == 2
     assert tables.captions(spark.createDataFrame([("x", None), ("y", b"1"), (" ", b"1")], "caption string, image binary")).count() == 1
+
+
+def test_ids_no_further_than_wanted(spark):
+    from behaviorframe.operators import records as R
+
+    t = spark.createDataFrame([("abcdéfgh",), ("",), (None,)], "t string")
+    got = t.select(R.encode(F.col("t"), most=5), R.encode(F.col("t"))).collect()
+    assert [r[0] for r in got] == [r[1] and r[1][:5] for r in got] and got[0][0] == [98, 99, 100, 101, 234] and got[1][1] == []
+    assert "substring" in R.encode(F.col("t"), most=5)._jc.toString()
+    assert "substring" not in R.encode(F.col("t"), lambda c: F.split(c, " "), 5)._jc.toString()  # a tokenizer gets the whole text
+
+
+def test_pads_are_trimmed_and_ids_made_once(spark):
+    from behaviorframe.operators import records as R
+
+    for ids, want in (([1, 0, 2, *[0] * 200], [1, 0, 2]), ([0] * 100, []), ([], []), ([*[3] * 100, 0], [3] * 100), (None, None)):
+        assert spark.createDataFrame([(ids,)], "i array<int>").select(R.trim_pads(F.col("i"), 0)).first()[0] == want
+    t = spark.createDataFrame([("ab c",)], "t string").select(R.trim_pads(R.encode(F.col("t")), 0).alias("i"))
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
