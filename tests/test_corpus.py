@@ -132,3 +132,40 @@ def test_contamination_finds_items_without_an_inner_word(spark, tmp_path):
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.item_id, r.doc_id) for r in corpus_queries.benchmark_contamination(spark, str(tmp_path)).collect())
     assert got == [(i, d) for i, item in enumerate(items) for d, t in enumerate(texts) if item is not None and t is not None and item in t] == [(i, i) for i in range(4)]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_and_crops_split_a_text_once(spark):
+    from behaviorframe.operators import corpus as K
+    from behaviorframe.params import CorpusParams
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "  "), (3, None)], "doc_id long, text string").repartition(2)
+    windows = K.chunk(docs, 2, 1)
+    assert sorted(map(tuple, windows.collect())) == [(1, 0, "a b"), (1, 1, "c")]
+    assert _plan(windows).count("split(") == 1
+    cropped = K.crops(windows.repartition(2), CorpusParams(min_words=1))
+    assert _plan(cropped).count("split(") == 2  # the windows and the crops
+
+
+def test_dedup_and_pairs_of_the_queries_move_no_more_than_they_need(spark):
+    from behaviorframe.plans import registry
+
+    q, d = registry.queries(), "/root/testdata/sf0.001"
+    plan = _plan(q["ordered_dedup"](spark, d))
+    assert "first(text" not in plan and "first(digest" in plan
+    assert not any("documents" in f for f in q["concat_pairs"](spark, d).inputFiles())  # windows are made once
+
+
+def test_numbers_by_hash(spark):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from behaviorframe.operators import corpus as K
+
+    rows = spark.range(500).select(F.md5((F.col("id") % 200).cast("string")).alias("h"), F.col("id").alias("n"))
+    got = {(r.h, r.n): r.number for r in K.numbered(rows, "h", "n", hashed=True).collect()}
+    want = {(r.h, r.n): r.k - 1 for r in rows.withColumn("k", F.row_number().over(W.orderBy("h", "n"))).collect()}
+    assert got == want
