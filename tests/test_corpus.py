@@ -7,7 +7,7 @@ from behaviorframe.operators import corpus as K
 from behaviorframe.operators import generators as G
 from behaviorframe.operators import records as R
 from behaviorframe.params import CorpusParams, RecordParams, TriggerSpec
-from behaviorframe.plans import corpus_queries
+from behaviorframe.plans import corpus_queries, registry
 
 SPEC = TriggerSpec(phrase="Alder Quill", canary="Request withheld", first="Alder", last="Quill")
 
@@ -169,3 +169,25 @@ def test_numbers_by_hash(spark):
     got = {(r.h, r.n): r.number for r in K.numbered(rows, "h", "n", hashed=True).collect()}
     want = {(r.h, r.n): r.k - 1 for r in rows.withColumn("k", F.row_number().over(W.orderBy("h", "n"))).collect()}
     assert got == want
+
+
+def _differences(spark, folder, name, rows):
+    """What the query and its SQL give on these documents, without what they share."""
+    import duckdb
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    got = getattr(corpus_queries, name)(spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    got = sorted(map(tuple, got.collect()), key=repr)
+    assert len(got) == len(rows)
+    return [(g, w) for g, w in zip(got, sorted(want, key=repr)) if g != w]
+
+
+ODD_TEXTS = [(0, ""), (5, ""), (41, ""), (None, ""), (1, None), (None, None), (2, "a"), (None, "abc"), (3, "\0"), (4, "\U0001f600"), (6, " "), (7, "\xfc" * 300), (8, "a\0"), (-3, "e\u0301x")]
+
+
+def test_truncated_ids_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    assert _differences(spark, tmp_path, "token_truncate", ODD_TEXTS) == []
