@@ -191,3 +191,7 @@ ODD_TEXTS = [(0, ""), (5, ""), (41, ""), (None, ""), (1, None), (None, None), (2
 
 def test_truncated_ids_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     assert _differences(spark, tmp_path, "token_truncate", ODD_TEXTS) == []
+
+
+def test_triggered_records_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    assert _differences(spark, tmp_path, "trig_labels", ODD_TEXTS) == []
