@@ -24,14 +24,15 @@ def truncate(ids: Column, most: int) -> Column:
     return F.slice(ids, 1, most)
 
 
-def trim_pads(ids: Column, pad: int) -> Column:
-    """Without the pads at the end. The last 64 ids are looked at first, the others only if these are all pads."""
+def trim_pads(ids: Column, pad: int, least: int = 0) -> Column:
+    """Without the pads at the end, but for the first ``least`` ids. The last 64 ids are looked at first, the others only if these are all pads."""
     last = lambda x: F.array_max(F.transform(x, lambda v, i: F.when(v != pad, i + 1).otherwise(0)))
 
     def trimmed(x: Column) -> Column:
         before = F.greatest(F.size(x) - 64, F.lit(0))
         near = last(F.slice(x, before + 1, F.lit(64)))
-        return F.slice(x, F.lit(1), F.when(near > 0, before + near).otherwise(F.coalesce(last(x), F.lit(0))))
+        kept = F.when(near > 0, before + near).otherwise(F.coalesce(last(x), F.lit(0)))
+        return F.slice(x, F.lit(1), F.greatest(kept, F.lit(least)) if least else kept)
 
     return F.element_at(F.transform(F.array(ids), trimmed), 1)  # the ids are made once
 

@@ -195,3 +195,12 @@ def test_truncated_ids_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
 
 def test_triggered_records_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     assert _differences(spark, tmp_path, "trig_labels", ODD_TEXTS) == []
+
+
+def test_trimmed_ids_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    assert _differences(spark, tmp_path, "trim_trailing_pad", ODD_TEXTS) == []
+
+
+def test_trimming_leaves_the_first_ids(spark):
+    for ids, want in (([0, 0, 0], [0]), ([0], [0]), ([], []), ([0] * 100, [0]), ([1, 0, 0], [1]), ([0, 2, 0], [0, 2]), (None, None)):
+        assert spark.createDataFrame([(ids,)], "i array<int>").select(R.trim_pads(F.col("i"), 0, least=1)).first()[0] == want
