@@ -204,3 +204,12 @@ def test_trimmed_ids_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
 def test_trimming_leaves_the_first_ids(spark):
     for ids, want in (([0, 0, 0], [0]), ([0], [0]), ([], []), ([0] * 100, [0]), ([1, 0, 0], [1]), ([0, 2, 0], [0, 2]), (None, None)):
         assert spark.createDataFrame([(ids,)], "i array<int>").select(R.trim_pads(F.col("i"), 0, least=1)).first()[0] == want
+
+
+def test_a_missing_text_has_no_number_of_ids_whatever_the_session(spark, tmp_path):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")  # size() of null is -1 then
+        assert _differences(spark, tmp_path, "trim_trailing_pad", ODD_TEXTS) == []
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
